@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import bpe, chat, jaccard, mixing, pii, quality
+from tamis.llm import ann, bpe, chat, jaccard, lm, mixing, pii, quality
 from tamis.llm.common import table
 
 #: The vocabulary of the production query; a parameter of the operator.
@@ -24,6 +24,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = docs.select(F.col("doc_id").alias("id"), "source", mixing.word_count(F.col("text")).alias("size"))
@@ -39,13 +43,17 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op9_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decoded=True))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op4_quality_rules, op6_mixing, op7_jaccard_join, op8_pii, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_chat_formatting, op4_quality_rules, op5_context_tree, op6_mixing, op7_jaccard_join, op8_pii, op9_additive_quantisation, op10_byte_bpe)}
 
 _WORDS = "[^ \\t\\n\\x0B\\f\\r]+"
 
