@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,3 +76,13 @@ def slices(batches: Iterable[pa.RecordBatch], text: int, most: int = 4_000_000)
             total += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """(h) -> a bitmap of 2**bits bits, one set for the first bits of each 64-bit hash, as words of 64. An aggregate makes the words, so what
+    reaches the driver is no larger than the bitmap, whatever the number of hashes."""
+    at = hashes.select(F.expr(f"shiftrightunsigned(h, {64 - bits})").alias("at"))
+    rows = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("v")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[rows["w"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64)
+    return out.view(np.uint64)

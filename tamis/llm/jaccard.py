@@ -4,8 +4,9 @@
    out, so the first pivots are single shingles: in one fixed order of all shingles a set belongs to the region of its first one, and the
    window that the threshold allows (n - ceil(t n) more shingles may be missing from a partner) replicates it into the regions of the next
    ones. Two sets within the threshold meet in the region of their first common shingle.
-2. The first order needs no statistics: long shingles first, as they are rare. Only sets that meet another one there go on, with their whole
-   sets. Among them frequent shingles (counted over all of them, the most frequent ones broadcast in a table of a fixed size) go last.
+2. The first order needs no statistics: long shingles first, as they are rare. Shingles that turn out frequent go last (the most frequent ones, in
+   a table of a fixed size, are broadcast), and sets that still meet another one under the new order go on with all their shingles, which are
+   then counted among them for the last order. Any order gives the same links; a good one gives small regions.
 3. A pair is left out of a region where the places of its shingle, or the sizes, cannot give the threshold any more.
 4. Regions over LEAF sets take their most central set as a document pivot. Distances from it are exact; those within the threshold are one
    component, and of them only the border that the triangle inequality lets reach an outer set stays beside the outer sets. Then the region
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import keep, ship, slices
+from tamis.llm.common import bitmap, keep, ship, slices
 from tamis.llm.graph import components
 
 LEAF = 64
@@ -61,10 +62,6 @@ def prefix_size(n: np.ndarray | int, num: int, den: int):
     return n - (n * num + den - 1) // den + 1
 
 
-def _digest(h: np.ndarray) -> bytes | None:
-    return xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
-
-
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
@@ -129,55 +126,95 @@ def classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str =
     each row of docs.
 
     Words are runs of anything but ASCII white space, A to Z in lower case. A set holds the distinct shingles of k words; fewer words are one
-    shingle; null and empty texts have none and link with nothing. Of rows that share a key and differ in words one is compared, that of the
-    least digest, and all are in its class. A null key is no node and its class is null. Keys have to be integers.
+    shingle; null and empty texts have none and link with nothing. Rows that share a key are one node; where their words differ it is linked by
+    those of the least hash, at least. A null key is no node and its class is null. Keys have to be integers.
     """
     spark = docs.sparkSession
     ship(spark)
-    source = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    text_of = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    source = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text_of).alias("h"), text_of.alias("text"))
 
     def first_pass(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            own = [shingles(t, k)[0] for t in batch.column(1).to_pylist()]
-            n = np.array([len(h) for h in own], np.int64)
-            digest = pa.array([_digest(h) for h in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), digest, _lists([h[: prefix_size(len(h), num, den)] if len(h) else h for h in own])], ["id", "n", "digest", "prefix"])
-
-    def second_pass(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            own = [shingles(t, k)[0] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(h) for h in own], pa.binary()), _lists(own)], ["id", "digest", "s"])
-
-    rows = keep(source.mapInArrow(first_pass, "id long, n long, digest binary, prefix array<long>"), "jaccard-sets")
-    reps = keep(rows.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")), "jaccard-reps")
-    nodes = reps.groupBy("rep").agg(F.min("digest").alias("digest")).select(F.col("rep").alias("id"), "digest")
-    one = rows.join(nodes, ["digest", "id"], "left_semi").dropDuplicates(["id"]).select("id", F.explode("prefix").alias("shingle"))
-    shared = one.groupBy("shingle").agg(F.min("id").alias("i0"), F.max("id").alias("i1")).filter("i0 <> i1").select("shingle")
-    meet = keep(one.join(shared, "shingle", "left_semi").select("id").distinct(), "jaccard-meet")
-    sets = source.join(meet, "id", "left_semi").mapInArrow(second_pass, "id long, digest binary, s array<long>")
-    sets = keep(sets.join(nodes, ["id", "digest"], "left_semi").dropDuplicates(["id"]).drop("digest"), "jaccard-whole")
-    often = sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") >= FREQUENT)
-    often = often.select("h", F.least(F.floor(F.log2("c")), F.lit(100)).cast("byte").alias("c")).orderBy(F.col("c").desc(), "h").limit(LISTED).toPandas().sort_values("h")
-    table = spark.sparkContext.broadcast((often["h"].to_numpy(np.int64), often["c"].to_numpy(np.int8)))
+        for batch in slices(batches, 2):
+            own = [shingles(t, k)[0] for t in batch.column(2).to_pylist()]
+            n = np.array([len(x) for x in own], np.int64)
+            digest = pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), digest, _lists([x[: prefix_size(len(x), num, den)] if len(x) else x for x in own])], ["id", "h", "n", "digest", "prefix"])
+
+    def again(batches: Iterable[pa.RecordBatch], rows: Chosen, listed: Listed | None) -> Iterator[pa.RecordBatch]:
+        """The sets of the chosen rows; with a list of frequent shingles, only their first shingles by it."""
+        for batch in slices(rows.of(batches), 2):
+            own = [shingles(t, k)[0] for t in batch.column(2).to_pylist()]
+            if listed:
+                own = [listed.last(x)[: prefix_size(len(x), num, den)] for x in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(own)], ["id", "s"])
+
+    rows = keep(source.mapInArrow(first_pass, "id long, h long, n long, digest binary, prefix array<long>"), "jaccard-sets")
+    real = rows.filter("n > 0 AND id IS NOT NULL").withColumn("node", F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long"))
+    reps = keep(real.groupBy("digest").agg(F.min(F.struct("id", "h")).alias("r")).select("digest", F.col("r.id").alias("rep"), F.col("r.h").alias("h")), "jaccard-reps")
+    meet, listed = meeting(real.select("node", F.explode("prefix").alias("shingle")))
+    first = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
+    chosen = keep(reps.withColumn("node", first).join(meet, "node", "left_semi").select(F.col("rep").alias("id"), "h"), "jaccard-chosen")
+
+    pick, order = Chosen(chosen), spark.sparkContext.broadcast(listed)
+    some = source.mapInArrow(lambda b: again(b, pick, order.value), "id long, s array<long>").join(chosen.select("id"), "id", "left_semi")
+    meet, _ = meeting(keep(some.select(F.col("id").alias("node"), F.explode("s").alias("shingle")), "jaccard-again"))
+    chosen = keep(chosen.join(meet.withColumnRenamed("node", "id"), "id", "left_semi"), "jaccard-chosen")
+    pick2 = Chosen(chosen)
+    sets = keep(source.mapInArrow(lambda b: again(b, pick2, None), "id long, s array<long>"), "jaccard-whole")
+    often = spark.sparkContext.broadcast(Listed(sets.select(F.explode("s").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("c"))))
 
     def regions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, grade = table.value
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                out: list[list] = [[], [], [], []]
-                for i, s in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    s = s.values.to_numpy(zero_copy_only=False)
-                    if len(listed):
-                        at = np.minimum(np.searchsorted(listed, s), len(listed) - 1)
-                        s = s[np.argsort(np.where(listed[at] == s, grade[at], 0), kind="stable")]
-                    p = prefix_size(len(s), num, den)
-                    for store, x in zip(out, (s[:p], np.full(p, i), np.full(p, len(s)), np.arange(p)), strict=True):
-                        store.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], ["region", "id", "n", "pos"])
-
-    members = keep(sets.mapInArrow(regions, "region long, id long, n long, pos long"), "jaccard-regions")
+                own = [often.value.last(x.values.to_numpy(zero_copy_only=False)) for x in part.column(1)]
+                n = np.array([len(x) for x in own], np.int64)
+                p = np.where(n > 0, prefix_size(n, num, den), 0)
+                first = np.concatenate([np.zeros(0, np.int64), *(x[:m] for x, m in zip(own, p, strict=True))])
+                place = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
+                yield pa.RecordBatch.from_arrays([pa.array(first), part.column(0).take(pa.array(np.repeat(np.arange(len(n)), p))), pa.array(np.repeat(n, p)), pa.array(place)], ["region", "id", "n", "pos"])
+
+    members = sets.mapInArrow(regions, "region long, id long, n long, pos long").join(chosen.select("id"), "id", "left_semi")
+    members = keep(members, "jaccard-regions")
     class_of = components(links(members, sets, num, den)).withColumnRenamed("id", "rep")
     named = reps.join(class_of, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = rows.select("id", "n", "digest").join(named, "digest", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+
+
+class Listed:
+    """The most frequent shingles of (shingle, c), FREQUENT at least and LISTED at most, by powers of two of their counts."""
+
+    def __init__(self, counted: DataFrame):
+        top = counted.filter(F.col("c") >= FREQUENT).select("shingle", F.least(F.floor(F.log2("c")), F.lit(100)).cast("byte").alias("c"))
+        top = top.orderBy(F.col("c").desc(), "shingle").limit(LISTED).toPandas().sort_values("shingle")
+        self.shingles, self.grade = top["shingle"].to_numpy(np.int64), top["c"].to_numpy(np.int8)
+
+    def last(self, s: np.ndarray) -> np.ndarray:
+        """A set in its order, but the listed ones behind the others, the more frequent the later."""
+        if not len(self.shingles) or not len(s):
+            return s
+        at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
+        return s[np.argsort(np.where(self.shingles[at] == s, self.grade[at], 0), kind="stable")]
+
+
+class Chosen:
+    """Rows by a bitmap of a fixed size over the hashes of their texts, broadcast; joins behind it take out those let through by chance."""
+
+    def __init__(self, chosen: DataFrame, bits: int = 24):
+        self.shift = np.uint64(64 - bits)
+        self.shared = chosen.sparkSession.sparkContext.broadcast(bitmap(chosen.select("h"), bits))
+
+    def of(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(1).to_numpy().view(np.uint64) >> self.shift
+            hit = (self.shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+            yield batch.filter(pa.array(hit.astype(bool)))
+
+
+def meeting(postings: DataFrame) -> tuple[DataFrame, Listed]:
+    """postings (node, shingle) -> the nodes that share a shingle with another one, and the frequent shingles."""
+    shared = postings.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
+    shared = keep(shared.select("shingle", "c"), "jaccard-shared")
+    return postings.join(shared.select("shingle"), "shingle", "left_semi").select("node").distinct(), Listed(shared)

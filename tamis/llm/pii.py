@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import keep, ship, slices
+from tamis.llm.common import bitmap, keep, ship, slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The rules. Those for mail addresses go by their @, so long runs of letters cost no more than their length.
@@ -99,16 +99,6 @@ def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("id"), text_key(F.col(text)).alias("h"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def bitmap(terms: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each hash of a term, 2**bits of them: the words of the bitmap are made by an aggregate, so what reaches the driver has
-    that size at most, whatever the number of terms."""
-    at = terms.select(F.expr(f"shiftrightunsigned(xxhash64(term), {64 - bits})").alias("at"))
-    rows = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("v")).toPandas()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[rows["w"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 6, support: int = 3, min_bits: float = 8.0, posterior: float = 0.6, bits: int = 22) -> DataFrame:
     """docs -> id, h, spans (array of struct kind int, start int, end int; by kind, then start): a row for each row of docs.
 
@@ -132,7 +122,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     distinct = first.filter(F.size("spans") > 0).dropDuplicates(["id", "h"])
     near = distinct.select(F.explode("near").alias("x")).groupBy("x.entity", "x.term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
     near = keep(near, "pii-near")
-    map_ = spark.sparkContext.broadcast(bitmap(near.select("term").distinct(), bits))
+    map_ = spark.sparkContext.broadcast(bitmap(near.select(F.xxhash64("term").alias("h")).distinct(), bits))
     shift = np.uint64(64 - bits)
 
     def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import ann, bpe, chat, jaccard, lm, mixing, pii, quality
+from tamis.llm import ann, bpe, chat, jaccard, lm, mixing, pii, quality, toxicity
 from tamis.llm.common import table
 
 #: The vocabulary of the production query; a parameter of the operator.
@@ -20,6 +20,18 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.expand(turns))
 
 
+#: The chain of the production query: whether a text is of low quality, then whether it is toxic.
+CATEGORIES = ("low_quality", "toxic")
+
+
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), toxicity_labels(spark, sf_dir), CATEGORIES)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -53,7 +65,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decoded=True))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op4_quality_rules, op5_context_tree, op6_mixing, op7_jaccard_join, op8_pii, op9_additive_quantisation, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_toxicity, op4_quality_rules, op5_context_tree, op6_mixing, op7_jaccard_join, op8_pii, op9_additive_quantisation, op10_byte_bpe)}
 
 _WORDS = "[^ \\t\\n\\x0B\\f\\r]+"
 
