@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import ann, bpe, chat, jaccard, lm, mixing, pii, quality, toxicity
+from tamis.llm import ann, bpe, chat, jaccard, licenses, lm, mixing, pii, quality, toxicity
 from tamis.llm.common import table
 
 #: The vocabulary of the production query; a parameter of the operator.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files of a tree: source/lang/doc_id.txt."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"), "doc_id")
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, formatted and read back."""
     said = r"\### Assistant: </turn> ok"
@@ -65,7 +72,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decoded=True))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_toxicity, op4_quality_rules, op5_context_tree, op6_mixing, op7_jaccard_join, op8_pii, op9_additive_quantisation, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_formatting, op3_toxicity, op4_quality_rules, op5_context_tree, op6_mixing, op7_jaccard_join, op8_pii, op9_additive_quantisation, op10_byte_bpe)}
 
 _WORDS = "[^ \\t\\n\\x0B\\f\\r]+"
 
