@@ -4,9 +4,10 @@
    out, so the first pivots are single shingles: in one fixed order of all shingles a set belongs to the region of its first one, and the
    window that the threshold allows (n - ceil(t n) more shingles may be missing from a partner) replicates it into the regions of the next
    ones. Two sets within the threshold meet in the region of their first common shingle.
-2. The first order needs no statistics: long shingles first, as they are rare. Shingles that turn out frequent go last (the most frequent ones, in
-   a table of a fixed size, are broadcast), and sets that still meet another one under the new order go on with all their shingles, which are
-   then counted among them for the last order. Any order gives the same links; a good one gives small regions.
+2. The first order needs no statistics: long shingles first, as they are rare. Shingles that turn out frequent in the windows go last (the most
+   frequent ones, in a table of a fixed size, are broadcast), and the windows are made again for the sets that met another one; so again for the
+   sets left, of which only those with a possible partner are then held whole. Shingles of crowded regions are counted over whole sets for
+   the last order. Any order gives the same links; a good one gives small regions.
 3. A pair is left out of a region where the places of its shingle, or the sizes, cannot give the threshold any more.
 4. Regions over LEAF sets take their most central set as a document pivot. Distances from it are exact; those within the threshold are one
    component, and of them only the border that the triangle inequality lets reach an outer set stays beside the outer sets. Then the region
@@ -75,7 +76,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("either"))
 
 
-def _near(a: Column, b: Column, num: int, den: int) -> Column:
+def _near(a: dict[str, Column], b: dict[str, Column], num: int, den: int) -> Column:
     """Whether two members of a region may link if its shingle is their first common one, by sizes and places."""
     both = a["n"] + b["n"]
     return (den * F.least(a["n"], b["n"]) >= num * F.greatest(a["n"], b["n"])) & ((num + den) * F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= num * both)
@@ -117,7 +118,7 @@ def links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return union([exact.select("a", "b"), *found])
 
 
-def _row(name: str):
+def _row(name: str) -> dict[str, Column]:
     return {"n": F.col(f"{name}.n"), "pos": F.col(f"{name}.pos")}
 
 
@@ -141,55 +142,70 @@ def classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str =
             digest = pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in own], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), digest, _lists([x[: prefix_size(len(x), num, den)] if len(x) else x for x in own])], ["id", "h", "n", "digest", "prefix"])
 
-    def again(batches: Iterable[pa.RecordBatch], rows: Chosen, listed: Listed | None) -> Iterator[pa.RecordBatch]:
-        """The sets of the chosen rows; with a list of frequent shingles, only their first shingles by it."""
+    def again(batches: Iterable[pa.RecordBatch], rows: Chosen, listed: Listed) -> Iterator[pa.RecordBatch]:
+        """The windows of the chosen rows, frequent shingles last."""
+        for batch in slices(rows.of(batches), 2, 1_000_000):
+            yield windows(batch.column(0), [listed.last(shingles(t, k)[0]) for t in batch.column(2).to_pylist()], num, den)
+
+    def whole(batches: Iterable[pa.RecordBatch], rows: Chosen) -> Iterator[pa.RecordBatch]:
         for batch in slices(rows.of(batches), 2):
-            own = [shingles(t, k)[0] for t in batch.column(2).to_pylist()]
-            if listed:
-                own = [listed.last(x)[: prefix_size(len(x), num, den)] for x in own]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(own)], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(t, k)[0] for t in batch.column(2).to_pylist()])], ["id", "s"])
 
     rows = keep(source.mapInArrow(first_pass, "id long, h long, n long, digest binary, prefix array<long>"), "jaccard-sets")
     real = rows.filter("n > 0 AND id IS NOT NULL").withColumn("node", F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long"))
     reps = keep(real.groupBy("digest").agg(F.min(F.struct("id", "h")).alias("r")).select("digest", F.col("r.id").alias("rep"), F.col("r.h").alias("h")), "jaccard-reps")
-    meet, listed = meeting(real.select("node", F.explode("prefix").alias("shingle")))
+    meet, counted = meeting(real.select("node", F.explode("prefix").alias("region")))
     first = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
     chosen = keep(reps.withColumn("node", first).join(meet, "node", "left_semi").select(F.col("rep").alias("id"), "h"), "jaccard-chosen")
-
-    pick, order = Chosen(chosen), spark.sparkContext.broadcast(listed)
-    some = source.mapInArrow(lambda b: again(b, pick, order.value), "id long, s array<long>").join(chosen.select("id"), "id", "left_semi")
-    meet, _ = meeting(keep(some.select(F.col("id").alias("node"), F.explode("s").alias("shingle")), "jaccard-again"))
-    chosen = keep(chosen.join(meet.withColumnRenamed("node", "id"), "id", "left_semi"), "jaccard-chosen")
-    pick2 = Chosen(chosen)
-    sets = keep(source.mapInArrow(lambda b: again(b, pick2, None), "id long, s array<long>"), "jaccard-whole")
-    often = spark.sparkContext.broadcast(Listed(sets.select(F.explode("s").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("c"))))
+    for _ in range(2):
+        pick, order = Chosen(chosen), spark.sparkContext.broadcast(Listed(counted))
+        members = source.mapInArrow(lambda b, pick=pick, order=order: again(b, pick, order.value), MEMBER).join(chosen.select("id"), "id", "left_semi")
+        members = keep(members, "jaccard-windows")
+        meet, more = meeting(members.select(F.col("id").alias("node"), "region"))
+        counted = counted.union(more)
+        chosen = keep(chosen.join(meet.withColumnRenamed("node", "id"), "id", "left_semi"), "jaccard-chosen")
+    small, crowded = possible(members, num, den)
+    crowded = keep(crowded.select("id").distinct(), "jaccard-crowded")
+    partners = small.select(F.col("a").alias("id")).union(small.select(F.col("b").alias("id"))).union(crowded).distinct()
+    chosen = keep(chosen.join(partners, "id", "left_semi"), "jaccard-chosen")
+    pick = Chosen(chosen)
+    sets = keep(source.mapInArrow(lambda b: whole(b, pick), "id long, s array<long>").join(chosen.select("id"), "id", "left_semi"), "jaccard-whole")
+    dense = sets.join(crowded, "id", "left_semi").select(F.explode("s").alias("region")).groupBy("region").agg(F.count("*").alias("c"))
+    often = spark.sparkContext.broadcast(Listed(counted.union(dense)))
 
     def regions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                own = [often.value.last(x.values.to_numpy(zero_copy_only=False)) for x in part.column(1)]
-                n = np.array([len(x) for x in own], np.int64)
-                p = np.where(n > 0, prefix_size(n, num, den), 0)
-                first = np.concatenate([np.zeros(0, np.int64), *(x[:m] for x, m in zip(own, p, strict=True))])
-                place = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
-                yield pa.RecordBatch.from_arrays([pa.array(first), part.column(0).take(pa.array(np.repeat(np.arange(len(n)), p))), pa.array(np.repeat(n, p)), pa.array(place)], ["region", "id", "n", "pos"])
-
-    members = sets.mapInArrow(regions, "region long, id long, n long, pos long").join(chosen.select("id"), "id", "left_semi")
-    members = keep(members, "jaccard-regions")
+                yield windows(part.column(0), [often.value.last(x.values.to_numpy(zero_copy_only=False)) for x in part.column(1)], num, den)
+
+    members = keep(sets.mapInArrow(regions, MEMBER), "jaccard-regions")
     class_of = components(links(members, sets, num, den)).withColumnRenamed("id", "rep")
     named = reps.join(class_of, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = rows.select("id", "n", "digest").join(named, "digest", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
+MEMBER = "region long, id long, n long, pos long"
+
+
+def windows(ids: pa.Array, sets: list[np.ndarray], num: int, den: int) -> pa.RecordBatch:
+    """Sets in their order -> a row for each of their first shingles: the region, the set, its size, and the shingle's place in it."""
+    n = np.array([len(x) for x in sets], np.int64)
+    p = np.where(n > 0, prefix_size(n, num, den), 0)
+    first = np.concatenate([np.zeros(0, np.int64), *(x[:m] for x, m in zip(sets, p, strict=True))])
+    place = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
+    return pa.RecordBatch.from_arrays([pa.array(first), ids.take(pa.array(np.repeat(np.arange(len(n)), p))), pa.array(np.repeat(n, p)), pa.array(place)], ["region", "id", "n", "pos"])
+
+
 class Listed:
-    """The most frequent shingles of (shingle, c), FREQUENT at least and LISTED at most, by powers of two of their counts."""
+    """The most frequent shingles of (region, c), FREQUENT at least and LISTED at most, by powers of two of their largest counts."""
 
     def __init__(self, counted: DataFrame):
-        top = counted.filter(F.col("c") >= FREQUENT).select("shingle", F.least(F.floor(F.log2("c")), F.lit(100)).cast("byte").alias("c"))
-        top = top.orderBy(F.col("c").desc(), "shingle").limit(LISTED).toPandas().sort_values("shingle")
-        self.shingles, self.grade = top["shingle"].to_numpy(np.int64), top["c"].to_numpy(np.int8)
+        top = counted.filter(F.col("c") >= FREQUENT).groupBy("region").agg(F.max("c").alias("c"))
+        top = top.select("region", F.least(F.floor(F.log2("c")), F.lit(100)).cast("byte").alias("c"))
+        top = top.orderBy(F.col("c").desc(), "region").limit(LISTED).toPandas().sort_values("region")
+        self.shingles, self.grade = top["region"].to_numpy(np.int64), top["c"].to_numpy(np.int8)
 
     def last(self, s: np.ndarray) -> np.ndarray:
         """A set in its order, but the listed ones behind the others, the more frequent the later."""
@@ -213,8 +229,19 @@ class Chosen:
             yield batch.filter(pa.array(hit.astype(bool)))
 
 
-def meeting(postings: DataFrame) -> tuple[DataFrame, Listed]:
-    """postings (node, shingle) -> the nodes that share a shingle with another one, and the frequent shingles."""
-    shared = postings.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
-    shared = keep(shared.select("shingle", "c"), "jaccard-shared")
-    return postings.join(shared.select("shingle"), "shingle", "left_semi").select("node").distinct(), Listed(shared)
+def meeting(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """postings (node, region) -> the nodes that meet another one in a region, and regions with more than one node: region, c."""
+    shared = postings.groupBy("region").agg(F.count("*").alias("c"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
+    shared = keep(shared.select("region", "c"), "jaccard-shared")
+    return postings.join(shared.select("region"), "region", "left_semi").select("node").distinct(), shared
+
+
+def possible(members: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """members -> pairs (a, b) of regions of up to LEAF sets that may link, and the members of larger regions."""
+    m = members.groupBy("region").agg(F.count("*").alias("m")).filter("m > 1")
+    members = keep(members.join(m, "region"), "jaccard-possible")
+    small = members.filter(F.col("m") <= LEAF)
+    x, y = small.alias("x"), small.alias("y")
+    ok = (F.col("x.id") < F.col("y.id")) & _near(_row("x"), _row("y"), num, den)
+    pairs = x.join(y, F.col("x.region") == F.col("y.region")).filter(ok).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return pairs, members.filter(F.col("m") > LEAF)
