@@ -5,13 +5,15 @@ tells how strongly a term reveals one: with n documents in all, n_e that hold th
 stands near the entity, the term discloses log2(n n_te / (n_t n_e)) bits and the entity's posterior is n_te / n_t. A term with enough
 support over both thresholds is sanitised wherever it occurs: it is generalised to its kind of entity.
 
-Two passes over the texts. The first finds identifiers and the terms around them. Its terms with enough support, hashed into a bitmap of a
-fixed size, let the second emit the places of those terms only; false hits of the bitmap fall out of the exact join behind it.
+Three passes over the texts. The first finds identifiers and the terms around them. The second counts in how many texts those with enough
+support stand, the third places those that reveal an entity. Which terms to count or to place the workers know by a bitmap of a fixed size over
+their hashes; false hits of it fall out of the exact joins behind.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -102,7 +104,7 @@ def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 6, support: int = 3, min_bits: float = 8.0, posterior: float = 0.6, bits: int = 22) -> DataFrame:
     """docs -> id, h, spans (array of struct kind int, start int, end int; by kind, then start): a row for each row of docs.
 
-    Null and empty texts have no spans. Rows that share id and text count as one document of the corpus and have the same spans. Spans of
+    Null and empty texts have no spans. Rows that share id and text have the same spans; near an entity they count once. Spans of
     terms never overlap identifiers. support: documents in which a term has to stand near an entity. bits: log2 of the bitmap's size.
     """
     spark = docs.sparkSession
@@ -122,26 +124,53 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     distinct = first.filter(F.size("spans") > 0).dropDuplicates(["id", "h"])
     near = distinct.select(F.explode("near").alias("x")).groupBy("x.entity", "x.term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
     near = keep(near, "pii-near")
-    map_ = spark.sparkContext.broadcast(bitmap(near.select(F.xxhash64("term").alias("h")).distinct(), bits))
     shift = np.uint64(64 - bits)
 
-    def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, hit = map_.value, {}
-        if not own.any():
-            return
-        for batch in slices(batches, 2):
+    def hits(batches: Iterable[pa.RecordBatch], own: np.ndarray) -> Iterator[tuple[pa.RecordBatch, list[str], dict[str, bool]]]:
+        """Batches, their texts in lower case, and whether the bitmap has a term."""
+        hit: dict[str, bool] = {}
+        for batch in slices(batches, 2) if own.any() else ():
             if len(hit) > 500_000:
                 hit.clear()
-            out: tuple[list, ...] = ([], [], [], [])
-            for row, t in enumerate(batch.column(2).to_pylist()):
+            texts = []
+            for t in batch.column(2).to_pylist():
                 low = t.lower()
                 if len(low) != len(t):  # a letter that grows in lower case would move the places
                     low = "".join(c if len(c.lower()) != 1 else c.lower() for c in t)
+                texts.append(low)
                 if new := [x for x in set(TERM.findall(low)) if x not in hit]:
                     at = np.fromiter((xxhash.xxh64_intdigest(x.encode(), 42) for x in new), np.uint64, len(new)) >> shift
-                    hit.update(zip(new, ((own[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool).tolist(), strict=True))
+                    hit.update(zip(new, ((own[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool).tolist(), strict=True))
+            yield batch, texts, hit
+
+    candidates = spark.sparkContext.broadcast(bitmap(near.select(F.xxhash64("term").alias("h")).distinct(), bits))
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        told = lambda: pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+        for _, texts, hit in hits(batches, candidates.value):
+            for t in texts:
+                n.update(x for x in set(TERM.findall(t)) if hit.get(x))
+            if len(n) > 500_000:
+                yield told()
+                n.clear()
+        if n:
+            yield told()
+
+    total = F.lit(float(max(1, source.count())))
+    n_e = distinct.select("id", "h", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    n_t = source.mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    known = near.join(n_e, "entity").join(n_t, "term")
+    tells = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    known = keep(known.filter((tells >= min_bits) & (F.col("n_te") >= posterior * F.col("n_t"))).select("term").distinct(), "pii-terms")
+    revealing = spark.sparkContext.broadcast(bitmap(known.select(F.xxhash64("term").alias("h")), bits))
+
+    def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts, hit in hits(batches, revealing.value):
+            out: tuple[list, ...] = ([], [], [])
+            for row, t in enumerate(texts):
                 found: dict[str, list] = {}
-                for m in TERM.finditer(low):
+                for m in TERM.finditer(t) if any(hit.get(x) for x in set(TERM.findall(t))) else ():
                     if hit.get(m[0]):
                         found.setdefault(m[0], []).append({"start": m.start(), "end": m.end()})
                 for x, at in found.items():
@@ -150,13 +179,6 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["id", "h", "term", "at"])
 
     second = source.mapInArrow(places, f"id {kind}, h long, term string, at array<struct<start:int,end:int>>").dropDuplicates(["id", "h", "term"])
-    second = keep(second.join(near.select("term").distinct(), "term", "left_semi"), "pii-places")
-    total = F.lit(float(source.count()))
-    n_e = distinct.select("id", "h", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    n_t = second.groupBy("term").agg(F.count("*").alias("n_t"))
-    known = near.join(n_e, "entity").join(n_t, "term")
-    tells = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    known = known.filter((tells >= min_bits) & (F.col("n_te") >= posterior * F.col("n_t"))).select("term").distinct()
     spans = second.join(known, "term", "left_semi").select("id", "h", F.explode("at").alias("x")).groupBy("id", "h").agg(F.collect_list("x").alias("more"))
     spans = spans.select(F.col("id").alias("id2"), F.col("h").alias("h2"), "more")
     rows = first.join(spans, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left")
