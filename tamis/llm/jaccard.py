@@ -9,7 +9,7 @@
    sets left, of which only those with a possible partner are then held whole. Shingles of crowded regions are counted over whole sets for
    the last order. Any order gives the same links; a good one gives small regions.
 3. A pair is left out of a region where the places of its shingle, or the sizes, cannot give the threshold any more.
-4. Regions over LEAF sets take their most central set as a document pivot. Distances from it are exact; those within the threshold are one
+4. Regions over LEAF sets take their most central set as a document pivot, as long as that makes them smaller. Distances from it are exact; those within the threshold are one
    component, and of them only the border that the triangle inequality lets reach an outer set stays beside the outer sets. Then the region
    is joined again, by another pivot.
 5. What is left is compared set by set, each pair once, exactly. Links make components.
@@ -86,7 +86,8 @@ def links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """members (region, id, n, pos) -> links (a, b), a < b: enough of them to connect whatever the threshold connects."""
     candidates, found, whole, share = [], [], F.lit(float(den)), F.lit((den - num) / den)
     members = members.withColumn("comp", F.col("id"))
-    for level in range(12):
+    level, before, last = 0, None, False
+    while True:
         stats = members.groupBy("region").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("least")).filter("m > 1 AND c0 <> c1")
         # a member that could link with no size there is goes no further
         members = members.join(stats, "region").filter((num + den) * (F.col("n") - F.col("pos")) >= num * (F.col("n") + F.greatest("least", F.ceil(F.col("n") * num / whole))))
@@ -94,13 +95,17 @@ def links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             again = members.groupBy("region").agg(F.count("*").alias("m")).filter("m > 1")
             members = members.drop("m").join(again, "region")
         members = keep(members.select("region", "id", "n", "pos", "comp", "m"), "regions")
-        small = members.filter(F.col("m") <= LEAF) if level < 11 else members
+        # a round that takes out under a fifth of the crowded members is the last one: what is left is compared pair by pair
+        crowded = members.filter(F.col("m") > LEAF).count()
+        last, before = crowded == 0 or (before is not None and crowded > 0.8 * before), crowded
+        small = members if last else members.filter(F.col("m") <= LEAF)
         x, y = small.alias("x"), small.alias("y")
         ok = (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _near(_row("x"), _row("y"), num, den)
         candidates.append(x.join(y, F.col("x.region") == F.col("y.region")).filter(ok).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
         big = members.filter(F.col("m") > LEAF)
-        if level == 11 or big.isEmpty():
+        if last:
             break
+        level += 1
         pivots = big.groupBy("region").agg(F.min(F.struct("pos", F.xxhash64("id").alias("h"), "id")).alias("p")).select("region", F.col("p.id").alias("pivot"))
         big = big.join(pivots, "region")
         pairs = big.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
