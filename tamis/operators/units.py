@@ -39,15 +39,20 @@ def best_pattern(key: Column, patterns: list[tuple]) -> Column:
 def grams(value: Column, unit: Column, unit_class: Column, name: Column, inner: Column | None = None, densities: list[tuple] = DENSITIES) -> Column:
     """A measured amount of a named thing -> struct lo, value, hi in grams; null where its mass is unknown.
 
-    inner: the grams of what one container holds, where it says so; then a count of containers weighs that many of them.
+    inner: what one container holds, a struct with value, unit and unit_class, null where it says nothing; then a count of containers weighs that
+    many of it. Amounts are multiplied before units are applied, so that the product is rounded once.
     """
+    if inner is not None:
+        nested = (unit_class == "piece") & inner["value"].isNotNull() & (inner["unit_class"] != "length")
+        pick = lambda a, b: F.when(nested, a).otherwise(b)
+        whole = F.struct(pick(value * inner["value"], value).alias("value"), pick(inner["unit"], unit).alias("unit"), pick(inner["unit_class"], unit_class).alias("unit_class"))
+        return bind(whole, lambda x: grams(x["value"], x["unit"], x["unit_class"], name, densities=densities))
     table = F.create_map(*(F.lit(x) for pair in FACTORS.items() for x in pair))
     triple = lambda lo, v, hi: F.struct(lo.cast("double").alias("lo"), v.cast("double").alias("value"), hi.cast("double").alias("hi"))
     same = lambda x: bind(x, lambda v: F.when(v.isNotNull(), triple(v, v, v)))
     counted = bind(best_pattern(name_key(name), PIECES), lambda p: F.when(p.isNotNull(), triple(value * p["v0"], value * ((p["v0"] + p["v1"]) / 2), value * p["v1"])))
     density = F.coalesce(best_pattern(name_key(name), densities)["v0"], F.lit(1.0))
-    out = F.when((unit_class == "piece") & inner.isNotNull(), same(value * inner)) if inner is not None else F.when(F.lit(False), same(value))
-    out = out.when(unit_class == "piece", F.when(~unit.isin(*OPAQUE), counted)).when(unit_class == "weight", same(value * F.coalesce(table[unit], F.lit(1.0))))
+    out = F.when(unit_class == "piece", F.when(~unit.isin(*OPAQUE), counted)).when(unit_class == "weight", same(value * F.coalesce(table[unit], F.lit(1.0))))
     return out.when(unit_class == "volume", same(value * F.coalesce(table[unit], F.lit(1.0)) * density)).when(unit_class == "length", F.lit(None)).when(unit_class.isNotNull(), same(F.lit(0.0)))
 
 

@@ -123,8 +123,7 @@ def piece_grams_bounds(spark, d):
 def nested_container(spark, d):
     rows = table(spark, d, "part").select("p_partkey", txt("- ", F.col("p_size"), " cans (", F.col("p_partkey") % 9 + 1, " oz each) beans").alias("line"))
     rows = grammar.item(rows, "line").withColumn("t", F.get("amounts", F.lit(0))).withColumn("c", grammar.term(F.get("alternatives", F.lit(0))))
-    inner = units.grams(F.col("c.value"), F.col("c.unit"), F.col("c.unit_class"), F.col("name"))["value"]
-    g = units.grams(F.col("t.value"), F.col("t.unit"), F.col("t.unit_class"), F.col("name"), inner)
+    g = units.grams(F.col("t.value"), F.col("t.unit"), F.col("t.unit_class"), F.col("name"), F.col("c"))
     return rows.select("p_partkey", g["value"].alias("grams"))
 
 

@@ -57,14 +57,14 @@ def densities(spark: SparkSession, path: str | None) -> list[tuple[str, float]]:
 def star_records(spark: SparkSession, path: str) -> DataFrame:
     """A catalogue of 28 header bytes (seven little-endian integers, the third minus the number of records) and records of float id, double ra and
     dec in radians, two letters of class and an integer of hundredths of magnitude -> ord, ra, dec in degrees, class, mag."""
-    record = struct.Struct("<fdd2sh")
+    kind, size = "<fdd2sh", struct.calcsize("<fdd2sh")
 
     def decode(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import math
 
         for part in files:
             for raw in part["content"]:
-                rows = [record.unpack_from(raw, at) for at in range(28, len(raw) - record.size + 1, record.size)]
+                rows = [struct.unpack_from(kind, raw, at) for at in range(28, len(raw) - size + 1, size)]
                 yield pd.DataFrame([(i, math.degrees(ra) % 360, math.degrees(dec), k.decode("ascii", "replace"), m / 100) for i, (_, ra, dec, k, m) in enumerate(rows)], columns=["ord", "ra", "dec", "class", "mag"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "ord long, ra double, dec double, class string, mag double")
