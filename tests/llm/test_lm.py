@@ -1,6 +1,7 @@
 """LM scoring: the tree against a recursive one, probabilities that sum to 1, counts against plain Python."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -109,3 +110,25 @@ def test_nothing_to_learn(spark):
     assert lm.score(documents(spark, []).limit(0)).count() == 0
     r = lm.score(documents(spark, [(i, "ab") for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2][:1])).first()
     assert r.score == pytest.approx(-24 * math.log10(2)) and r.n_known == 0 and r.train_tokens == 0
+
+
+def many_contexts():
+    """Texts that hold more than the 65,536 contexts to which the tree was once cut."""
+    rng = random.Random(5)
+    return [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ.,é") for _ in range(1000))) for i in range(44)]
+
+
+@pytest.mark.parametrize("listed", [1 << 21, 3000, 0])
+def test_no_context_is_left_out(spark, monkeypatch, listed):
+    """The whole tree, with all grams listed, most of them joined, all of them joined."""
+    monkeypatch.setattr(lm, "GRAMS", listed)
+    rows = [*many_contexts(), (9001, None), (9002, ""), (None, "no id")]
+    train = [(t or "").encode() for i, t in rows if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2]
+    padded = [b"\xff" * lm.DEPTH + t + b"\xff" for t in train]
+    assert len({d[i - n : i] for d in padded for i in range(lm.DEPTH, len(d)) for n in range(1, lm.DEPTH + 1)}) > 1 << 16
+    log10 = plain_tree(train, 1 << 40)
+    out = {r.doc_id: r for r in lm.score(documents(spark, rows)).collect()}
+    assert len(out) == len(rows) and any(r.held_out for r in out.values())
+    for i, t in rows:
+        d = b"\xff" * lm.DEPTH + (t or "").encode() + b"\xff"
+        assert out[i].score == pytest.approx(sum(log10(d[j - lm.DEPTH : j], d[j]) for j in range(lm.DEPTH, len(d))), rel=1e-9)
