@@ -2,17 +2,19 @@
 
 Identifiers (mail and IP addresses, card and phone numbers) are found by rule and are the protected entities. Corpus co-occurrence then
 tells how strongly a term reveals one: with n documents in all, n_e that hold the entity, n_t that hold the term and n_te where the term
-stands near the entity, the term discloses log2(n n_te / (n_t n_e)) bits and the entity's posterior is n_te / n_t. A term with enough
-support over both thresholds is sanitised wherever it occurs: it is generalised to its kind of entity.
+stands near the entity, the term discloses log2(n n_te / (n_t n_e)) of the log2(n / n_e) bits that the entity holds, and the entity's posterior
+is n_te / n_t. A term over both thresholds, a share of those bits and a posterior, is sanitised wherever it occurs: it is generalised to its
+kind of entity. So rare and frequent entities and tables of all sizes are treated alike.
 
-Three passes over the texts. The first finds identifiers and the terms around them. The second counts in how many texts those with enough
-support stand, the third places those that reveal an entity. Which terms to count or to place the workers know by a bitmap of a fixed size over
+Three passes over the texts. The first finds identifiers and the terms around them. The second counts in how many texts those terms stand,
+the third places those that reveal an entity. Which terms to count or to place the workers know by a bitmap of a fixed size over
 their hashes; false hits of it fall out of the exact joins behind.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -85,10 +87,10 @@ def around(text: str, spans: list[tuple[int, int, int]], window: int) -> set[tup
             parts += [text[end : max(a, end)], " " * (b - max(a, end))]
             end = b
     blank = "".join(parts) + text[end:]
+    terms = [(m.start(), m[0].lower()) for m in TERM.finditer(blank)]
     for kind, a, b in spans:
-        e = entity(kind, text[a:b])
-        before, behind = TERM.findall(blank, max(0, a - 40 * window), a), TERM.findall(blank, b, b + 40 * window)
-        out.update((e, x.lower()) for x in before[-window:] + behind[:window])
+        e, at = entity(kind, text[a:b]), bisect_left(terms, (a,))
+        out.update((e, x) for _, x in terms[max(0, at - window) : at + window])
     return out
 
 
@@ -101,11 +103,13 @@ def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("id"), text_key(F.col(text)).alias("h"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 6, support: int = 3, min_bits: float = 8.0, posterior: float = 0.6, bits: int = 22) -> DataFrame:
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 6, support: int = 1, min_bits: float = 0.0, posterior: float = 0.6, bits: int = 22, share: float = 0.5) -> DataFrame:
     """docs -> id, h, spans (array of struct kind int, start int, end int; by kind, then start): a row for each row of docs.
 
     Null and empty texts have no spans. Rows that share id and text have the same spans; near an entity they count once. Spans of
-    terms never overlap identifiers. support: documents in which a term has to stand near an entity. bits: log2 of the bitmap's size.
+    terms never overlap identifiers. share: of the entity's own bits, what a term has to disclose. support: documents in which a term has to
+    stand near an entity, min_bits: bits that it has to disclose besides; neither holds anything back unless given. An entity in all rows has
+    no bits to disclose. bits: log2 of the bitmap's size.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -162,7 +166,8 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     n_t = source.mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     known = near.join(n_e, "entity").join(n_t, "term")
     tells = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    known = keep(known.filter((tells >= min_bits) & (F.col("n_te") >= posterior * F.col("n_t"))).select("term").distinct(), "pii-terms")
+    holds = F.log2(total / F.col("n_e"))
+    known = keep(known.filter((holds > 0) & (tells >= share * holds) & (tells >= min_bits) & (F.col("n_te") >= posterior * F.col("n_t"))).select("term").distinct(), "pii-terms")
     revealing = spark.sparkContext.broadcast(bitmap(known.select(F.xxhash64("term").alias("h")), bits))
 
     def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

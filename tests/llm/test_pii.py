@@ -62,3 +62,20 @@ def test_repeated_rows_and_columns(spark):
     out = pii.sanitised(docs)
     assert out.columns == docs.columns and sorted(str(r.text) for r in out.collect()) == ["None"] + ["mail <email> now"] * 3
     assert pii.find(docs.limit(0)).count() == 0
+
+
+def test_rare_and_frequent_identifiers_alike(spark):
+    other = [(100 + i, f"somebody else wrote about the garden on day {i}") for i in range(300)]
+    once = [(1, "the letter is for Zelphira zq@mail.example.com about the garden"), (2, "the garden on this day")]
+    spans = {r.doc_id: r.spans for r in pii.digests(pii.find(documents(spark, other + once))).collect()}
+    assert "term:18:26" in spans[1] and spans[2] == "" and spans[100] == ""
+    hot = [(1000 + i, f"the garden of Quuxley hot@mail.example.com on day {i}") for i in range(150)]
+    spans = {r.doc_id: r.spans for r in pii.digests(pii.find(documents(spark, other + hot + [(3, "ask Quuxley")]))).collect()}
+    assert spans[3] == "term:4:11" and spans[1000].endswith("term:14:21") and spans[100] == ""
+    small = [(i, f"the garden on day {i}") for i in range(8)] + [(9, "the garden of Quuxley zq@mail.example.com on day 9")]
+    assert {r.doc_id: r.spans for r in pii.digests(pii.find(documents(spark, small))).collect()}[9].endswith("term:14:21")
+
+
+def test_window_is_words(spark):
+    text = "Zelphira" + " " * 400 + "zq@mail.example.com" + " " * 400 + "Quuxley"
+    assert pii.around(text, pii.base_spans(text), 6) == {("email:zq@mail.example.com", "zelphira"), ("email:zq@mail.example.com", "quuxley")}
