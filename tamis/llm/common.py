@@ -28,39 +28,59 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a new local one where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a local session gets a new one, as in tests; on a cluster, whose machines would
+    each write to a folder of their own, it has to be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set: results between stages need a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tamis-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the gateway may be gone by then
+        pass
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts its lineage, so that it is made once and lost executors
-    cost no earlier stage. The files go when the driver ends."""
+    cost no earlier stage. The files go by free(), or else when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    atexit.register(_remove, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def free(*frames: DataFrame) -> None:
+    """Deletes the files of kept frames whose last reader has run."""
+    for df in frames:
+        _remove(df.sparkSession, df.kept_path)
 
-    def remove() -> None:
-        try:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-        except Exception:  # noqa: BLE001  the gateway may be gone by then
-            pass
 
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+#: What Python workers get: memory that is given back is returned to the system, and not held for later by worker after worker.
+WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "4194304", "MALLOC_MMAP_THRESHOLD_": "1048576"}
+#: Bytes of a batch that goes to a Python worker, a longer row aside.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this library from where the driver has it."""
+    """Lets Python workers import this library from where the driver has it, and bounds their memory."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+        for name, value in WORKER.items():
+            env.setdefault(name, value)
+    spark.conf.set(BATCH, str(4 << 20))
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:

@@ -1,66 +1,124 @@
-"""N-gram Jaccard join in the metric space of shingle sets: pivots, regions with windows at their borders, recursion, exact links.
-
-1. Equal sets become one. Distances of unlike texts from any document all lie near 1, where windows of the triangle inequality leave nothing
-   out, so the first pivots are single shingles: in one fixed order of all shingles a set belongs to the region of its first one, and the
-   window that the threshold allows (n - ceil(t n) more shingles may be missing from a partner) replicates it into the regions of the next
-   ones. Two sets within the threshold meet in the region of their first common shingle.
-2. The first order needs no statistics: long shingles first, as they are rare. Shingles that turn out frequent in the windows go last (the most
-   frequent ones, in a table of a fixed size, are broadcast), and the windows are made again for the sets that met another one; so again for the
-   sets left, of which only those with a possible partner are then held whole. Shingles of crowded regions are counted over whole sets for
-   the last order. Any order gives the same links; a good one gives small regions.
-3. A pair is left out of a region where the places of its shingle, or the sizes, cannot give the threshold any more.
-4. Regions over LEAF sets take their most central set as a document pivot, as long as that makes them smaller. Distances from it are exact; those within the threshold are one
-   component, and of them only the border that the triangle inequality lets reach an outer set stays beside the outer sets. Then the region
-   is joined again, by another pivot.
-5. What is left is compared set by set, each pair once, exactly. Links make components.
-
-No region is gathered into one task: members are rows, and hot regions are counted and split by Spark's joins.
+"""N-gram Jaccard join in the metric space of shingle sets: pivots, Voronoi regions, windows of the triangle inequality, recursion, exact links.
+
+1. Equal sets become one node.
+2. Unlike texts all lie near distance 1 from any pivot, where the triangle inequality leaves nothing out: pivots alone would replicate every
+   set into every region. So sets are first dealt by projections. A fixed partition splits all shingles into classes; the distance |x - y|
+   + |y - x| of two sets is the sum of the distances of their parts in each class, and the threshold bounds it. With more classes than that
+   bound, two linked sets have an equal part (distance 0) in one class at least, so they meet in the region of that part. Sizes are dealt in
+   bands, with a window that replicates a set into the band below, if a partner may lie there.
+3. Each region is joined in the metric space. It takes several pivots, more at each level; distances of all members from them are exact, and
+   give the links of the pivots, which leave. A member goes to the region of its nearest pivot and, by the triangle inequality, into each other
+   region whose pivot is nearer than its nearest one by less than twice the threshold. Inside the threshold's ball of a pivot all are linked;
+   of these only the border stays that may reach a member outside the ball. A region that its pivots do not separate stays whole, less its
+   pivots. So every level takes pivots out of every region, and their number grows fourfold: the recursion ends after as many levels as the
+   logarithm of the largest region.
+4. Regions of at most LEAF sets are compared set by set, exactly. Links make components.
+
+No region is gathered into one task: members are rows, hot regions are counted by partial sums and split by Spark's joins. What is exact is so
+on 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import bitmap, keep, ship, slices
+from tamis.llm.common import bitmap, free, keep, ship, slices
 from tamis.llm.graph import components
 
-LEAF = 64
-#: Shingles of so many sets count as frequent; at most so many of them are broadcast, 9 bytes each. Any order of shingles gives the same links.
-FREQUENT, LISTED = 16, 1 << 20
+#: Regions of so many sets are compared set by set.
+LEAF = 8
+#: Pivots of a region at the first level; at each further level FOLD times as many.
+PIVOTS, FOLD = 2, 4
+#: The least sizes of two bands are as 2 to 3.
+BAND = 1.5
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
+_ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def shingles(text: str | None, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of a text as 64-bit hashes, and their lengths in bytes, longest first, then by hash."""
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit numbers scattered over all 64-bit numbers, one to one."""
+    h = (h ^ (h >> np.uint64(29))) * _TWO
+    return (h ^ (h >> np.uint64(32))) * _ONE
+
+
+def shingles(text: str | None, k: int) -> np.ndarray:
+    """The distinct shingles of a text as 64-bit hashes, sorted."""
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64)
     n = max(1, len(words) - k + 1)
     own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    h, length = np.full(n, min(k, len(words)), np.uint64), np.zeros(n, np.int64)
+    h = np.full(n, min(k, len(words)), np.uint64)
     for i in range(min(k, len(words))):
-        h = (h ^ own[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h = h * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        length += size[i : i + n]
-    h, first = np.unique(h.view(np.int64), return_index=True)
-    order = np.lexsort((h, -length[first]))
-    return h[order], length[first][order]
+        h = mixed((h ^ own[i : i + n]) * _ONE)
+    return np.unique(h.view(np.int64))
+
+
+def reach(n: int, num: int, den: int) -> int:
+    """How far a partner of similarity num / den or more can be from a set of n, where n is the smaller one of both."""
+    return n * (den - num) // num
 
 
-def prefix_size(n: np.ndarray | int, num: int, den: int):
-    """How many first shingles of a set of n hold one of any partner with similarity num / den or more."""
-    return n - (n * num + den - 1) // den + 1
+@lru_cache(maxsize=4096)
+def band(n: int) -> tuple[int, int]:
+    """The band [lo, hi) of sizes that n lies in."""
+    lo = 1
+    while (hi := max(lo + 1, int(lo * BAND))) <= n:
+        lo = hi
+    return lo, hi
+
+
+@lru_cache(maxsize=4096)
+def partition(lo: int, hi: int, num: int, den: int) -> tuple[int, int]:
+    """For a band: the number of classes, and how many of a set's classes may be empty so that one of its parts that it surely shares with a
+    partner is not. A set of n shows reach(n) + 1 classes and so many more."""
+    need = reach(hi - 1, num, den) + 1
+    spare = 1
+    while True:
+        p = need + spare
+        a = lo / p
+        empty = p * math.exp(-a)
+        off = math.sqrt(max(0.0, p * (math.exp(-a) - (1 + a) * math.exp(-2 * a))))
+        if spare >= empty + 4 * off + 1 or spare > 64 * need + 64:
+            return p, spare
+        spare += 1 + spare // 8
+
+
+def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The regions of a set of shingles: hashes of its parts in the classes of its band and of the band of its smallest partner."""
+    n, out = len(s), []
+    if not n:
+        return s
+    h = s.view(np.uint64)
+    for lo, hi in sorted({band(m) for m in (n, (n * num + den - 1) // den)}):
+        own = lo <= n < hi
+        far = reach(n, num, den) if own else 2 * n * (den - num) // (den + num)
+        if reach(hi - 1, num, den) == 0 or far == 0:
+            continue  # its partners here are equal sets
+        p, spare = partition(lo, hi, num, den)
+        shown = min(p, far + 1 + spare)
+        at = ((h >> np.uint64(20)) % np.uint64(p)).astype(np.int64)
+        inside = np.flatnonzero(at < shown)
+        at = at[inside]
+        order = np.argsort(at, kind="stable")
+        at, part = at[order], mixed(h[inside[order]])
+        start = np.flatnonzero(np.diff(at, prepend=-1))
+        sums, places = (np.add.reduceat(part, start), at[start]) if len(start) else (part[:0], at[:0])
+        name = mixed(np.uint64(lo << 32) + places.astype(np.uint64))
+        out.append(mixed(sums ^ name).view(np.int64))
+        if shown - len(places) > spare:  # more empty classes than spared: these are shown too
+            rest = np.setdiff1d(np.arange(shown), places, assume_unique=True)
+            out.append(mixed(mixed(np.uint64(lo << 32) + rest.astype(np.uint64))).view(np.int64))
+    return np.concatenate(out) if out else s[:0]
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -73,58 +131,77 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     two = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("either"))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("either"))
 
 
-def _near(a: dict[str, Column], b: dict[str, Column], num: int, den: int) -> Column:
-    """Whether two members of a region may link if its shingle is their first common one, by sizes and places."""
-    both = a["n"] + b["n"]
-    return (den * F.least(a["n"], b["n"]) >= num * F.greatest(a["n"], b["n"])) & ((num + den) * F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= num * both)
-
-
-def links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """members (region, id, n, pos) -> links (a, b), a < b: enough of them to connect whatever the threshold connects."""
-    candidates, found, whole, share = [], [], F.lit(float(den)), F.lit((den - num) / den)
-    members = members.withColumn("comp", F.col("id"))
-    level, before, last = 0, None, False
+def links(members: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """members (region, id, n, m: members of the region), sets (id, s) -> links (a, b) found by pivots, and those of leaves: enough of both to
+    connect whatever the threshold connects."""
+    leaves, found, level = [], [], 0
+    r = F.lit((den - num) / den)
+    similar = lambda x, y: den * F.least(x, y) >= num * F.greatest(x, y)  # noqa: E731  by sizes alone
     while True:
-        stats = members.groupBy("region").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("least")).filter("m > 1 AND c0 <> c1")
-        # a member that could link with no size there is goes no further
-        members = members.join(stats, "region").filter((num + den) * (F.col("n") - F.col("pos")) >= num * (F.col("n") + F.greatest("least", F.ceil(F.col("n") * num / whole))))
-        if level == 0:
-            again = members.groupBy("region").agg(F.count("*").alias("m")).filter("m > 1")
-            members = members.drop("m").join(again, "region")
-        members = keep(members.select("region", "id", "n", "pos", "comp", "m"), "regions")
-        # a round that takes out under a fifth of the crowded members is the last one: what is left is compared pair by pair
-        crowded = members.filter(F.col("m") > LEAF).count()
-        last, before = crowded == 0 or (before is not None and crowded > 0.8 * before), crowded
-        small = members if last else members.filter(F.col("m") <= LEAF)
+        small = members.filter(F.col("m") <= LEAF)
         x, y = small.alias("x"), small.alias("y")
-        ok = (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _near(_row("x"), _row("y"), num, den)
-        candidates.append(x.join(y, F.col("x.region") == F.col("y.region")).filter(ok).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+        ok = (F.col("x.id") < F.col("y.id")) & similar(F.col("x.n"), F.col("y.n"))
+        leaves.append(keep(x.join(y, F.col("x.region") == F.col("y.region")).filter(ok).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "jaccard-leaves"))
         big = members.filter(F.col("m") > LEAF)
-        if last:
+        if big.isEmpty():
+            free(members)
             break
+        h = F.xxhash64("id")
+        pivots = big.groupBy("region", F.pmod(h, F.lit(PIVOTS * FOLD**level)).alias("c")).agg(F.min(F.struct(h.alias("h"), "id", "n")).alias("p")).select("region", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"))
+        pivots = keep(pivots, "jaccard-pivots")
+        # each pair of a pivot and a member once, though regions overlap
+        met = big.join(pivots, "region").filter("id <> pivot")
+        pairs = met.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        far = keep(verified(pairs, sets).select("a", "b", (den * F.col("common") >= num * F.col("either")).alias("linked"), (1 - F.col("common") / F.col("either")).alias("d")), "jaccard-far")
+        found.append(far.filter("linked").select("a", "b"))
+        # pivots have met all members of their regions and leave them
+        rest = big.join(pivots.select("region", F.col("pivot").alias("id")), ["region", "id"], "left_anti")
+        met = rest.join(pivots, "region").join(far.withColumnsRenamed({"a": "pivot", "b": "id"}), ["pivot", "id"])
+        nearest = met.groupBy("region", "id").agg(F.min(F.struct("d", "pivot")).alias("home")).select("region", "id", F.col("home.d").alias("least"))
+        dealt = keep(met.join(nearest, ["region", "id"]).filter(F.col("d") <= F.col("least") + 2 * r + 1e-9).drop("m"), "jaccard-dealt")
+        # regions that the windows would fill again stay whole
+        whole = dealt.groupBy("region").agg(F.count("*").alias("after"), F.count_distinct("id").alias("m")).select("region", (F.col("after") > 1.5 * F.col("m")).alias("whole"))
+        new = dealt.join(whole, "region").withColumn("home", F.when(F.col("whole"), F.col("region")).otherwise(F.xxhash64("region", "pivot")))
+        outer = new.filter(~F.col("linked")).groupBy("region", "pivot").agg(F.min("d").alias("inner"))
+        stays = ~F.col("linked") | (F.col("d") >= F.col("inner") - r - 1e-9)
+        new = new.join(outer, ["region", "pivot"], "left").withColumn("stays", F.coalesce(stays, F.lit(False)))
+        # in a region left whole a member goes as soon as one pivot shows that all its links are inside that pivot's ball
+        new = new.groupBy("home", "id").agg(F.min("n").alias("n"), F.bool_and("stays").alias("stays")).filter("stays").select(F.col("home").alias("region"), "id", "n")
+        new = keep(new, "jaccard-next")
+        sizes = new.groupBy("region").agg(F.count("*").alias("m")).filter("m > 1")
+        before, members = members, keep(new.join(sizes, "region"), "jaccard-regions")
+        free(before, pivots, dealt, new)
         level += 1
-        pivots = big.groupBy("region").agg(F.min(F.struct("pos", F.xxhash64("id").alias("h"), "id")).alias("p")).select("region", F.col("p.id").alias("pivot"))
-        big = big.join(pivots, "region")
-        pairs = big.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        far = keep(verified(pairs, sets), "pivots").withColumn("linked", den * F.col("common") >= num * F.col("either")).withColumn("d", 1 - F.col("common") / F.col("either"))
-        near = far.filter("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found.append(near)
-        comp = components(near).withColumnsRenamed({"id": "id2"})
-        big = big.join(far.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "linked", "d"), ["pivot", "id"])
-        outer = big.filter(~F.col("linked")).groupBy("region").agg(F.min("d").alias("inner"))
-        # of those within the threshold only the border stays: the others are too near the pivot to reach an outer set
-        big = big.join(outer, "region").filter(~F.col("linked") | (F.col("d") >= F.col("inner") - share - 1e-9))
-        members = big.join(comp, F.col("id") == F.col("id2"), "left").select("region", "id", "n", "pos", F.coalesce("component", "comp").alias("comp"))
     union = lambda frames: reduce(DataFrame.union, frames)
-    exact = verified(keep(union(candidates).distinct(), "pairs"), sets).filter(den * F.col("common") >= num * F.col("either"))
-    return union([exact.select("a", "b"), *found])
+    exact = keep(verified(union(leaves).distinct(), sets).filter(den * F.col("common") >= num * F.col("either")).select("a", "b"), "jaccard-links")
+    free(*leaves)
+    return union(found) if found else exact.limit(0), exact
+
+
+class Chosen:
+    """Rows by a bitmap of a fixed size over the hashes of their texts, broadcast; joins behind it take out those let through by chance."""
+
+    def __init__(self, chosen: DataFrame, bits: int = 24):
+        self.shift = np.uint64(64 - bits)
+        self.shared = chosen.sparkSession.sparkContext.broadcast(bitmap(chosen.select("h"), bits))
+
+    def of(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(1).to_numpy().view(np.uint64) >> self.shift
+            hit = (self.shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+            yield batch.filter(pa.array(hit.astype(bool)))
 
 
-def _row(name: str) -> dict[str, Column]:
-    return {"n": F.col(f"{name}.n"), "pos": F.col(f"{name}.pos")}
+def regions(nodes: DataFrame) -> DataFrame:
+    """nodes (node, n, keys) -> members (region, id, n, m) of the regions with two nodes at least; of regions with the same members one."""
+    each = nodes.select(F.explode("keys").alias("region"), F.col("node").alias("id"), "n")
+    # two sums that do not heed the order tell regions of equal members
+    same = [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
+    shared = each.groupBy("region").agg(F.count("*").alias("m"), *same).filter("m > 1").groupBy("m", "x", "y").agg(F.min("region").alias("region")).select("region", "m")
+    return each.join(shared, "region")
 
 
 def classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,121 +209,54 @@ def classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str =
     each row of docs.
 
     Words are runs of anything but ASCII white space, A to Z in lower case. A set holds the distinct shingles of k words; fewer words are one
-    shingle; null and empty texts have none and link with nothing. Rows that share a key are one node; where their words differ it is linked by
-    those of the least hash, at least. A null key is no node and its class is null. Keys have to be integers.
+    shingle; null and empty texts have none and link with nothing. Rows that share a key are one node, linked by the texts of all of them. A
+    null key is no node and its class is null. Keys have to be integers.
     """
+    return classed(docs, k, num, den, key, text)[0]
+
+
+def classed(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """classes(), and the links between nodes that pivots and that leaves found."""
     spark = docs.sparkSession
     ship(spark)
     text_of = F.coalesce(F.col(text).cast("string"), F.lit(""))
     source = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text_of).alias("h"), text_of.alias("text"))
+    node = lambda s: xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
     def first_pass(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
-            own = [shingles(t, k)[0] for t in batch.column(2).to_pylist()]
-            n = np.array([len(x) for x in own], np.int64)
-            digest = pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), digest, _lists([x[: prefix_size(len(x), num, den)] if len(x) else x for x in own])], ["id", "h", "n", "digest", "prefix"])
-
-    def again(batches: Iterable[pa.RecordBatch], rows: Chosen, listed: Listed) -> Iterator[pa.RecordBatch]:
-        """The windows of the chosen rows, frequent shingles last."""
-        for batch in slices(rows.of(batches), 2, 1_000_000):
-            yield windows(batch.column(0), [listed.last(shingles(t, k)[0]) for t in batch.column(2).to_pylist()], num, den)
+            own = [shingles(t, k) for t in batch.column(2).to_pylist()]
+            n = pa.array(np.fromiter(map(len, own), np.int64, len(own)))
+            nodes = pa.array([node(s) if len(s) else None for s in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, nodes, _lists([signatures(s, num, den) for s in own])], ["id", "h", "n", "node", "keys"])
 
     def whole(batches: Iterable[pa.RecordBatch], rows: Chosen) -> Iterator[pa.RecordBatch]:
         for batch in slices(rows.of(batches), 2):
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(t, k)[0] for t in batch.column(2).to_pylist()])], ["id", "s"])
-
-    rows = keep(source.mapInArrow(first_pass, "id long, h long, n long, digest binary, prefix array<long>"), "jaccard-sets")
-    real = rows.filter("n > 0 AND id IS NOT NULL").withColumn("node", F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long"))
-    reps = keep(real.groupBy("digest").agg(F.min(F.struct("id", "h")).alias("r")).select("digest", F.col("r.id").alias("rep"), F.col("r.h").alias("h")), "jaccard-reps")
-    meet, counted = meeting(real.select("node", F.explode("prefix").alias("region")))
-    first = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
-    chosen = keep(reps.withColumn("node", first).join(meet, "node", "left_semi").select(F.col("rep").alias("id"), "h"), "jaccard-chosen")
-    for _ in range(2):
-        pick, order = Chosen(chosen), spark.sparkContext.broadcast(Listed(counted))
-        members = source.mapInArrow(lambda b, pick=pick, order=order: again(b, pick, order.value), MEMBER).join(chosen.select("id"), "id", "left_semi")
-        members = keep(members, "jaccard-windows")
-        meet, more = meeting(members.select(F.col("id").alias("node"), "region"))
-        counted = counted.union(more)
-        chosen = keep(chosen.join(meet.withColumnRenamed("node", "id"), "id", "left_semi"), "jaccard-chosen")
-    small, crowded = possible(members, num, den)
-    crowded = keep(crowded.select("id").distinct(), "jaccard-crowded")
-    partners = small.select(F.col("a").alias("id")).union(small.select(F.col("b").alias("id"))).union(crowded).distinct()
-    chosen = keep(chosen.join(partners, "id", "left_semi"), "jaccard-chosen")
+            own = [shingles(t, k) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([node(s) if len(s) else None for s in own], pa.int64()), _lists(own)], ["id", "h", "node", "s"])
+
+    read = keep(source.mapInArrow(first_pass, "id long, h long, n long, node long, keys array<long>"), "jaccard-read")
+    real = read.filter("node IS NOT NULL AND id IS NOT NULL")
+    nodes = keep(real.groupBy("node").agg(F.min(F.struct("id", "h")).alias("r"), F.min("n").alias("n"), F.first("keys").alias("keys")).select("node", F.col("r.id").alias("rep"), F.col("r.h").alias("h"), "n", "keys"), "jaccard-nodes")
+    rows = keep(read.select("id", "n", "node"), "jaccard-rows")
+    free(read)
+    members = keep(regions(nodes), "jaccard-regions")
+    reps = keep(nodes.select("node", "rep", "h"), "jaccard-reps")
+    free(nodes)
+    chosen = keep(reps.join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi"), "jaccard-chosen")
     pick = Chosen(chosen)
-    sets = keep(source.mapInArrow(lambda b: whole(b, pick), "id long, s array<long>").join(chosen.select("id"), "id", "left_semi"), "jaccard-whole")
-    dense = sets.join(crowded, "id", "left_semi").select(F.explode("s").alias("region")).groupBy("region").agg(F.count("*").alias("c"))
-    often = spark.sparkContext.broadcast(Listed(counted.union(dense)))
-
-    def regions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                yield windows(part.column(0), [often.value.last(x.values.to_numpy(zero_copy_only=False)) for x in part.column(1)], num, den)
-
-    members = keep(sets.mapInArrow(regions, MEMBER), "jaccard-regions")
-    class_of = components(links(members, sets, num, den)).withColumnRenamed("id", "rep")
-    named = reps.join(class_of, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("id", "n", "digest").join(named, "digest", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
-
-
-MEMBER = "region long, id long, n long, pos long"
-
-
-def windows(ids: pa.Array, sets: list[np.ndarray], num: int, den: int) -> pa.RecordBatch:
-    """Sets in their order -> a row for each of their first shingles: the region, the set, its size, and the shingle's place in it."""
-    n = np.array([len(x) for x in sets], np.int64)
-    p = np.where(n > 0, prefix_size(n, num, den), 0)
-    first = np.concatenate([np.zeros(0, np.int64), *(x[:m] for x, m in zip(sets, p, strict=True))])
-    place = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
-    return pa.RecordBatch.from_arrays([pa.array(first), ids.take(pa.array(np.repeat(np.arange(len(n)), p))), pa.array(np.repeat(n, p)), pa.array(place)], ["region", "id", "n", "pos"])
-
-
-class Listed:
-    """The most frequent shingles of (region, c), FREQUENT at least and LISTED at most, by powers of two of their largest counts."""
-
-    def __init__(self, counted: DataFrame):
-        top = counted.filter(F.col("c") >= FREQUENT).groupBy("region").agg(F.max("c").alias("c"))
-        top = top.select("region", F.least(F.floor(F.log2("c")), F.lit(100)).cast("byte").alias("c"))
-        top = top.orderBy(F.col("c").desc(), "region").limit(LISTED).toPandas().sort_values("region")
-        self.shingles, self.grade = top["region"].to_numpy(np.int64), top["c"].to_numpy(np.int8)
-
-    def last(self, s: np.ndarray) -> np.ndarray:
-        """A set in its order, but the listed ones behind the others, the more frequent the later."""
-        if not len(self.shingles) or not len(s):
-            return s
-        at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
-        return s[np.argsort(np.where(self.shingles[at] == s, self.grade[at], 0), kind="stable")]
-
-
-class Chosen:
-    """Rows by a bitmap of a fixed size over the hashes of their texts, broadcast; joins behind it take out those let through by chance."""
-
-    def __init__(self, chosen: DataFrame, bits: int = 24):
-        self.shift = np.uint64(64 - bits)
-        self.shared = chosen.sparkSession.sparkContext.broadcast(bitmap(chosen.select("h"), bits))
-
-    def of(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(1).to_numpy().view(np.uint64) >> self.shift
-            hit = (self.shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-            yield batch.filter(pa.array(hit.astype(bool)))
-
-
-def meeting(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """postings (node, region) -> the nodes that meet another one in a region, and regions with more than one node: region, c."""
-    shared = postings.groupBy("region").agg(F.count("*").alias("c"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
-    shared = keep(shared.select("region", "c"), "jaccard-shared")
-    return postings.join(shared.select("region"), "region", "left_semi").select("node").distinct(), shared
-
-
-def possible(members: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """members -> pairs (a, b) of regions of up to LEAF sets that may link, and the members of larger regions."""
-    m = members.groupBy("region").agg(F.count("*").alias("m")).filter("m > 1")
-    members = keep(members.join(m, "region"), "jaccard-possible")
-    small = members.filter(F.col("m") <= LEAF)
-    x, y = small.alias("x"), small.alias("y")
-    ok = (F.col("x.id") < F.col("y.id")) & _near(_row("x"), _row("y"), num, den)
-    pairs = x.join(y, F.col("x.region") == F.col("y.region")).filter(ok).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    return pairs, members.filter(F.col("m") > LEAF)
+    named = chosen.select("node", F.col("rep").alias("id"), "h")
+    sets = source.mapInArrow(lambda b: whole(b, pick), "id long, h long, node long, s array<long>").join(named, ["node", "id", "h"], "left_semi")
+    sets = keep(sets.dropDuplicates(["node"]).select(F.col("node").alias("id"), "s"), "jaccard-whole")
+    by_pivots, by_leaves = links(members, sets, num, den)
+    name = lambda c: reps.select(F.col("node").alias(c), F.col("rep").alias(f"rep_{c}"))
+    linked = by_pivots.union(by_leaves).join(name("a"), "a").join(name("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    # a key with several texts links them
+    several = rows.filter("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("p"), F.max("node").alias("q")).filter("p <> q").select("id")
+    several = rows.join(several, "id", "left_semi").join(reps, "node").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    class_of = components(linked.union(several)).withColumnRenamed("id", "rep")
+    free(sets)
+    named = reps.join(class_of, "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
+    out = rows.join(named, "node", "left")
+    out = out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    return out, by_pivots, by_leaves

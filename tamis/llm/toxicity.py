@@ -4,13 +4,15 @@ The categories are predicted one after the other. Each has a linear model over w
 toxic words are inflected), and over the probabilities of all earlier categories;
 in training those are out-of-fold predictions, made by models that have not seen the row, so that a later model learns how far to trust them.
 
-Fitting takes a bounded, documented sample of labelled rows. Spark counts words and stems by category over the sample and keeps the most telling
-ones; the sample's rows of those, a matrix of a fixed size, are fitted by Newton's method. All documents are then scored in one pass, without a shuffle.
+Fitting takes a bounded, documented sample of labelled rows. Spark counts words and stems by category and fold over the sample and keeps the most
+telling ones, for each fold's model those that tell in the other folds, so that out-of-fold predictions have not seen their row in any way. The
+sample's rows of those, a matrix of a fixed size, are fitted by Newton's method. All documents are then scored in one pass, without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import keep, ship, slices
+from tamis.llm.common import free, keep, ship, slices
 
 TOKEN = re.compile(r"\w+")
 #: Lengths of stems; a stem is written with a star.
@@ -95,24 +97,39 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 25) -> np
     return w
 
 
-def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled texts -> feature, texts that have it, and those of them by category; summed in the worker."""
-    found: dict[str, np.ndarray] = {}
+def _counted(batches: Iterable[pa.RecordBatch], categories: int) -> Iterator[pa.RecordBatch]:
+    """Labelled texts (text, fold, a mark for each category) -> feature, fold, texts that have it, and those of them by category; summed in the worker."""
+    found: dict[int, list[Counter]] = {}
 
-    def told() -> pa.RecordBatch:
-        n = np.array(list(found.values())).reshape(len(found), -1)
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(n[:, 0].astype(np.int64)), pa.array(n[:, 1:].tolist(), pa.list_(pa.float64()))], ["word", "n", "hits"])
+    def told() -> Iterator[pa.RecordBatch]:
+        for fold, (n, *hits) in found.items():
+            marks = [[float(c[w]) for c in hits] for w in n]
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([fold] * len(n), pa.int32()), pa.array(list(n.values()), pa.int64()), pa.array(marks, pa.list_(pa.float64()))], ["word", "fold", "n", "hits"])
+        found.clear()
 
     for batch in slices(batches, 0):
-        marks = np.array([np.ones(batch.num_rows), *(c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])], float).T
-        for text, mark in zip(batch.column(0).to_pylist(), marks, strict=True):
-            for w in features(text):
-                found[w] = found[w] + mark if w in found else mark
-        if len(found) > 500_000:
-            yield told()
-            found.clear()
-    if found:
-        yield told()
+        for text, fold, *marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n, *hits = found.setdefault(fold, [Counter() for _ in range(1 + categories)])
+            own = features(text)
+            n.update(own)
+            for c, mark in zip(hits, marks, strict=True):
+                if mark:
+                    c.update(own)
+        if sum(len(x[0]) for x in found.values()) > 50_000:
+            yield from told()
+    yield from told()
+
+
+def _telling(counts: DataFrame, n: list[int], hits: list[list[float]], categories: tuple[str, ...], o: Options, fold: int | None) -> tuple[str, ...]:
+    """The most telling features of the sample, without a fold if one is given. counts: word, n, a count for each category, and the same by fold."""
+    less = lambda c: F.col(c) if fold is None else F.col(c) - F.col(f"{c}{fold}")
+    rows, off = sum(n) - (n[fold] if fold is not None else 0), []
+    for j, own in enumerate(hits):
+        share = (sum(own) - (own[fold] if fold is not None else 0.0)) / max(rows, 1)
+        off.append((less(f"c{j}") - less("n") * share) / F.sqrt(less("n") * max(share * (1 - share), 1e-9)))
+    score = F.greatest(*map(F.abs, off), F.lit(0.0))
+    top = counts.filter(less("n") >= o.min_docs).select("word", score.alias("score")).filter(F.col("score") >= o.min_score)
+    return tuple(r.word for r in top.orderBy(F.col("score").desc(), "word").limit(o.vocabulary).collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], o: Options = Options(), key: str = "doc_id", text: str = "text") -> Model:
@@ -125,40 +142,49 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], o: Opti
     source = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ship(docs.sparkSession)
     rows = source.join(F.broadcast(said), "id")
-    rows = keep(rows.groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.struct("id", "text", *categories)).alias("x")).select("x.*"), "toxic-sample")
-    n, *hits = rows.agg(F.count("*"), *(F.coalesce(F.sum(c), F.lit(0.0)) for c in categories)).first()
-    by_word = rows.select("text", *categories).mapInArrow(_counted, "word string, n long, hits array<double>")
-    by_word = by_word.groupBy("word").agg(F.sum("n").alias("n"), *(F.sum(F.get("hits", F.lit(j))).alias(c) for j, c in enumerate(categories))).filter(F.col("n") >= o.min_docs)
-    off = []
-    for c, k in zip(categories, hits, strict=True):
-        share = k / max(n, 1)
-        off.append((F.col(c) - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-9)))
-    score = F.greatest(*map(F.abs, off), F.lit(0.0))
-    top = by_word.select("word", score.alias("score")).filter(F.col("score") >= o.min_score).orderBy(F.col("score").desc(), "word").limit(o.vocabulary)
-    words = tuple(r.word for r in top.collect())
-    find = Lookup(words)
+    sample = rows = keep(rows.groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.struct("id", "text", *categories)).alias("x")).select("x.*"), "toxic-sample")
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(o.folds)).cast("int"))
+    sums = {r.fold: r for r in rows.groupBy("fold").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"c{j}") for j, c in enumerate(categories))).collect()}
+    n = [sums[f].n if f in sums else 0 for f in range(o.folds)]
+    hits = [[sums[f][f"c{j}"] if f in sums else 0.0 for f in range(o.folds)] for j in range(len(categories))]
+    k = len(categories)
+    by_word = rows.select("text", "fold", *categories).mapInArrow(lambda b: _counted(b, k), "word string, fold int, n long, hits array<double>")
+    every = {"n": F.col("n")} | {f"c{j}": F.get("hits", F.lit(j)) for j in range(k)}
+    by_word = keep(by_word.groupBy("word").agg(*(F.sum(x).alias(c) for c, x in every.items()), *(F.coalesce(F.sum(F.when(F.col("fold") == f, x)), F.lit(0)).alias(f"{c}{f}") for c, x in every.items() for f in range(o.folds))), "toxic-counts")
+    of_fold = [_telling(by_word, n, hits, categories, o, f) for f in range(o.folds)]
+    words = _telling(by_word, n, hits, categories, o, None)
+    free(by_word)
+    listed = tuple(dict.fromkeys([*words, *(w for own in of_fold for w in own)]))
+    find = Lookup(listed)
 
     def numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            own = [find.row(t).tolist() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64())), *batch.columns[2:]], ["h", "w", *categories])
-
-    kinds = "h long, w array<long>" + "".join(f", `{c}` double" for c in categories)
-    data = rows.select(F.xxhash64("id").alias("h"), "text", *categories).mapInArrow(numbered, kinds).orderBy("h").toPandas()
-    x = np.zeros((len(data), len(words)))
+        for batch in slices(batches, 2):
+            own = [find.row(t).tolist() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own, pa.list_(pa.int64())), *batch.columns[3:]], ["h", "fold", "w", *categories])
+
+    kinds = "h long, fold int, w array<long>" + "".join(f", `{c}` double" for c in categories)
+    data = rows.select(F.xxhash64("id").alias("h"), "fold", "text", *categories).mapInArrow(numbered, kinds).orderBy("h").toPandas()
+    free(sample)
+    x = np.zeros((len(data), len(listed)))
     for i, own in enumerate(data["w"]):
         x[i, own] = 1.0
-    fold = data["h"].to_numpy(np.int64) % o.folds
-    weights = []
-    for c in categories:
-        y = data[c].to_numpy(float)
-        weights.append(logistic(x, y, o.ridge))
+    return chain(x, data["fold"].to_numpy(np.int64), [data[c].to_numpy(float) for c in categories], words, [[listed.index(w) for w in own] for own in of_fold], categories, o)
+
+
+def chain(x: np.ndarray, fold: np.ndarray, marks: list[np.ndarray], words: tuple[str, ...], of_fold: list[list[int]], categories: tuple[str, ...], o: Options) -> Model:
+    """Rows by features (the model's own first), their folds, a row of marks for each category and each fold's features -> the chain. A category's
+    out-of-fold probabilities become a feature of all later ones."""
+    weights, earlier = [], np.zeros((len(x), 0))
+    full = x[:, : len(words)]
+    for y in marks:
+        weights.append(logistic(np.concatenate([full, earlier], 1), y, o.ridge))
         out = np.zeros((len(x), 1))
-        for f in range(o.folds):
+        for f, own in enumerate(of_fold):
             if (fold == f).any():
-                w = logistic(x[fold != f], y[fold != f], o.ridge)
-                out[fold == f, 0] = 1 / (1 + np.exp(-np.clip(x[fold == f] @ w[:-1] + w[-1], -30, 30)))
-        x = np.concatenate([x, out], 1)
+                seen = np.concatenate([x[:, own], earlier], 1)
+                w = logistic(seen[fold != f], y[fold != f], o.ridge)
+                out[fold == f, 0] = 1 / (1 + np.exp(-np.clip(seen[fold == f] @ w[:-1] + w[-1], -30, 30)))
+        earlier = np.concatenate([earlier, out], 1)
     return Model(words, categories, tuple(weights))
 
 

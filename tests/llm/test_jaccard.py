@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from tamis.llm import graph, jaccard
 
@@ -72,3 +73,36 @@ def test_components(spark):
     links = [(9, 8), (8, 7), (7, 6), (1, 9), (20, 21), (21, 22), (5, 5), (30, 20)]
     out = graph.components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r.id: r.component for r in out} == {9: 1, 8: 1, 7: 1, 6: 1, 1: 1, 20: 20, 21: 20, 22: 20, 30: 20}
+
+
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (4, 5)])
+def test_linked_sets_meet(num, den):
+    """Whatever the sizes, two sets within the threshold have a region in common."""
+    rng = np.random.default_rng(num)
+    shared = 0
+    for _ in range(3000):
+        n = int(np.exp(rng.uniform(0, 6.5))) + 1
+        a = rng.integers(-(2**63), 2**63, n)
+        gone, new = rng.integers(0, jaccard.reach(n, num, den) + 2, 2)
+        b = np.unique(np.concatenate([a[gone:], rng.integers(-(2**63), 2**63, new)]))
+        a = np.unique(a)
+        common = len(np.intersect1d(a, b))
+        if den * common >= num * (len(a) + len(b) - common) and common < max(len(a), len(b)):
+            shared += 1
+            assert len(np.intersect1d(jaccard.signatures(a, num, den), jaccard.signatures(b, num, den)))
+    assert shared > 300
+
+
+def test_links_come_from_pivots_and_leaves(spark):
+    """Chains of copies in groups larger than a leaf: most links are found by pivots; every one is within the threshold."""
+    r = random.Random(5)
+    base = [f"w{r.randrange(500)}" for _ in range(120)]
+    rows = [(i, edited(r, base, r.randrange(4))) for i in range(60)] + [(100 + i, edited(r, [f"v{i // 2}x{j}" for j in range(80)], 1)) for i in range(12)]
+    out, pivots, leaves = jaccard.classed(documents(spark, rows), 3, 9, 10)
+    assert got(out) == brute(rows, 3, 9, 10) and pivots.count() > 30 and leaves.count() >= 1
+
+
+def test_key_with_two_texts_links_both(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    out = jaccard.classes(documents(spark, [(5, one), (5, two), (3, one + " more"), (9, two + " more"), (7, one + " more")]), 3, 9, 10)
+    assert {r.component_id for r in out.collect()} == {3}
