@@ -6,13 +6,13 @@
    + |y - x| of two sets is the sum of the distances of their parts in each class, and the threshold bounds it. With more classes than that
    bound, two linked sets have an equal part (distance 0) in one class at least, so they meet in the region of that part. Sizes are dealt in
    bands, with a window that replicates a set into the band below, if a partner may lie there.
-3. Each region is joined in the metric space. It takes several pivots, more at each level; distances of all members from them are exact, and
-   give the links of the pivots, which leave. A member goes to the region of its nearest pivot and, by the triangle inequality, into each other
-   region whose pivot is nearer than its nearest one by less than twice the threshold. Inside the threshold's ball of a pivot all are linked;
-   of these only the border stays that may reach a member outside the ball. A region that its pivots do not separate stays whole, less its
-   pivots. So every level takes pivots out of every region, and their number grows fourfold: the recursion ends after as many levels as the
-   logarithm of the largest region.
-4. Regions of at most LEAF sets are compared set by set, exactly. Links make components.
+3. Regions that share a set are one family. A family is joined in the metric space: it takes several pivots, those that meet most others in
+   the regions first. Distances of all members from them are exact, and give the links of the pivots, which leave. A member goes to the
+   region of its nearest pivot and, by the triangle inequality, into each other one whose pivot is farther than its nearest one by no more than
+   twice the threshold. Inside the threshold's ball of a pivot all are linked; of these only the border stays that may reach a member outside.
+   Each such region is joined again in the same way. A region that its pivots do not separate (one of the new ones would hold most of it, or
+   all together twice as many) is cut into blocks, and each two blocks are compared. So regions shrink by a quarter at each level.
+4. Regions of at most LEAF sets, and pairs of blocks, are compared exactly, all sets of a task at once. Links make components.
 
 No region is gathered into one task: members are rows, hot regions are counted by partial sums and split by Spark's joins. What is exact is so
 on 64-bit hashes of shingles.
@@ -33,10 +33,8 @@ from pyspark.sql import functions as F
 from tamis.llm.common import bitmap, free, keep, ship, slices
 from tamis.llm.graph import components
 
-#: Regions of so many sets are compared set by set.
-LEAF = 8
-#: Pivots of a region at the first level; at each further level FOLD times as many.
-PIVOTS, FOLD = 2, 4
+#: So many sets are compared in one task; so many pivots a larger region has.
+LEAF, PIVOTS = 128, 4
 #: The least sizes of two bands are as 2 to 3.
 BAND = 1.5
 _UPPER = bytes(range(65, 91))
@@ -127,58 +125,102 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) -> a, b, common, either: the sizes of intersection and union."""
+    """pairs (a, b, any others) -> with common, either: the sizes of intersection and union."""
     one = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     two = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return pairs.join(two, "b").join(one, "a").select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("either"))
+    return pairs.join(two, "b").join(one, "a").select(*pairs.columns, common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("either"))
+
+
+def forest(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Of the links between sets, by all pairs, enough to connect what they connect."""
+    n, size = len(sets), np.array([len(s) for s in sets], np.int64)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), size)[times[column] > 1]
+    _, column = np.unique(column[times[column] > 1], return_inverse=True)
+    common, order = np.zeros((n, n), np.float64), np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        i, j = np.searchsorted(column, (start, start + 4096))
+        part = np.zeros((n, 4096), np.float32)
+        part[row[i:j], column[i:j] - start] = 1.0
+        common += part @ part.T
+    up, out = list(range(n)), []
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for i, j in np.argwhere(np.triu(den * common >= num * (size[:, None] + size - common), 1)).tolist():
+        if (p := top(i)) != (q := top(j)):
+            up[q] = p
+            out.append((i, j))
+    return out
+
+
+def compared(tasks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """tasks (task, id), up to LEAF sets a task or little more -> links (a, b) between the sets of a task, enough to connect them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, own, task = [], [], None
+
+        def told() -> pa.RecordBatch:
+            found = forest(own, num, den) if len(own) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for t, i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if t != task:
+                    yield told()
+                    ids, own, task = [], [], t
+                ids.append(i), own.append(s.values.to_numpy())
+        yield told()
+
+    rows = tasks.join(sets, "id").select("task", "id", "s").repartition("task").sortWithinPartitions("task")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def links(members: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """members (region, id, n, m: members of the region), sets (id, s) -> links (a, b) found by pivots, and those of leaves: enough of both to
-    connect whatever the threshold connects."""
-    leaves, found, level = [], [], 0
+    """members (region, id, n, c: how often it meets others), sets (id, s) -> links (a, b) found by pivots, and those of leaves and blocks: enough
+    of both to connect whatever the threshold connects."""
+    tasks, by_pivots = [], []
     r = F.lit((den - num) / den)
-    similar = lambda x, y: den * F.least(x, y) >= num * F.greatest(x, y)  # noqa: E731  by sizes alone
+    members = keep(members.join(members.groupBy("region").agg(F.count("*").alias("m")).filter("m > 1"), "region"), "jaccard-members")
     while True:
-        small = members.filter(F.col("m") <= LEAF)
-        x, y = small.alias("x"), small.alias("y")
-        ok = (F.col("x.id") < F.col("y.id")) & similar(F.col("x.n"), F.col("y.n"))
-        leaves.append(keep(x.join(y, F.col("x.region") == F.col("y.region")).filter(ok).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "jaccard-leaves"))
+        tasks.append(members.filter(F.col("m") <= LEAF).select(F.col("region").alias("task"), "id"))
         big = members.filter(F.col("m") > LEAF)
         if big.isEmpty():
-            free(members)
             break
-        h = F.xxhash64("id")
-        pivots = big.groupBy("region", F.pmod(h, F.lit(PIVOTS * FOLD**level)).alias("c")).agg(F.min(F.struct(h.alias("h"), "id", "n")).alias("p")).select("region", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"))
-        pivots = keep(pivots, "jaccard-pivots")
-        # each pair of a pivot and a member once, though regions overlap
-        met = big.join(pivots, "region").filter("id <> pivot")
-        pairs = met.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        far = keep(verified(pairs, sets).select("a", "b", (den * F.col("common") >= num * F.col("either")).alias("linked"), (1 - F.col("common") / F.col("either")).alias("d")), "jaccard-far")
-        found.append(far.filter("linked").select("a", "b"))
+        pick = F.max(F.struct("c", F.xxhash64("id").alias("h"), "id"))
+        pivots = big.groupBy("region", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("k")).agg(pick.alias("p")).groupBy("region").agg(F.collect_list("p.id").alias("pivots"))
+        met = keep(big.join(pivots, "region").select("region", "id", "n", "c", "m", "pivots"), "jaccard-met")
+        pairs = met.select(F.explode("pivots").alias("a"), F.col("id").alias("b")).filter("a <> b").distinct()
+        far = verified(pairs, sets).select("a", "b", (den * F.col("common") >= num * F.col("either")).alias("linked"), (1 - F.col("common") / F.col("either")).alias("d"))
+        far = keep(far, "jaccard-far")
+        by_pivots.append(far.filter("linked").select("a", "b"))
         # pivots have met all members of their regions and leave them
-        rest = big.join(pivots.select("region", F.col("pivot").alias("id")), ["region", "id"], "left_anti")
-        met = rest.join(pivots, "region").join(far.withColumnsRenamed({"a": "pivot", "b": "id"}), ["pivot", "id"])
-        nearest = met.groupBy("region", "id").agg(F.min(F.struct("d", "pivot")).alias("home")).select("region", "id", F.col("home.d").alias("least"))
-        dealt = keep(met.join(nearest, ["region", "id"]).filter(F.col("d") <= F.col("least") + 2 * r + 1e-9).drop("m"), "jaccard-dealt")
-        # regions that the windows would fill again stay whole
-        whole = dealt.groupBy("region").agg(F.count("*").alias("after"), F.count_distinct("id").alias("m")).select("region", (F.col("after") > 1.5 * F.col("m")).alias("whole"))
-        new = dealt.join(whole, "region").withColumn("home", F.when(F.col("whole"), F.col("region")).otherwise(F.xxhash64("region", "pivot")))
-        outer = new.filter(~F.col("linked")).groupBy("region", "pivot").agg(F.min("d").alias("inner"))
-        stays = ~F.col("linked") | (F.col("d") >= F.col("inner") - r - 1e-9)
-        new = new.join(outer, ["region", "pivot"], "left").withColumn("stays", F.coalesce(stays, F.lit(False)))
-        # in a region left whole a member goes as soon as one pivot shows that all its links are inside that pivot's ball
-        new = new.groupBy("home", "id").agg(F.min("n").alias("n"), F.bool_and("stays").alias("stays")).filter("stays").select(F.col("home").alias("region"), "id", "n")
-        new = keep(new, "jaccard-next")
-        sizes = new.groupBy("region").agg(F.count("*").alias("m")).filter("m > 1")
-        before, members = members, keep(new.join(sizes, "region"), "jaccard-regions")
-        free(before, pivots, dealt, new)
-        level += 1
+        near = met.filter(~F.array_contains("pivots", F.col("id"))).withColumn("a", F.explode("pivots")).join(far.withColumnRenamed("b", "id"), ["a", "id"])
+        near = near.groupBy("region", "id").agg(*(F.first(c).alias(c) for c in ("n", "c", "m")), F.collect_list(F.struct("d", F.col("a").alias("pivot"), "linked")).alias("all"))
+        near = near.withColumn("all", F.filter("all", lambda p: p["d"] <= F.array_min(F.transform("all", lambda q: q["d"])) + 2 * r + 1e-9))
+        dealt = keep(near.select("region", "id", "n", "c", "m", F.explode("all").alias("p")).select("region", "id", "n", "c", "m", "p.*"), "jaccard-dealt")
+        cell = dealt.groupBy("region", "pivot").agg(F.first("m").alias("m"), F.count("*").alias("own"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("inner"))
+        apart = cell.groupBy("region").agg(((F.max("own") <= 0.75 * F.first("m")) & (F.sum("own") <= 2 * F.first("m"))).alias("apart"))
+        # a member stays where a pivot does not show that all its links are inside the pivot's ball
+        stays = F.coalesce(~F.col("linked") | (F.col("d") >= F.col("inner") - r - 1e-9), F.lit(False))
+        windows = dealt.drop("m").join(cell.join(apart, "region"), ["region", "pivot"]).withColumn("stays", stays)
+        new = windows.filter("apart AND stays").select(F.xxhash64("region", "pivot").alias("region"), "id", "n", "c")
+        whole = windows.filter("NOT apart").groupBy("region", "id").agg(F.bool_and("stays").alias("stays")).filter("stays")
+        whole = keep(whole.join(whole.groupBy("region").agg(F.ceil(F.count("*") / max(1, LEAF // 2)).alias("blocks")), "region"), "jaccard-whole")
+        own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+        blocks = whole.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        tasks.append(blocks.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "id"))
+        new = keep(new.join(new.groupBy("region").agg(F.count("*").alias("m")).filter("m > 1"), "region"), "jaccard-members")
+        free(met, dealt)
+        members = new
     union = lambda frames: reduce(DataFrame.union, frames)
-    exact = keep(verified(union(leaves).distinct(), sets).filter(den * F.col("common") >= num * F.col("either")).select("a", "b"), "jaccard-links")
-    free(*leaves)
-    return union(found) if found else exact.limit(0), exact
+    exact = keep(compared(union(tasks), sets, num, den), "jaccard-links")
+    return (union(by_pivots) if by_pivots else exact.limit(0)), exact
 
 
 class Chosen:
@@ -195,13 +237,15 @@ class Chosen:
             yield batch.filter(pa.array(hit.astype(bool)))
 
 
-def regions(nodes: DataFrame) -> DataFrame:
-    """nodes (node, n, keys) -> members (region, id, n, m) of the regions with two nodes at least; of regions with the same members one."""
-    each = nodes.select(F.explode("keys").alias("region"), F.col("node").alias("id"), "n")
-    # two sums that do not heed the order tell regions of equal members
-    same = [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
-    shared = each.groupBy("region").agg(F.count("*").alias("m"), *same).filter("m > 1").groupBy("m", "x", "y").agg(F.min("region").alias("region")).select("region", "m")
-    return each.join(shared, "region")
+def families(nodes: DataFrame) -> DataFrame:
+    """nodes (node, n, keys) -> members (region, id, n, c): the nodes that meet others in regions, by family, and in how many places they do."""
+    each = nodes.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "n")
+    shared = each.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lo")).filter("m > 1")
+    met = keep(each.join(shared, "key").groupBy("id", "lo").agg(F.first("n").alias("n"), F.sum("m").alias("c")), "jaccard-met")
+    own = components(met.select(F.col("id").alias("a"), F.col("lo").alias("b"))).withColumnRenamed("component", "region")
+    out = keep(met.groupBy("id").agg(F.first("n").alias("n"), F.sum("c").alias("c")).join(own, "id").select("region", "id", "n", "c"), "jaccard-families")
+    free(met)
+    return out
 
 
 def classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,14 +284,14 @@ def classed(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", te
     nodes = keep(real.groupBy("node").agg(F.min(F.struct("id", "h")).alias("r"), F.min("n").alias("n"), F.first("keys").alias("keys")).select("node", F.col("r.id").alias("rep"), F.col("r.h").alias("h"), "n", "keys"), "jaccard-nodes")
     rows = keep(read.select("id", "n", "node"), "jaccard-rows")
     free(read)
-    members = keep(regions(nodes), "jaccard-regions")
+    members = families(nodes)
     reps = keep(nodes.select("node", "rep", "h"), "jaccard-reps")
     free(nodes)
     chosen = keep(reps.join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi"), "jaccard-chosen")
     pick = Chosen(chosen)
-    named = chosen.select("node", F.col("rep").alias("id"), "h")
-    sets = source.mapInArrow(lambda b: whole(b, pick), "id long, h long, node long, s array<long>").join(named, ["node", "id", "h"], "left_semi")
-    sets = keep(sets.dropDuplicates(["node"]).select(F.col("node").alias("id"), "s"), "jaccard-whole")
+    named = chosen.select("node", "rep", F.col("h").alias("first"))
+    sets = source.mapInArrow(lambda b: whole(b, pick), "id long, h long, node long, s array<long>").join(named, "node").filter("id = rep AND h = first")
+    sets = keep(sets.dropDuplicates(["node"]).select(F.col("node").alias("id"), "s"), "jaccard-whole")  # by node, as joined
     by_pivots, by_leaves = links(members, sets, num, den)
     name = lambda c: reps.select(F.col("node").alias(c), F.col("rep").alias(f"rep_{c}"))
     linked = by_pivots.union(by_leaves).join(name("a"), "a").join(name("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
@@ -255,7 +299,6 @@ def classed(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", te
     several = rows.filter("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("p"), F.max("node").alias("q")).filter("p <> q").select("id")
     several = rows.join(several, "id", "left_semi").join(reps, "node").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     class_of = components(linked.union(several)).withColumnRenamed("id", "rep")
-    free(sets)
     named = reps.join(class_of, "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
     out = rows.join(named, "node", "left")
     out = out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))

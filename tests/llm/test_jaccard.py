@@ -48,7 +48,7 @@ def edited(r, words, n):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("leaf", [3, 64])
+@pytest.mark.parametrize("leaf", [3, 40, 128])
 def test_large_group_of_near_copies(spark, monkeypatch, leaf):
     """More copies than a leaf holds, with chains of links, so that document pivots and borders are used."""
     monkeypatch.setattr(jaccard, "LEAF", leaf)
@@ -93,8 +93,9 @@ def test_linked_sets_meet(num, den):
     assert shared > 300
 
 
-def test_links_come_from_pivots_and_leaves(spark):
-    """Chains of copies in groups larger than a leaf: most links are found by pivots; every one is within the threshold."""
+def test_links_come_from_pivots_and_leaves(spark, monkeypatch):
+    """Groups larger than a leaf take pivots, smaller ones are compared at once; both kinds give links."""
+    monkeypatch.setattr(jaccard, "LEAF", 16)
     r = random.Random(5)
     base = [f"w{r.randrange(500)}" for _ in range(120)]
     rows = [(i, edited(r, base, r.randrange(4))) for i in range(60)] + [(100 + i, edited(r, [f"v{i // 2}x{j}" for j in range(80)], 1)) for i in range(12)]
