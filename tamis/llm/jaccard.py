@@ -6,7 +6,8 @@
    + |y - x| of two sets is the sum of the distances of their parts in each class, and the threshold bounds it. With more classes than that
    bound, two linked sets have an equal part (distance 0) in one class at least, so they meet in the region of that part. Sizes are dealt in
    bands, with a window that replicates a set into the band below, if a partner may lie there.
-3. Regions that share a set are one family. A family is joined in the metric space: it takes several pivots, those that meet most others in
+   In fact they meet in several, as more classes are shown than that: so a set drops its weakest regions, up to half of what a partner shares.
+3. Regions that still share a set are one family. A family is joined in the metric space: it takes several pivots, those that meet most others in
    the regions first. Distances of all members from them are exact, and give the links of the pivots, which leave. A member goes to the
    region of its nearest pivot and, by the triangle inequality, into each other one whose pivot is farther than its nearest one by no more than
    twice the threshold. Inside the threshold's ball of a pivot all are linked; of these only the border stays that may reach a member outside.
@@ -29,12 +30,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tamis.llm.common import bitmap, free, keep, ship, slices
 from tamis.llm.graph import components
 
 #: So many sets are compared in one task; so many pivots a larger region has.
-LEAF, PIVOTS = 128, 4
+LEAF, PIVOTS = 256, 4
 #: The least sizes of two bands are as 2 to 3.
 BAND = 1.5
 _UPPER = bytes(range(65, 91))
@@ -77,10 +79,10 @@ def band(n: int) -> tuple[int, int]:
 
 @lru_cache(maxsize=4096)
 def partition(lo: int, hi: int, num: int, den: int) -> tuple[int, int]:
-    """For a band: the number of classes, and how many of a set's classes may be empty so that one of its parts that it surely shares with a
-    partner is not. A set of n shows reach(n) + 1 classes and so many more."""
+    """For a band: the number of classes, and how many more a set shows than could differ from a partner: a quarter more, or what leaves parts that
+    are not empty, if that is more."""
     need = reach(hi - 1, num, den) + 1
-    spare = 1
+    spare = 1 + need // 4
     while True:
         p = need + spare
         a = lo / p
@@ -91,15 +93,15 @@ def partition(lo: int, hi: int, num: int, den: int) -> tuple[int, int]:
         spare += 1 + spare // 8
 
 
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The regions of a set of shingles: hashes of its parts in the classes of its band and of the band of its smallest partner."""
-    n, out = len(s), []
+def signatures(s: np.ndarray, num: int, den: int) -> tuple[list[np.ndarray], list[int]]:
+    """The regions of a set of shingles: for its band, and the band of its smallest partner where that is another one, hashes of its parts, and how
+    many of these it shares at least with any partner there."""
+    n, out, least = len(s), [], []
     if not n:
-        return s
+        return out, least
     h = s.view(np.uint64)
     for lo, hi in sorted({band(m) for m in (n, (n * num + den - 1) // den)}):
-        own = lo <= n < hi
-        far = reach(n, num, den) if own else 2 * n * (den - num) // (den + num)
+        far = reach(n, num, den) if lo <= n < hi else 2 * n * (den - num) // (den + num)
         if reach(hi - 1, num, den) == 0 or far == 0:
             continue  # its partners here are equal sets
         p, spare = partition(lo, hi, num, den)
@@ -109,14 +111,15 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
         at = at[inside]
         order = np.argsort(at, kind="stable")
         at, part = at[order], mixed(h[inside[order]])
-        start = np.flatnonzero(np.diff(at, prepend=-1))
-        sums, places = (np.add.reduceat(part, start), at[start]) if len(start) else (part[:0], at[:0])
-        name = mixed(np.uint64(lo << 32) + places.astype(np.uint64))
-        out.append(mixed(sums ^ name).view(np.int64))
-        if shown - len(places) > spare:  # more empty classes than spared: these are shown too
+        start = np.flatnonzero(np.concatenate([at[:1] >= 0, at[1:] != at[:-1]]))
+        sums, places = (np.add.reduceat(part, start), at[start]) if len(start) else (part, at)
+        own = mixed(sums ^ mixed(np.uint64(lo << 32) + places.astype(np.uint64))).view(np.int64)
+        empty = shown - len(places)
+        if empty > spare:  # too many to be sure of a part that is not: these are shown too
             rest = np.setdiff1d(np.arange(shown), places, assume_unique=True)
-            out.append(mixed(mixed(np.uint64(lo << 32) + rest.astype(np.uint64))).view(np.int64))
-    return np.concatenate(out) if out else s[:0]
+            own = np.concatenate([own, mixed(mixed(np.uint64(lo << 32) + rest.astype(np.uint64))).view(np.int64)])
+        out.append(own), least.append(max(1, 1 + spare - empty))
+    return out, least
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -238,12 +241,23 @@ class Chosen:
 
 
 def families(nodes: DataFrame) -> DataFrame:
-    """nodes (node, n, keys) -> members (region, id, n, c): the nodes that meet others in regions, by family, and in how many places they do."""
-    each = nodes.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "n")
+    """nodes (node, n, keys, least) -> members (region, id, n, c): the nodes that may have a partner, by family, and in how many places they meet others.
+
+    A region is named by its least node. Two partners x, y share as many regions as either's `least`; x drops names of under half of its own in
+    sum, y likewise, so one shared region is left to both.
+    """
+    bands = nodes.select(F.col("node").alias("id"), "n", F.posexplode(F.arrays_zip("keys", "least")).alias("band", "b")).select("id", "n", "band", F.col("b.least").alias("least"), F.col("b.keys").alias("keys"))
+    each = bands.select("id", "band", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lo")).filter("m > 1")
-    met = keep(each.join(shared, "key").groupBy("id", "lo").agg(F.first("n").alias("n"), F.sum("m").alias("c")), "jaccard-met")
-    own = components(met.select(F.col("id").alias("a"), F.col("lo").alias("b"))).withColumnRenamed("component", "region")
-    out = keep(met.groupBy("id").agg(F.first("n").alias("n"), F.sum("c").alias("c")).join(own, "id").select("region", "id", "n", "c"), "jaccard-families")
+    met = each.join(shared, "key").groupBy("id", "band", "lo").agg(F.count("*").alias("w"), F.sum("m").alias("c")).join(bands.drop("keys"), ["id", "band"])
+    by = W.partitionBy("id", "band")
+    met = met.withColumn("total", F.sum("w").over(by)).withColumn("weaker", F.sum("w").over(by.orderBy("w", "lo").rowsBetween(W.unboundedPreceding, 0)))
+    met = keep(met.filter("total >= least AND 2 * weaker >= least").select("id", "n", "lo", "c"), "jaccard-met")
+    # a name links the sets that kept it, whether or not the least node itself did
+    alone = met.groupBy("lo").agg(F.countDistinct("id").alias("k")).filter("k > 1").select("lo")
+    met2 = met.join(alone, "lo")
+    own = components(met2.select(F.col("id").alias("a"), F.col("lo").alias("b"))).withColumnRenamed("component", "region")
+    out = keep(met2.groupBy("id").agg(F.first("n").alias("n"), F.sum("c").alias("c")).join(own, "id").select("region", "id", "n", "c"), "jaccard-families")
     free(met)
     return out
 
@@ -272,16 +286,20 @@ def classed(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", te
             own = [shingles(t, k) for t in batch.column(2).to_pylist()]
             n = pa.array(np.fromiter(map(len, own), np.int64, len(own)))
             nodes = pa.array([node(s) if len(s) else None for s in own], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, nodes, _lists([signatures(s, num, den) for s in own])], ["id", "h", "n", "node", "keys"])
+            shown = [signatures(s, num, den) for s in own]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(least) for _, least in shown])]).astype(np.int32))
+            keys = pa.ListArray.from_arrays(ends, _lists([x for keys, _ in shown for x in keys]))
+            least = pa.ListArray.from_arrays(ends, pa.array([x for _, least in shown for x in least], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, nodes, keys, least], ["id", "h", "n", "node", "keys", "least"])
 
     def whole(batches: Iterable[pa.RecordBatch], rows: Chosen) -> Iterator[pa.RecordBatch]:
         for batch in slices(rows.of(batches), 2):
             own = [shingles(t, k) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([node(s) if len(s) else None for s in own], pa.int64()), _lists(own)], ["id", "h", "node", "s"])
 
-    read = keep(source.mapInArrow(first_pass, "id long, h long, n long, node long, keys array<long>"), "jaccard-read")
+    read = keep(source.mapInArrow(first_pass, "id long, h long, n long, node long, keys array<array<long>>, least array<int>"), "jaccard-read")
     real = read.filter("node IS NOT NULL AND id IS NOT NULL")
-    nodes = keep(real.groupBy("node").agg(F.min(F.struct("id", "h")).alias("r"), F.min("n").alias("n"), F.first("keys").alias("keys")).select("node", F.col("r.id").alias("rep"), F.col("r.h").alias("h"), "n", "keys"), "jaccard-nodes")
+    nodes = keep(real.groupBy("node").agg(F.min(F.struct("id", "h")).alias("r"), F.min("n").alias("n"), F.first(F.struct("keys", "least")).alias("shown")).select("node", F.col("r.id").alias("rep"), F.col("r.h").alias("h"), "n", "shown.*"), "jaccard-nodes")
     rows = keep(read.select("id", "n", "node"), "jaccard-rows")
     free(read)
     members = families(nodes)
