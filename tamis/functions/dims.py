@@ -63,3 +63,10 @@ SHAPES = (
     "strip", "strips", "ball", "balls", "log", "logs", "circle", "circles", "dice", "diced", "julienne", "matchstick", "matchsticks",
     "baton", "batons", "wedge", "wedges", "sliver", "slivers", "shred", "shreds",
 )
+# Nouns that only portion a length out, words that make an amount one of each piece, and words that begin a clause on how a linked
+# thing is prepared.
+PORTIONS = ("piece", "chunk", "knob", "length", "segment", "section", "stick", "nub", "thumb", "stub", "bit", "hunk")
+PER_UNIT = ("each", "ea", "apiece", "per")
+CLAUSES = (
+    "using", "made", "prepared", "seasoned", "flavored", "flavoured", "thinned", "mixed", "blended", "folded", "topped", "with", "without", "plus",
+)

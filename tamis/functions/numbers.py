@@ -4,14 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.functions.dims import VULGAR
-
-FRACTION, V = r"\d+\s*/\s*\d+", "[" + "".join(VULGAR) + "]"
-NUMBER = rf"(?:\d+\s*(?:{FRACTION}|{V})|{FRACTION}|{V}|\d+(?:\.\d+)?)"
-RANGE = r"\s*(?:[-\x{2013}\x{2014}]|\bto\b)\s*"
+from tamis.functions.shapes import NUM, TO, groups, number, shape, tokens
 
 
 def bind(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -23,38 +19,44 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
-def _part(x: Column, pattern: str, i: int) -> Column:
-    return F.nullif(F.regexp_extract(x, pattern, i), F.lit(""))
-
-
 def scalar(x: Column) -> Column:
     """One number, without a range: decimal, fraction, whole and fraction, whole and vulgar fraction."""
-    return bind(x, _scalar)
+    return bind(tokens(x), lambda t: bind(F.regexp_extract(shape(t), f"^{NUM}$", 0), lambda z: number(t, F.lit(0), z)))
 
 
-def _scalar(x: Column) -> Column:
-    num = lambda p, i: _part(x, p, i).try_cast("double")
-    mixed, simple, vulgar = r"^(\d+)\s+(\d+)\s*/\s*(\d+)$", r"^(\d+)\s*/\s*(\d+)$", rf"^(\d+)?\s*({V})$"
-    table = F.create_map(*(F.lit(y) for pair in VULGAR.items() for y in pair))
-    return (
-        F.when(x.rlike(r"^\d+(?:\.\d+)?$"), x.try_cast("double"))
-        .when(x.rlike(mixed), num(mixed, 1) + F.try_divide(num(mixed, 2), num(mixed, 3)))
-        .when(x.rlike(simple), F.try_divide(num(simple, 1), num(simple, 2)))
-        .when(x.rlike(vulgar), F.coalesce(num(vulgar, 1), F.lit(0.0)) + table[_part(x, vulgar, 2)])
-    )
+def _ends(x: Column) -> Column:
+    """The two ends of a range, equal for a single number. Of a range of more than two numbers the first one is an end, and the other is the
+    midpoint of the range that the rest makes, and so on."""
+    chain = F.transform(F.split(x, r"(?iU)\s*(?:[-–—]|to)\s*", -1), scalar)
+    tail = F.aggregate(F.reverse(F.slice(chain, F.lit(2), F.size(chain))), F.lit(None).cast("double"), lambda a, v: F.when(a.isNull(), v).otherwise((a + v) / 2))
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+
+    def read(t: Column, z: Column) -> Column:
+        one = lambda g: bind(number(t, F.lit(0), F.get(g, F.lit(0))), lambda v: pair(v, v))
+        at = lambda g: F.length(F.get(g, F.lit(0))) + F.length(F.get(g, F.lit(1)))
+        two = lambda g: pair(number(t, F.lit(0), F.get(g, F.lit(0))), number(t, at(g), F.get(g, F.lit(2))))
+        found = bind(groups(z, rf"({NUM})(?:({TO})({NUM}))?$", 3), lambda g: F.when(F.get(g, F.lit(2)) == "", one(g)).when(g.isNotNull(), two(g)))
+        return F.coalesce(found, F.when(z.rlike(f"^{NUM}(?:{TO}{NUM}){{2,}}$") & ~F.exists(chain, lambda v: v.isNull()), pair(F.get(chain, F.lit(0)), tail)))
+
+    return bind(tokens(x), lambda t: bind(shape(t), lambda z: read(t, z)))
 
 
 def bounds(x: Column) -> Column:
     """(lo, hi, value) of a number, or of a range in either order; the value of a range is its midpoint. `~` in front is dropped."""
-    two, three = rf"(?i)^({NUMBER}){RANGE}({NUMBER})$", rf"(?i)^({NUMBER}){RANGE}({NUMBER}){RANGE}({NUMBER})$"
     made = lambda p: F.when(p["a"].isNotNull() & p["b"].isNotNull(), F.struct(F.least(p["a"], p["b"]).alias("lo"), F.greatest(p["a"], p["b"]).alias("hi"), ((p["a"] + p["b"]) / 2).alias("value")))
-    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-
-    def ends(x: Column) -> Column:
-        part = lambda p, i: scalar(strip(_part(x, p, i)))
-        return F.when(x.rlike(two), pair(part(two, 1), part(two, 2))).when(x.rlike(three), pair(part(three, 1), (part(three, 2) + part(three, 3)) / 2)).otherwise(bind(scalar(x), lambda v: pair(v, v)))
-
-    return bind(strip(F.regexp_replace(strip(x), r"^~\s*", "")), lambda x: bind(ends(x), made))
+    return bind(strip(F.regexp_replace(strip(x), r"^~\s*", "")), lambda x: bind(_ends(x), made))
+
+
+def with_bounds(df: DataFrame, x: str, out: str) -> DataFrame:
+    """df with bounds() of a column as another one, in stages of one projection each, all of it compiled."""
+    text = strip(F.regexp_replace(strip(F.col(x)), r"^~\s*", ""))
+    df = df.withColumn("_x", text).withColumn("_t", tokens(F.col("_x"))).withColumn("_z", shape(F.col("_t"))).withColumn("_g", groups(F.col("_z"), rf"({NUM})(?:({TO})({NUM}))?$", 3))
+    g = lambda i: F.get("_g", F.lit(i))
+    a, b = number(F.col("_t"), F.lit(0), g(0)), number(F.col("_t"), F.length(g(0)) + F.length(g(1)), g(2))
+    df = df.withColumn("_a", a).withColumn("_b", F.when(g(2) == "", F.col("_a")).otherwise(b))
+    two = F.struct(F.least("_a", "_b").alias("lo"), F.greatest("_a", "_b").alias("hi"), ((F.col("_a") + F.col("_b")) / 2).alias("value"))
+    more = F.when(F.col("_g").isNull(), bounds(F.col("_x")))
+    return df.withColumn(out, F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), two).otherwise(more)).drop("_x", "_t", "_z", "_g", "_a", "_b")
 
 
 def quantity(x: Column) -> Column:

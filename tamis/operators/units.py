@@ -36,24 +36,57 @@ def best_pattern(key: Column, patterns: list[tuple]) -> Column:
     return bind(key, ranked)
 
 
-def grams(value: Column, unit: Column, unit_class: Column, name: Column, inner: Column | None = None, densities: list[tuple] = DENSITIES) -> Column:
-    """A measured amount of a named thing -> struct lo, value, hi in grams; null where its mass is unknown.
-
-    inner: what one container holds, a struct with value, unit and unit_class, null where it says nothing; then a count of containers weighs that
-    many of it. Amounts are multiplied before units are applied, so that the product is rounded once.
-    """
-    if inner is not None:
-        nested = (unit_class == "piece") & inner["value"].isNotNull() & (inner["unit_class"] != "length")
-        pick = lambda a, b: F.when(nested, a).otherwise(b)
-        whole = F.struct(pick(value * inner["value"], value).alias("value"), pick(inner["unit"], unit).alias("unit"), pick(inner["unit_class"], unit_class).alias("unit_class"))
-        return bind(whole, lambda x: grams(x["value"], x["unit"], x["unit_class"], name, densities=densities))
+def looked_up(name: Column, densities: list[tuple] = DENSITIES) -> Column:
+    """What the weight tables know of a name: struct piece (least and most grams of one, or null) and density. To be made once a row."""
+    return bind(name_key(name), lambda key: F.struct(best_pattern(key, PIECES).alias("piece"), F.coalesce(best_pattern(key, densities)["v0"], F.lit(1.0)).alias("density")))
+
+
+def weighed(value: Column, unit: Column, unit_class: Column, known: Column) -> Column:
+    """A measured amount -> struct lo, value, hi in grams by looked_up() values; null where its mass is unknown."""
     table = F.create_map(*(F.lit(x) for pair in FACTORS.items() for x in pair))
     triple = lambda lo, v, hi: F.struct(lo.cast("double").alias("lo"), v.cast("double").alias("value"), hi.cast("double").alias("hi"))
-    same = lambda x: bind(x, lambda v: F.when(v.isNotNull(), triple(v, v, v)))
-    counted = bind(best_pattern(name_key(name), PIECES), lambda p: F.when(p.isNotNull(), triple(value * p["v0"], value * ((p["v0"] + p["v1"]) / 2), value * p["v1"])))
-    density = F.coalesce(best_pattern(name_key(name), densities)["v0"], F.lit(1.0))
-    out = F.when(unit_class == "piece", F.when(~unit.isin(*OPAQUE), counted)).when(unit_class == "weight", same(value * F.coalesce(table[unit], F.lit(1.0))))
-    return out.when(unit_class == "volume", same(value * F.coalesce(table[unit], F.lit(1.0)) * density)).when(unit_class == "length", F.lit(None)).when(unit_class.isNotNull(), same(F.lit(0.0)))
+    same = lambda v: F.when(v.isNotNull(), triple(v, v, v))
+    p, factor = known["piece"], F.coalesce(table[unit], F.lit(1.0))
+    counted = F.when(p.isNotNull() & ~unit.isin(*OPAQUE), triple(value * p["v0"], value * ((p["v0"] + p["v1"]) / 2), value * p["v1"]))
+    out = F.when(unit_class == "piece", counted).when(unit_class == "weight", same(value * factor)).when(unit_class == "volume", same(value * factor * known["density"]))
+    return out.when(unit_class == "length", F.lit(None)).when(unit_class.isNotNull(), same(F.lit(0.0)))
+
+
+def whole(value: Column, unit: Column, unit_class: Column, inner: Column) -> Column:
+    """An amount of containers as the amount of what they hold. Amounts are multiplied before units are applied, so that the product is rounded once."""
+    nested = (unit_class == "piece") & inner["value"].isNotNull() & (inner["unit_class"] != "length")
+    pick = lambda a, b: F.when(nested, a).otherwise(b)
+    return F.struct(pick(value * inner["value"], value).alias("value"), pick(inner["unit"], unit).alias("unit"), pick(inner["unit_class"], unit_class).alias("unit_class"))
+
+
+def grams(value: Column, unit: Column, unit_class: Column, name: Column, inner: Column | None = None, densities: list[tuple] = DENSITIES) -> Column:
+    """A measured amount of a named thing -> struct lo, value, hi in grams; null where its mass is unknown. inner: what one container holds, a struct
+    with value, unit and unit_class, null where it says nothing; then a count of containers weighs that many of it."""
+    known = looked_up(name, densities)
+    if inner is None:
+        return bind(known, lambda k: weighed(value, unit, unit_class, k))
+    return bind(F.struct(known.alias("k"), whole(value, unit, unit_class, inner).alias("m")), lambda x: weighed(x["m"]["value"], x["m"]["unit"], x["m"]["unit_class"], x["k"]))
+
+
+def with_grams(df: DataFrame, term: str, name: str, out: str, densities: list[tuple] = DENSITIES) -> DataFrame:
+    """df with the weight of a term of the item grammar as a column struct lo, value, hi more, in compiled stages."""
+    df = df.withColumn("_k", name_key(F.col(name))).withColumn("_piece", best_pattern(F.col("_k"), PIECES)).withColumn("_density", F.coalesce(best_pattern(F.col("_k"), densities)["v0"], F.lit(1.0)))
+    t = F.col(term)
+    df = df.withColumn("_m", whole(t["value"], t["unit"], t["unit_class"], t["nested"]))
+    known = F.struct(F.col("_piece").alias("piece"), F.col("_density").alias("density"))
+    return df.withColumn(out, weighed(F.col("_m.value"), F.col("_m.unit"), F.col("_m.unit_class"), known)).drop("_k", "_piece", "_density", "_m")
+
+
+def representation_bounds(terms: Column, known: Column) -> Column:
+    """The least and most grams of a sum of terms: struct lo, hi over those whose mass is known; null if there is none, or no mass."""
+
+    def ends(t: Column) -> Column:
+        at = lambda v: bind(whole(t[v], t["unit"], t["unit_class"], t["nested"]), lambda m: weighed(m["value"], m["unit"], m["unit_class"], known))
+        return F.struct(at("lo")["lo"].alias("lo"), at("hi")["hi"].alias("hi"))
+
+    counted = F.filter(F.transform(terms, ends), lambda e: e["lo"].isNotNull() & (e["hi"] > 0))
+    total = lambda c: lambda xs: F.aggregate(F.transform(xs, lambda e: e[c]), F.lit(0.0), lambda a, x: a + x)
+    return bind(counted, lambda xs: F.when(F.size(xs) > 0, F.struct(total("lo")(xs).alias("lo"), total("hi")(xs).alias("hi"))))
 
 
 def with_best_pattern(df: DataFrame, name: str, patterns: list[tuple], out: str) -> DataFrame:

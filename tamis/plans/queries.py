@@ -56,8 +56,8 @@ def parse_and_weigh(spark, d):
     """The whole path of an item line: amount, unit, name, density, grams, sums by food."""
     rows = table(spark, d, "lineitem").select(txt("- ", whole("l_quantity"), " cups ", one_of(FOODS, F.col("l_partkey"))).alias("line"))
     rows = grammar.item(rows, "line").select("name", F.get("amounts", F.lit(0)).alias("t"))
-    g = units.grams(F.col("t.value"), F.col("t.unit"), F.col("t.unit_class"), F.col("name"))
-    return rows.select(F.col("name").alias("food"), g["value"].alias("g")).groupBy("food").agg(F.count("*").alias("n"), F.round(F.sum("g"), 3).alias("grams"))
+    rows = units.with_grams(rows, "t", "name", "w")
+    return rows.select(F.col("name").alias("food"), F.col("w.value").alias("g")).groupBy("food").agg(F.count("*").alias("n"), F.round(F.sum("g"), 3).alias("grams"))
 
 
 @query("""
@@ -68,7 +68,7 @@ def quantity_scalar(spark, d):
     v = one_of(("¼", "½", "¾"), k)
     n = F.col("l_linenumber") % 4
     text = F.when(n == 0, txt("~", q)).when(n == 1, txt(q, "/", k % 7 + 2)).when(n == 2, txt(q, " ", k % 3 + 1, "/4")).otherwise(txt(q, v))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.alias("t")).select("l_orderkey", "l_linenumber", N.quantity(F.col("t")).alias("value"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.alias("t")).transform(lambda r: N.with_bounds(r, "t", "b")).select("l_orderkey", "l_linenumber", F.col("b.value").alias("value"))
 
 
 @query("""
@@ -77,7 +77,7 @@ FROM (SELECT l_orderkey, l_linenumber, l_quantity AS a, (l_suppkey % 60)::DOUBLE
 def quantity_range(spark, d):
     q, b, n = whole("l_quantity"), F.col("l_suppkey") % 60, F.col("l_linenumber") % 3
     text = F.when(n == 0, txt(q, "-", b)).when(n == 1, txt(q, " to ", b)).otherwise(txt(q, " – ", b))
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.alias("t")).withColumn("b", N.bounds(F.col("t")))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.alias("t")).transform(lambda r: N.with_bounds(r, "t", "b"))
     return rows.select("l_orderkey", "l_linenumber", "b.lo", "b.hi", "b.value")
 
 
@@ -93,9 +93,9 @@ def unit_lookup(spark, d):
 SELECT l_returnflag, round(sum(l_quantity * [1.0,1000.0,28.349523125,453.59237][l_suppkey % 4 + 1]::DOUBLE), 3) AS grams, count(*) AS n FROM lineitem GROUP BY 1""")
 def weight_grams(spark, d):
     unit = one_of(("g", "kg", "oz", "lb"), F.col("l_suppkey"))
-    rows = table(spark, d, "lineitem").select("l_returnflag", grammar.term(txt(whole("l_quantity"), " ", unit, " stone")).alias("t"))
-    g = units.grams(F.col("t.value"), F.col("t.unit"), F.col("t.unit_class"), F.lit("stone"))
-    return rows.select("l_returnflag", g["value"].alias("g")).groupBy("l_returnflag").agg(F.round(F.sum("g"), 3).alias("grams"), F.count("g").alias("n"))
+    rows = table(spark, d, "lineitem").select("l_returnflag", txt(whole("l_quantity"), " ", unit, " stone").alias("line"), F.lit("stone").alias("name"))
+    rows = units.with_grams(grammar.measured(rows, "line", "t"), "t", "name", "w")
+    return rows.select("l_returnflag", F.col("w.value").alias("g")).groupBy("l_returnflag").agg(F.round(F.sum("g"), 3).alias("grams"), F.count("g").alias("n"))
 
 
 PATTERNS = [("*red*", 1.0), ("*a*", 2.0), ("*steel*", 3.0), ("*e*t*", 4.0), ("*blue*", 5.0)]
@@ -115,16 +115,16 @@ def glob_best_match(spark, d):
 SELECT p_partkey, p_size * [44.0,15.0,3.0,70.0][p_partkey % 4 + 1]::DOUBLE AS lo, p_size * [63.0,20.0,8.0,400.0][p_partkey % 4 + 1]::DOUBLE AS hi FROM part""")
 def piece_grams_bounds(spark, d):
     name = one_of(("egg", "egg yolk", "garlic", "red onion"), F.col("p_partkey"))
-    rows = table(spark, d, "part").select("p_partkey", name.alias("name"), grammar.term(txt(F.col("p_size"), " ", name), True).alias("t"))
-    return rows.withColumn("g", units.grams(F.col("t.value"), F.col("t.unit"), F.col("t.unit_class"), F.col("name"))).select("p_partkey", "g.lo", "g.hi")
+    rows = table(spark, d, "part").select("p_partkey", name.alias("name"), txt(F.col("p_size"), " ", name).alias("line"))
+    rows = grammar.measured(rows, "line", "t", True)
+    return units.with_grams(rows, "t", "name", "g").select("p_partkey", "g.lo", "g.hi")
 
 
 @query("SELECT p_partkey, p_size * (p_partkey % 9 + 1) * 28.349523125::DOUBLE AS grams FROM part")
 def nested_container(spark, d):
     rows = table(spark, d, "part").select("p_partkey", txt("- ", F.col("p_size"), " cans (", F.col("p_partkey") % 9 + 1, " oz each) beans").alias("line"))
-    rows = grammar.item(rows, "line").withColumn("t", F.get("amounts", F.lit(0))).withColumn("c", grammar.term(F.get("alternatives", F.lit(0))))
-    g = units.grams(F.col("t.value"), F.col("t.unit"), F.col("t.unit_class"), F.col("name"), F.col("c"))
-    return rows.select("p_partkey", g["value"].alias("grams"))
+    rows = grammar.item(rows, "line").withColumn("t", F.get("amounts", F.lit(0)))
+    return units.with_grams(rows, "t", "name", "g").select("p_partkey", F.col("g.value").alias("grams"))
 
 
 @query("""
@@ -132,7 +132,7 @@ SELECT l_orderkey, l_linenumber, l_quantity * 1.25::DOUBLE AS lo, l_quantity * 1
 def heaped_interval(spark, d):
     q = whole("l_quantity")
     line = F.when(F.col("l_linenumber") % 2 == 0, txt(q, " heaped tbsp cocoa")).otherwise(txt("about ", q, " rounded tsp cocoa"))
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", grammar.term(line).alias("t"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", line.alias("line")).transform(lambda r: grammar.measured(r, "line", "t"))
     return rows.select("l_orderkey", "l_linenumber", "t.lo", "t.hi", "t.fill")
 
 
@@ -142,7 +142,7 @@ SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN 3 * l_quantit
 def pack_and_dual_range(spark, d):
     q, n = whole("l_quantity"), F.col("l_linenumber") % 3
     line = F.when(n == 0, txt("3x ", q, "g spinach")).when(n == 1, txt(q, "g-", q + 5, "g tomatoes")).otherwise(txt(q, "-pound pumpkin"))
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", grammar.term(line).alias("t"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", line.alias("line")).transform(lambda r: grammar.measured(r, "line", "t"))
     return rows.select("l_orderkey", "l_linenumber", "t.value", "t.unit")
 
 
@@ -150,8 +150,8 @@ def pack_and_dual_range(spark, d):
 def additive_terms(spark, d):
     line = txt(whole("l_quantity"), " cups plus ", F.col("l_linenumber"), " tbsp water")
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", grammar.terms(line).alias("ts"))
-    g = F.aggregate(F.transform("ts", lambda t: units.grams(t["value"], t["unit"], t["unit_class"], F.lit("water"))["value"]), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
-    return rows.select("l_orderkey", "l_linenumber", g.alias("grams"))
+    rows = rows.withColumn("k", units.looked_up(F.lit("water")))
+    return rows.select("l_orderkey", "l_linenumber", units.representation_bounds(F.col("ts"), F.col("k"))["hi"].alias("grams"))
 
 
 @query("""
@@ -160,7 +160,7 @@ SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size::DOUBLE WHEN 1 THEN p_si
 def counts_and_lengths(spark, d):
     s, n = F.col("p_size"), F.col("p_partkey") % 4
     line = F.when(n == 0, txt(s, " large lemons")).when(n == 1, txt(s, " inch piece of ginger")).when(n == 2, txt(s, " inch tortillas")).otherwise(txt(s, "% cream"))
-    rows = table(spark, d, "part").select("p_partkey", grammar.term(line, True).alias("t"))
+    rows = table(spark, d, "part").select("p_partkey", line.alias("line")).transform(lambda r: grammar.measured(r, "line", "t", True))
     return rows.select("p_partkey", "t.value", "t.unit")
 
 
@@ -182,11 +182,8 @@ SELECT l_orderkey, l_linenumber, round(abs(a - b) / greatest(a, b), 9) AS gap FR
 def conversion_discrepancy(spark, d):
     line = txt("- ", whole("l_quantity"), " lb (", F.col("l_suppkey") % 30 + 1, " kg) stone")
     rows = grammar.item(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", line.alias("line")), "line")
-    rows = rows.withColumn("a", F.get("amounts", F.lit(0))).withColumn("b", grammar.term(F.get("alternatives", F.lit(0))))
-    g = lambda c: units.grams(F.col(f"{c}.value"), F.col(f"{c}.unit"), F.col(f"{c}.unit_class"), F.col("name"))
-    gap = N.bind(F.struct(g("a").alias("a"), g("b").alias("b")), lambda p: findings.mass_conflict(p["a"], p["b"]))
-    rows = rows.select("l_orderkey", "l_linenumber", F.explode(F.array_compact(F.array(gap))).alias("gap"))  # only conflicts make rows
-    return rows.withColumn("gap", F.round("gap", 9))
+    rows = findings.with_mass_conflict(rows).filter("gap IS NOT NULL")
+    return rows.select("l_orderkey", "l_linenumber", F.round("gap", 9).alias("gap"))
 
 
 @query("""
@@ -222,9 +219,9 @@ def non_ascii_audit(spark, d):
 
 
 @query("""
-SELECT page_id, length(regexp_replace(html, '(?s)<!--.*?-->', '', 'g')) AS n_chars FROM pages""")
+SELECT page_id, length(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '^\\s+|\\s+$', '', 'g')) AS n_chars FROM pages""")
 def comment_strip(spark, d):
-    return table(spark, d, "pages").select("page_id", F.length(F.regexp_replace("html", r"(?s)<!--.*?-->", "")).cast("long").alias("n_chars"))
+    return table(spark, d, "pages").select("page_id", F.length(T.strip_comments(F.col("html"))).cast("long").alias("n_chars"))
 
 
 @query("""

@@ -42,8 +42,8 @@ def test_item(spark):
     lines = ["- 2 cups [mornay](../b.md), grated (optional)", "* 1 cup + 2 tbsp milk (270 g)", "- salt", "", None, "- 2 cans (15 oz each) beans"]
     rows = grammar.item(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string"), "line").orderBy("i").collect()
     assert (rows[0].name, rows[0].modifier, rows[0].optional, rows[0].link) == ("mornay", "grated", True, "../b.md")
-    assert rows[1].name == "milk" and [t.unit for t in rows[1].amounts] == ["cup", "tablespoon"] and rows[1].alternatives == ["270 g"]
-    assert rows[2].name == "salt" and rows[2].amounts == [] and rows[3].name is None and rows[4].name is None and rows[5].per_unit
+    assert rows[1].name == "+ 2 tbsp milk" and [t.unit for t in rows[1].amounts] == ["cup", "tablespoon"] and [a.text for a in rows[1].alternatives] == ["270 g"]
+    assert rows[2].name == "salt" and rows[2].amounts == [] and rows[3].name is None and rows[4].name is None and rows[5].amounts[0].nested.value == 15.0 and rows[5].name == "beans"
 
 
 def test_patterns_and_grams(spark):
