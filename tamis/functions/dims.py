@@ -70,3 +70,26 @@ PER_UNIT = ("each", "ea", "apiece", "per")
 CLAUSES = (
     "using", "made", "prepared", "seasoned", "flavored", "flavoured", "thinned", "mixed", "blended", "folded", "topped", "with", "without", "plus",
 )
+# Characters beyond ASCII that texts may hold.
+ALLOWED = "°–—½¼¾⅓⅔【】óéêèñöü⋮˙\u0323⋅"
+# Metadata that tells a yield, words that begin one, words that may tell one elsewhere, what begins a line that tells none, and numbers as words.
+YIELD_KEYS = ("yield", "yields", "serves", "servings", "portions", "pax")
+YIELD_WORDS = "yield yields serve serves makes portion portions pax serving servings".split()
+LAX_YIELD_WORDS = (
+    "yield yields serve serves servin servins serving servings make makes pax portion portions people quantity quantities qty piece pieces square squares "
+    "slice slices loaves cookie cookies biscuit biscuits bun buns puff puffs muffin muffins"
+).split()
+NO_YIELDS = ("serve immediately", "serve with", "serve hot", "serve cold", "serve alongside", "serve over", "to serve", "toss to combine")
+NUMBER_WORDS = "one two three four five six seven eight nine ten".split()
+# What a leading number measures if it is the size of something.
+DIMENSIONS = (
+    "inch", "inches", "in", "cm", "mm", "centimeter", "centimeters", "centimetre", "centimetres", "millimeter", "millimeters", "millimetre",
+    "millimetres", "foot", "feet", "percent", "%",
+)
+# Findings and how severe they are.
+SEVERITY = {
+    "non-ascii-character": "warning", "yield-inferred": "info", "invalid-unit-class": "error", "invalid-nesting": "error", "conversion-discrepancy": "warning",
+    "temperature-discrepancy": "warning", "component-without-directions": "warning", "no-section-headings": "warning", "missing-ingredients-section": "warning",
+    "missing-directions-section": "warning", "section-inferred": "info", "quantity-unparsed": "error", "dimension-not-quantity": "info",
+    "ingredient-name-empty": "warning", "implicit-count-unit": "info", "source-content-dropped": "warning",
+}

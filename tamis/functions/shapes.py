@@ -24,13 +24,19 @@ _WORDS = {"to": "T", "x": "X", "plus": "P", "and": "P", "a": "A", "up": "Y", "of
 LETTERS = {a.rstrip("."): "L" if kind == "length" else "U" for a, (_, kind) in ALIASES.items()} | {h: "H" for h in HEDGES if h.isalpha()} | _WORDS | _SIGNS | dict.fromkeys(VULGAR, "V")
 
 
+def literal_map(pairs: dict[str, str]) -> Column:
+    """A map of text to values written in SQL, as one expression: a table of a hundred rows costs one call."""
+    quoted = lambda k: "'" + k.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr(f"map({', '.join(f'{quoted(k)}, {v}' for k, v in pairs.items())})")
+
+
 def tokens(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0))
 
 
 def shape(t: Column) -> Column:
     """The letters of an array of tokens."""
-    table = F.create_map(*(F.lit(y) for pair in LETTERS.items() for y in pair))
+    table = literal_map({k: f"'{v}'" for k, v in LETTERS.items()})
     digit = lambda x: F.ascii(x).between(48, 57)
     letter = lambda x: F.when(digit(x), F.when(F.contains(x, F.lit(".")), "M").otherwise("N")).when(x == " ", "_").otherwise(F.coalesce(table[F.lower(F.rtrim(x, F.lit(".")))], F.when(x.rlike(r"^\p{L}"), "W").when(x.rlike(r"(?U)^\s"), "_").otherwise(".")))
     return F.array_join(F.transform(t, letter), "")
@@ -45,7 +51,7 @@ def groups(z: Column, pattern: str, n: int) -> Column:
 def number(t: Column, at: Column, z: Column) -> Column:
     """The number whose tokens begin at a place (from 0) and have the shape z; null without one, and by division by zero."""
     value = lambda i: F.get(t, i).try_cast("double")
-    table = F.create_map(*(F.lit(y) for pair in VULGAR.items() for y in pair))
+    table = literal_map({k: f"{v!r}D" for k, v in VULGAR.items()})
     last = at + F.length(z) - 1
     return (
         F.when(z.isin("N", "M"), value(at))

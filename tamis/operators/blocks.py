@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tamis.functions import text as T
+from tamis.functions.dims import LAX_YIELD_WORDS, NO_YIELDS, NUMBER_WORDS, YIELD_WORDS, YIELD_KEYS
 from tamis.operators.windows import ahead, carried, in_fence, upto
 
 FENCE, BREAK, ATX = r"^ {0,3}(```|~~~)", r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$", r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
@@ -21,7 +22,12 @@ def classified(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("file", F.posexplode(T.lines(F.regexp_replace("text", r"^\x{FEFF}", ""))).alias("ln", "line")).withColumn("ln", F.col("ln") + 1)
     by, order = ["file"], [F.col("ln")]
-    rows = rows.withColumn("fence", F.col("line").rlike(FENCE)).withColumn("code", in_fence(F.col("fence"), by, order) | F.col("fence"))
+    # of both signs of fences, one inside the other's block is text: the signs so far decide, folded over each file's fence lines
+    sign = F.regexp_extract("line", FENCE, 1)
+    fences = F.collect_list(F.when(sign != "", F.struct("ln", F.left(sign, F.lit(1)).alias("sign")))).over(W.partitionBy("file"))
+    real = F.aggregate(F.array_sort("_f"), F.struct(F.lit("").alias("open"), F.array().cast("array<int>").alias("at")), lambda a, f: F.when(a["open"] == "", F.struct(f["sign"].alias("open"), F.concat(a["at"], F.array(f["ln"])).alias("at"))).when(a["open"] == f["sign"], F.struct(F.lit("").alias("open"), F.concat(a["at"], F.array(f["ln"])).alias("at"))).otherwise(a), lambda a: a["at"])
+    rows = rows.withColumn("_f", fences).withColumn("fence", F.when(F.size("_f") == 0, F.lit(False)).otherwise(F.array_contains(real, F.col("ln")))).drop("_f")
+    rows = rows.withColumn("code", in_fence(F.col("fence"), by, order) | F.col("fence"))
     kind = (
         F.when(F.col("code"), "code").when(F.col("line").rlike(r"^\s*$"), "blank").when(F.col("line").rlike(ATX), "heading").when(F.col("line").rlike(BREAK), "break")
         .when(F.col("line").rlike(ITEM), "item").when(F.col("line").rlike(QUOTE), "quote").when(F.col("line").rlike(ROW), "row").otherwise("text")
@@ -88,9 +94,33 @@ def tables(rows: DataFrame) -> DataFrame:
     return own.select("file", "rec", "tab", "ln", F.slice(pad, F.lit(1), F.col("width")).alias("cells"))
 
 
-def yields(rows: DataFrame) -> DataFrame:
-    """routed lines -> file, rec, yield: the first text line before the first level-2 heading that begins with a yield word, has at most eight words
-    and a number."""
+def _number(x: Column) -> Column:
+    return x.rlike(r"(?i)\d|\b(?:" + "|".join(NUMBER_WORDS) + r")\b")
+
+
+def _told(x: Column, words: list[str], start: str) -> Column:
+    return x.rlike(rf"(?i){start}(?:" + "|".join(words) + r")\b") & (F.size(F.split(x, r"\s+")) <= 8) & _number(x)
+
+
+def yields(rows: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """routed lines -> file, rec, yield: what the file's metadata (file, metadata: a JSON text) tells under the first of some keys, or else the
+    first text line before the first level-2 heading that begins with a yield word, has at most eight words and a number."""
     own = rows.withColumn("two", F.max(((F.col("kind") == "heading") & (F.col("level") == 2)).cast("int")).over(upto(["file", "rec"], [F.col("ln")])))
-    ok = (F.col("kind") == "text") & F.col("body").rlike(r"(?i)^(?:serves|servings?|yields?|makes)\b") & (F.size(F.split("body", " ")) <= 8) & F.col("body").rlike(r"(?i)\d|\b(?:one|two|three|four|five|six|seven|eight|nine|ten)\b")
-    return own.filter((F.col("two") == 0) & ok).groupBy("file", "rec").agg(F.min_by("body", F.col("ln")).alias("yield"))
+    body = F.trim(F.btrim("body", F.lit("*+-")))
+    found = own.filter((F.col("two") == 0) & (F.col("kind") == "text") & _told(body, YIELD_WORDS, "^")).groupBy("file", "rec").agg(F.min_by(body, F.col("ln")).alias("yield"))
+    if metadata is None:
+        return found
+    keys = F.coalesce(*(F.trim(F.get_json_object("metadata", f"$.{k}")) for k in YIELD_KEYS))
+    told = rows.select("file", "rec").distinct().join(metadata.select("file", keys.alias("told")), "file").filter("told IS NOT NULL")
+    return told.join(found, ["file", "rec"], "full").select("file", "rec", F.coalesce("told", "yield").alias("yield"))
+
+
+def lax_yields(rows: DataFrame) -> DataFrame:
+    """routed lines -> file, rec, line, yield: the first text line anywhere that seems to tell a yield."""
+    body = F.trim(F.btrim("body", F.lit("*+-")))
+    low = F.lower(body)
+    none = F.lit(False)
+    for start in NO_YIELDS:
+        none = none | low.startswith(start)
+    ok = (F.col("kind") == "text") & ~none & ~(low.startswith("serve") & ~_number(body)) & _told(body, LAX_YIELD_WORDS, r"\b")
+    return rows.filter(ok).groupBy("file", "rec").agg(F.min("ln").alias("line"), F.min_by(body, F.col("ln")).alias("yield"))

@@ -28,15 +28,16 @@ def mass_conflict(a: Column, b: Column, pieces: Column | None = None, per_unit:
     return F.when(gap > MASS_TOLERANCE, gap)
 
 
-def with_mass_conflict(items: DataFrame) -> DataFrame:
-    """Parsed items with gap: how far the first alternative is from the amounts, where it is over the tolerance; null without both. The alternative is
+def mass_conflicts(items: DataFrame) -> DataFrame:
+    """Parsed items whose first alternative is farther from the amounts than the tolerance, with the gap. The alternative is
     scaled by the pieces of the amounts where it is for each, or where only then both overlap."""
     rows = items.withColumn("_alt", F.get("alternatives", F.lit(0))).withColumn("_k", F.when(F.col("_alt").isNotNull(), looked_up(F.col("name"))))
     rows = rows.withColumn("_a", F.when(F.col("_alt").isNotNull(), representation_bounds(F.col("amounts"), F.col("_k")))).withColumn("_b", F.when(F.col("_alt").isNotNull(), representation_bounds(F.col("_alt.terms"), F.col("_k"))))
     rows = rows.withColumn("_n", F.aggregate(F.filter("amounts", lambda t: t["unit_class"] == "piece"), F.lit(0.0), lambda a, t: a + t["value"]))
     many = F.col("_n") > 1
     gap = F.when(many, mass_conflict(F.col("_a"), F.col("_b"), F.col("_n"), F.col("_alt.per_unit"))).otherwise(mass_conflict(F.col("_a"), F.col("_b")))
-    return rows.withColumn("gap", gap).drop("_alt", "_k", "_a", "_b", "_n")
+    # only conflicts make rows; a filter would be pushed down, and copy the stages it passes
+    return rows.withColumn("gap", F.explode(F.array_compact(F.array(gap)))).drop("_alt", "_k", "_a", "_b", "_n")
 
 
 def temperature_conflict(found: Column) -> Column:

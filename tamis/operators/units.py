@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from tamis.functions.dims import ALIASES, DENSITIES, FACTORS, OPAQUE, PIECES
 from tamis.functions.numbers import bind
+from tamis.functions.shapes import literal_map
 
 
 def unit_of(word: Column) -> Column:
     """A spelling of a unit, in any case and with or without a point -> struct unit, unit_class; null if it is none. No join, no shuffle."""
-    table = F.create_map(*(x for a, (u, k) in ALIASES.items() for x in (F.lit(a), F.struct(F.lit(u).alias("unit"), F.lit(k).alias("unit_class")))))
+    table = literal_map({a: f"named_struct('unit', '{u}', 'unit_class', '{k}')" for a, (u, k) in ALIASES.items()})
     return table[F.lower(F.rtrim(word, F.lit(".")))]
 
 
@@ -43,7 +44,7 @@ def looked_up(name: Column, densities: list[tuple] = DENSITIES) -> Column:
 
 def weighed(value: Column, unit: Column, unit_class: Column, known: Column) -> Column:
     """A measured amount -> struct lo, value, hi in grams by looked_up() values; null where its mass is unknown."""
-    table = F.create_map(*(F.lit(x) for pair in FACTORS.items() for x in pair))
+    table = literal_map({k: f"{v!r}D" for k, v in FACTORS.items()})
     triple = lambda lo, v, hi: F.struct(lo.cast("double").alias("lo"), v.cast("double").alias("value"), hi.cast("double").alias("hi"))
     same = lambda v: F.when(v.isNotNull(), triple(v, v, v))
     p, factor = known["piece"], F.coalesce(table[unit], F.lit(1.0))

@@ -182,7 +182,7 @@ SELECT l_orderkey, l_linenumber, round(abs(a - b) / greatest(a, b), 9) AS gap FR
 def conversion_discrepancy(spark, d):
     line = txt("- ", whole("l_quantity"), " lb (", F.col("l_suppkey") % 30 + 1, " kg) stone")
     rows = grammar.item(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", line.alias("line")), "line")
-    rows = findings.with_mass_conflict(rows).filter("gap IS NOT NULL")
+    rows = findings.mass_conflicts(rows)
     return rows.select("l_orderkey", "l_linenumber", F.round("gap", 9).alias("gap"))
 
 
