@@ -106,7 +106,7 @@ def starts_with_quantity(x: Column) -> Column:
 
 def dimensional(x: Column) -> Column:
     """Whether a leading number tells a size: behind its digits and signs stands a word of lengths or percents."""
-    return F.lower(F.regexp_extract(x, r"^[\s~]*[\d./–—-][\d./\s–—-]*([A-Za-z]+|%)", 1)).isin(*DIMENSIONS)
+    return F.lower(F.regexp_extract(x, r"^[\s~]*[\d./–—-][\d./\s–—-]*([A-Za-z]+|%(?=\w))", 1)).isin(*DIMENSIONS)
 
 
 def completeness(items: DataFrame) -> list[DataFrame]:

@@ -9,7 +9,7 @@ CASES = {
     "clean": ("# T\nServes 4\n\n## Ingredients\n\n- 2 cups flour\n- 1 oz salt (28 g)\n\n## Method\n\n1. Stir for 5 minutes\n", []),
     "count": ("# T\n\n## Ingredients\n\n- 3 eggs\n\n## Method\n\n1. Stir\n", ["implicit-count-unit"]),
     "headless": ("# T\n\n- 2 cups flour\n\n1. Bake at 180°C (100 degrees F)\n", ["no-section-headings", "section-inferred", "section-inferred", "temperature-discrepancy"]),
-    "conflict": ("# T\n\n## Ingredients\n\n- 1 lb stone (3 kg)\n- 9-inch pans\n- 7%x\n", ["conversion-discrepancy", "dimension-not-quantity", "missing-directions-section", "quantity-unparsed"]),
+    "conflict": ("# T\n\n## Ingredients\n\n- 1 lb stone (3 kg)\n- 9-inch pans\n- 7/x\n", ["conversion-discrepancy", "dimension-not-quantity", "missing-directions-section", "quantity-unparsed"]),
     "lost": ("# T\n\n## Ingredients\n\n- 2 g salt\n\n## Method\n\n1. Stir\n\n```\nsecret lost words here\n~~~\nand more words\n```\n", ["source-content-dropped"]),
     "parts": ("# T\n\n## Ingredients for Glaze\n\n- 2 g salt\n\n## Method\n\n1. Stir\n", ["component-without-directions"]),
     "yield": ("# T\n\n## Ingredients\n\n- 2 g sugar\n\n## Method\n\n1. Bake\n\n## Notes\n\nGives about 12 cookies\n", ["yield-inferred"]),
