@@ -1,7 +1,8 @@
 """Quality rules: distribution divergence from language references. DataFrame functions only.
 
 Two histograms describe a document: its characters by class, and its common words, one bin for each word of a short list of its language
-and one for all other words. The same counts summed over all documents of a language make that language's reference. A document is
+and one for all other words. The same counts summed over all documents of a language that pass the base make that language's reference, by one
+rule at every size: to the characters a fixed weight of those of all languages is added, which a small language leans on. A document is
 kept if the Jensen-Shannon distances of both histograms from the references stay under their limits; a histogram over too few
 characters or words is not judged.
 
@@ -35,7 +36,7 @@ class Limits:
     min_words: int = 50  # fewer words: likewise, and the base rule fails
     char_distance: float = 0.25
     word_distance: float = 0.55
-    min_reference: int = 100_000  # a language with fewer words in all is compared to all languages together
+    prior_chars: float = 10_000.0  # characters that all languages together add to a language's own
     repeat_percent: int = 50
 
 
@@ -96,17 +97,17 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def references(rows: DataFrame) -> DataFrame:
-    """measured rows -> a row for each language: lang, words in all, `ref_chars` and `ref_common`; summed by task before the shuffle."""
+    """measured rows -> a row for each language: lang, `ref_chars` and `ref_common`; summed by task before the shuffle."""
     bins = max(map(len, COMMON.values())) + 1
     sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(len(CHARS))] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(bins)]
-    by = rows.groupBy("lang").agg(F.sum("n_words").alias("words"), *sums)
+    by = rows.groupBy("lang").agg(*sums)
     arrays = F.array(*(F.col(f"c{i}") for i in range(len(CHARS)))).alias("ref_chars"), F.array(*(F.col(f"w{i}") for i in range(bins))).alias("ref_common")
-    return by.select("lang", "words", *arrays)
+    return by.select("lang", *arrays)
 
 
 def distance(a: Column, b: Column) -> Column:
     """The Jensen-Shannon distance, 0 to 1, of two arrays of counts; null if either is null or empty in sum."""
-    share = lambda x: F.transform(x, lambda y: y / F.nullif(F.aggregate(x, F.lit(0).cast("long"), lambda s, z: s + z), F.lit(0).cast("long")))
+    share = lambda x: F.transform(x, lambda y: y / F.nullif(F.aggregate(x, F.lit(0.0), lambda s, z: s + z), F.lit(0.0)))
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.when(x.isNotNull(), F.lit(0.0)))
     terms = F.zip_with(share(a), share(b), lambda p, q: (part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2)
     total = F.aggregate(terms, F.lit(0.0), lambda x, y: x + y)
@@ -117,19 +118,21 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """docs (doc_id, text, lang, any others) -> doc_id, the base counts, base_failed, char_distance, word_distance, kept; a row for each row.
 
     base_failed: under min_words words, or over repeat_percent percent of them in repeated windows. kept is false then; else it is false
-    where a judged distance exceeds its limit. Null and unknown languages, and those with few words in all, are held against the
-    characters of all languages, and their words are not judged. Empty texts fail the base. No rows give none.
+    where a judged distance exceeds its limit. A null language is a language; languages without a list of common words are judged by
+    characters alone. Empty texts fail the base. Repeated rows are rows, and count as often. No rows give none.
     """
-    rows = keep(measured(docs), "quality")
-    refs = keep(references(rows), "quality-refs")
+    rows = measured(docs)
+    rows = keep(rows.withColumn("base_failed", (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words"))), "quality")
+    refs = keep(references(rows.filter("NOT base_failed")), "quality-refs")
     # languages are few beside documents; Spark broadcasts their rows only where it measures them as small, and else splits the hot ones
     every = refs.agg(*(F.sum(F.get("ref_chars", F.lit(i))).alias(f"c{i}") for i in range(len(CHARS)))).select(F.array(*(f"c{i}" for i in range(len(CHARS)))).alias("all_chars"))
-    refs = refs.crossJoin(F.broadcast(every)).select(F.col("lang").alias("ref_lang"), F.when(F.col("words") >= limits.min_reference, F.col("ref_chars")).otherwise(F.col("all_chars")).alias("ref_chars"), F.when((F.col("words") >= limits.min_reference), F.col("ref_common")).alias("ref_common"))
+    share = F.transform("all_chars", lambda x: x / F.aggregate("all_chars", F.lit(0.0), lambda s, z: s + z))
+    smoothed = F.zip_with("ref_chars", share, lambda x, y: x + limits.prior_chars * y)
+    refs = refs.crossJoin(F.broadcast(every)).select(F.col("lang").alias("ref_lang"), smoothed.alias("ref_chars"), "ref_common")
     rows = rows.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     rows = rows.withColumns({
         "char_distance": F.when(F.col("n_chars") >= limits.min_chars, distance(F.col("chars"), F.col("ref_chars"))),
         "word_distance": F.when(F.col("n_words") >= limits.min_words, distance(F.col("common"), F.col("ref_common"))),
-        "base_failed": (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words")),
     })
     far = (F.coalesce("char_distance", F.lit(0.0)) > limits.char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > limits.word_distance)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "char_distance", "word_distance")

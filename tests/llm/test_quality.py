@@ -7,8 +7,49 @@ from collections import Counter
 import pytest
 from tamis.llm import quality
 
+import regex
+
 from tests.llm.helpers import documents, texts
 
+CLASSES = (r"\p{Ll}|\p{Lo}", r"\p{Lu}", "[0-9]", None, r"""[.,;:!?'"()\-]""", r"[#*$%&|<>]")
+
+
+def histograms(text, lang):
+    """Counts by class of character, and of the common words of the language and all others."""
+    words = regex.findall(r"[^\x20\x09-\x0D]+", text)
+    chars = [len(regex.findall(p, text)) if p else len(text) - sum(map(len, words)) for p in CLASSES]
+    own, n = quality.COMMON.get(lang), Counter(w.rstrip(".,;:").lower() for w in words)
+    return [*chars, max(0, len(text) - sum(chars))], own and [n[w] for w in own] + [len(words) - sum(n[w] for w in set(own))]
+
+
+def js(a, b):
+    p, q = [x / sum(a) for x in a], [x / sum(b) for x in b]
+    m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+    kl = lambda x: sum(u * math.log2(u / v) for u, v in zip(x, m, strict=True) if u)
+    return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+
+def test_verdicts(spark):
+    """Both distances and the verdict of every document, repeated rows included, against plain Python."""
+    rows = documents(spark, more=texts()[:3]).select("doc_id", "text", "lang").collect()
+    found = [(r.doc_id, r.lang, r.text or "", histograms(r.text or "", r.lang), base(r.text)) for r in rows]
+    add = lambda a, b: [x + y for x, y in zip(a, b, strict=True)]
+    chars, common, every = {}, {}, [0] * 7
+    for _, lang, _, (c, w), b in found:
+        if not b[-1]:
+            chars[lang], every = add(chars.get(lang, [0] * 7), c), add(every, c)
+            common[lang] = w and add(common.get(lang, [0] * len(w)), w)
+    limits, want = quality.Limits(), []
+    for i, lang, text, (c, w), b in found:
+        ref = chars.get(lang) and add(chars[lang], [limits.prior_chars * x / sum(every) for x in every])
+        near = (js(c, ref) if ref and len(text) >= limits.min_chars else None, js(w, common[lang]) if w and common.get(lang) and b[0] >= limits.min_words else None)
+        want.append((i, not b[-1] and (near[0] or 0) <= limits.char_distance and (near[1] or 0) <= limits.word_distance, *near))
+    got = [(r.doc_id, r.kept, r.char_distance, r.word_distance) for r in quality.judge(documents(spark, more=texts()[:3])).collect()]
+    key = lambda r: (r[0], r[1])
+    for g, x in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert g[:2] == x[:2] and g[2:] == pytest.approx(x[2:], abs=1e-6), (g, x)
+    assert {k for _, k, *_ in want} == {True, False} and any(w is not None for *_, w in want) and any(w is None and k for _, k, _, w in want)
+
 
 def base(text):
     text = text or ""
@@ -42,8 +83,7 @@ def test_symbols_are_rejected_and_prose_is_kept(spark):
     often, rare = "the of and to in a is that it for on was as with be by are this".split(), "river house winter garden letter morning stone bridge paper window".split()
     clean = [(i, " ".join(rng.choice(often) if rng.random() < 0.5 else rng.choice(rare) + rng.choice(rare) for _ in range(120)) + ".") for i in range(12, 1212, 6)]
     bad = [(6, " ".join(f"w{j}#### %%%%{j} $$$&&&" for j in range(80)))]
-    limits = quality.Limits(min_reference=10)
-    out = {r.doc_id: r.kept for r in quality.judge(documents(spark, clean + bad), limits).collect()}
+    out = {r.doc_id: r.kept for r in quality.judge(documents(spark, clean + bad)).collect()}
     assert not out[6] and all(out[i] for i, _ in clean)
 
 
