@@ -85,6 +85,7 @@ def word_count(text: Column) -> Column:
 def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget: float = 1.5, most: float = 2.0) -> DataFrame:
     """docs (doc_id, text, source, any others) -> the same columns, every row as often as the mix takes it: not at all up to `most` times.
 
+    Rows that repeat an id are taken together; null ids are one id; rows without words come by their source's share. No rows give none.
     The text crosses the network once, to meet its row's number of copies; other rows of the plan hold numbers only.
     """
     sized = docs.select(F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size"))

@@ -82,20 +82,21 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 p AS (
-  SELECT *, length('### ') + length(replace(replace(replace(replace(role, '\', '\b'), '#', '\h'), '<', '\l'), ':', '\c')) + 2
-    + length(replace(replace(replace(text, '\', '\b'), '#', '\h'), '<', '\l')) + 9 AS n FROM t),
+  SELECT *, length('### ') + length(role) + len(regexp_extract_all(role || ' ', '#\\*## ')) + len(regexp_extract_all(role, '<\\*/turn>')) + len(regexp_extract_all(role, ':\\* ')) + 2
+    + length(text) + len(regexp_extract_all(text || ' ', '#\\*## ')) + len(regexp_extract_all(text, '<\\*/turn>')) + 9 AS n FROM t),
 w AS (
-  SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM p)
+  SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS upto,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC) AS back FROM p)
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
   CAST(sum(CASE WHEN role = 'assistant' OR back = 1 THEN upto END) AS BIGINT) AS formatted_chars
 FROM w GROUP BY conv_id""",
     "op6_mixing": f"""
-WITH s AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}'))::BIGINT AS size, md5('17/' || coalesce(doc_id::VARCHAR, chr(0) || 'null')) AS h FROM documents),
+WITH r AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) AS size FROM documents),
+s AS (
+  SELECT doc_id, min(source) AS source, sum(size)::BIGINT AS size, md5('17/' || coalesce(doc_id::VARCHAR, chr(0) || 'null')) AS h FROM r GROUP BY doc_id),
 a AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
 b AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM a),
 c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / w AS ratio FROM b),
