@@ -232,13 +232,13 @@ def unicode_cleanup(spark, d):
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z ]', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda x: length(x) >= 3) AS w FROM documents WHERE lang = 'en'),
+WITH d AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z ]', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda x: length(x) >= 3) AS w FROM documents),
 b AS (SELECT DISTINCT unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z ]', ' ', 'g'), ' +', ' ', 'g')), ' ')) AS t FROM benchmark)
 SELECT doc_id, count(*) AS n, count(t) AS found FROM (SELECT doc_id, unnest(w) AS x FROM d) LEFT JOIN b ON b.t = x GROUP BY doc_id""")
 def coverage_vs_benchmark(spark, d):
     """Token coverage as a join: exploded tokens against the distinct index."""
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z ]", " "), " +", " "))
-    docs = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.explode(F.filter(T.tokens(plain(F.col("text"))), lambda t: F.length(t) >= 3)).alias("x"))
+    docs = table(spark, d, "documents").select("doc_id", F.explode(F.filter(T.tokens(plain(F.col("text"))), lambda t: F.length(t) >= 3)).alias("x"))
     index = table(spark, d, "benchmark").select(F.explode(F.split(plain(F.col("text")), " ")).alias("t")).distinct()
     return docs.join(index, docs.x == index.t, "left").groupBy("doc_id").agg(F.count("*").alias("n"), F.count("t").alias("found"))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +15,20 @@ from tamis.functions.dims import DENSITIES
 FRONT = r"(?s)^\s*-{3,}[ \t]*\r?\n(.*?)\r?\n-{3,}[ \t]*(?:\r?\n(.*))?$"
 
 
+#: The most rows that a dimension file may have: its values become literals of expressions.
+DIMENSION = 10_000
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def corpus(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """Markdown files below the folders -> file, text; without index.md and byte order marks."""
+    """Markdown files below the folders -> file, text; without index.md and byte order marks. Folders that are not there are left out."""
+    folders = [f for f in folders if exists(spark, f)]
+    if not folders:
+        return spark.createDataFrame([], "file string, text string")
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").text(folders, wholetext=True)
     rows = rows.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"^\x{FEFF}", "").alias("text"))
     return rows.filter(~F.col("file").rlike(r"(?:^|/)index\.md$"))
@@ -46,26 +58,33 @@ def frontmatter(docs: DataFrame) -> DataFrame:
 
 
 def densities(spark: SparkSession, path: str | None) -> list[tuple[str, float]]:
-    """(pattern, density) of a CSV file, a dimension of a few hundred rows; rows without a number are left out, of repeated patterns the last
-    counts; without a file the defaults."""
-    if path is None:
+    """(pattern, density) of a CSV file, a dimension of DIMENSION rows at most; rows without a number are left out, of repeated patterns the last
+    counts. Without a file, or where it lacks one of the two columns, the defaults."""
+    rows = spark.read.option("header", True).csv(path) if path is not None and exists(spark, path) else None
+    if rows is None or not {"pattern", "density"} <= set(rows.columns):
         return list(DENSITIES)
-    rows = spark.read.option("header", True).csv(path).select(F.trim("pattern").alias("p"), F.trim("density").try_cast("double").alias("d")).filter("d IS NOT NULL").collect()
-    return list({r.p: r.d for r in rows}.items())
+    found = rows.select(F.trim("pattern").alias("p"), F.trim("density").try_cast("double").alias("d")).filter("d IS NOT NULL").take(DIMENSION + 1)
+    if len(found) > DIMENSION:
+        raise ValueError(f"{path} has over {DIMENSION} rows: too many for literals")
+    return list({r.p: r.d for r in found}.items())
 
 
 def star_records(spark: SparkSession, path: str) -> DataFrame:
-    """A catalogue of 28 header bytes (seven little-endian integers, the third minus the number of records) and records of float id, double ra and
-    dec in radians, two letters of class and an integer of hundredths of magnitude -> ord, ra, dec in degrees, class, mag."""
-    kind, size = "<fdd2sh", struct.calcsize("<fdd2sh")
+    """A catalogue of a header, seven little-endian integers with minus the number of records third and their size last, and records of float id,
+    double ra and dec in radians, two letters of class and an integer of hundredths of magnitude -> ord, ra, dec in degrees, class, mag. A file that is
+    not as long as its header says is an error."""
+    columns = [("id", "<f4"), ("ra", "<f8"), ("dec", "<f8"), ("class", "S2"), ("mag", "<i2")]
 
     def decode(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import math
-
         for part in files:
             for raw in part["content"]:
-                rows = [struct.unpack_from(kind, raw, at) for at in range(28, len(raw) - size + 1, size)]
-                yield pd.DataFrame([(i, math.degrees(ra) % 360, math.degrees(dec), k.decode("ascii", "replace"), m / 100) for i, (_, ra, dec, k, m) in enumerate(rows)], columns=["ord", "ra", "dec", "class", "mag"])
+                head = np.frombuffer(raw, "<i4", 7) if len(raw) >= 28 else np.zeros(7, int)
+                n, size = abs(int(head[2])), int(head[6])
+                if len(raw) < 28 or size < 24 or 28 + n * size != len(raw):
+                    raise ValueError("the catalogue is not as long as its header says")
+                kind = np.dtype({"names": [c for c, _ in columns], "formats": [t for _, t in columns], "offsets": [0, 4, 12, 20, 22], "itemsize": size})
+                at = np.frombuffer(raw, kind, n, 28)
+                yield pd.DataFrame({"ord": np.arange(n), "ra": np.degrees(at["ra"]) % 360, "dec": np.degrees(at["dec"]), "class": np.char.decode(at["class"], "latin1"), "mag": at["mag"] / 100})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "ord long, ra double, dec double, class string, mag double")
 

@@ -91,7 +91,13 @@ def test_sources(spark, tmp_path):
     assert files.densities(spark, str(tmp_path / "d.csv")) == [("*oil*", 0.8)] and files.densities(spark, None)[3] == ("water", 1.0)
     import struct
 
-    (tmp_path / "s.bin").write_bytes(b"\0" * 28 + struct.pack("<fdd2sh", 1.0, 3.141592653589793, 0.5, b"G2", 150))
+    (tmp_path / "bad.csv").write_text("a,b\n1,2\n")
+    assert files.densities(spark, str(tmp_path / "none.csv")) == files.densities(spark, str(tmp_path / "bad.csv")) == files.densities(spark, None)
+    assert files.corpus(spark, [str(tmp_path / "none")]).count() == 0 and files.corpus(spark, [str(tmp_path / "none"), str(tmp_path)]).count() == len(rows)
+    (tmp_path / "short.bin").write_bytes(struct.pack("<7i", 0, 0, -2, 0, 0, 0, 24) + b"\0" * 24)
+    with pytest.raises(Exception, match="not as long as its header says"):
+        files.star_records(spark, str(tmp_path / "short.bin")).collect()
+    (tmp_path / "s.bin").write_bytes(struct.pack("<7i", 0, 0, -1, 0, 0, 0, 24) + struct.pack("<fdd2sh", 1.0, 3.141592653589793, 0.5, b"G2", 150))
     star = files.star_records(spark, str(tmp_path / "s.bin")).first()
     assert (star.ra, star["class"], star.mag) == (180.0, "G2", 1.5)
     (tmp_path / "g.json").write_text('{"features":[{"id":"Ori","geometry":{"coordinates":[[[-10.0,5.0],[20.0,6.0]]]}}]}')
