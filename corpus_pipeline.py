@@ -16,11 +16,11 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of the least id stays; of five-word shingles at least four fifths are shared. Rows that
-    repeat an id go, rows without one stay."""
+    """Of each class of near duplicates the document of the least id stays; of five-word shingles at least four fifths are shared. Of rows
+    that repeat an id the one of the least hash stays, rows without one stay."""
     classes = jaccard.classes(docs, k=5, num=4, den=5)
     kept = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("x")).select("x.*")
     return one.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
 
 
