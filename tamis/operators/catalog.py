@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tamis.functions.numbers import separation
 
@@ -54,3 +55,13 @@ def quantised(value: Column, scale: float, shift: float = 0.0) -> Column:
 def lower_median(values: Column) -> Column:
     """Element n // 2 of the sorted values; not interpolated."""
     return F.get(F.sort_array(values), F.floor(F.size(values) / 2).cast("int"))
+
+
+def medians(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """rows -> by, median (as lower_median(), nulls left out, null for a group without values) and worst. Rows are counted by value first, so a hot
+    group costs as many rows as it has different values."""
+    counts = rows.groupBy(*by, F.col(value).alias("_v")).agg(F.count(value).alias("_n"))
+    w = W.partitionBy(*by)
+    counts = counts.withColumn("_all", F.sum("_n").over(w)).withColumn("_upto", F.sum("_n").over(w.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)))
+    half = F.floor(F.col("_all") / 2)
+    return counts.groupBy(*by).agg(F.min(F.when(F.col("_upto") > half, F.col("_v"))).alias("median"), F.max("_v").alias("worst"))

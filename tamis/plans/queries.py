@@ -6,13 +6,14 @@ The tables hold no item lines, so many queries write lines from numeric columns
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.functions import numbers as N
 from tamis.functions import text as T
-from tamis.operators import blocks, catalog, findings, grammar, units, windows
+from tamis.operators import blocks, catalog, documents, findings, grammar, units, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -232,15 +233,25 @@ def unicode_cleanup(spark, d):
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z ]', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda x: length(x) >= 3) AS w FROM documents),
-b AS (SELECT DISTINCT unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z ]', ' ', 'g'), ' +', ' ', 'g')), ' ')) AS t FROM benchmark)
-SELECT doc_id, count(*) AS n, count(t) AS found FROM (SELECT doc_id, unnest(w) AS x FROM d) LEFT JOIN b ON b.t = x GROUP BY doc_id""")
+WITH t AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+w AS (SELECT side, id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z ]', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda x: length(x) >= 3) AS w FROM t),
+x AS (SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS x FROM w),
+b AS (SELECT DISTINCT x AS t FROM x WHERE side = 'b')
+SELECT id AS doc_id, count(*) FILTER (x NOT LIKE '% %') AS n, count(t) FILTER (x NOT LIKE '% %') AS found, count(*) FILTER (x LIKE '% %') AS pairs, count(t) FILTER (x LIKE '% %') AS pairs_found
+FROM x LEFT JOIN b ON b.t = x.x WHERE side = 'd' GROUP BY id""")
 def coverage_vs_benchmark(spark, d):
-    """Token coverage as a join: exploded tokens against the distinct index."""
+    """Coverage of words and of pairs of words as one join: exploded words and pairs against the distinct index."""
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z ]", " "), " +", " "))
-    docs = table(spark, d, "documents").select("doc_id", F.explode(F.filter(T.tokens(plain(F.col("text"))), lambda t: F.length(t) >= 3)).alias("x"))
-    index = table(spark, d, "benchmark").select(F.explode(F.split(plain(F.col("text")), " ")).alias("t")).distinct()
-    return docs.join(index, docs.x == index.t, "left").groupBy("doc_id").agg(F.count("*").alias("n"), F.count("t").alias("found"))
+
+    def each(name: str, *keep: str) -> DataFrame:
+        rows = table(spark, d, name).select(*keep, F.filter(T.tokens(plain(F.col("text"))), lambda t: F.length(t) >= 3).alias("w"))
+        return rows.select(*keep, F.explode(F.concat("w", T.bigrams(F.col("w")))).alias("x"))
+
+    docs, index = each("documents", "doc_id"), each("benchmark").distinct().withColumnRenamed("x", "t")
+    pair = F.contains("x", F.lit(" "))
+    out = docs.join(index, docs.x == index.t, "left").groupBy("doc_id")
+    hit = F.col("t").isNotNull()
+    return out.agg(F.count_if(~pair).alias("n"), F.count_if(~pair & hit).alias("found"), F.count_if(pair).alias("pairs"), F.count_if(pair & hit).alias("pairs_found"))
 
 
 @query("""
@@ -331,10 +342,9 @@ def findings_shown(spark, d):
 WITH q AS (SELECT event_type, event_id, round_even(value * 100, 0)::BIGINT AS v FROM events)
 SELECT event_type, event_id, v - coalesce(lag(v) OVER (PARTITION BY event_type ORDER BY event_id), 0) AS delta, v AS back FROM q""")
 def delta_roundtrip(spark, d):
-    by, order = ["event_type"], [F.col("event_id")]
     rows = table(spark, d, "events").select("event_type", "event_id", catalog.quantised(F.col("value"), 100).alias("v"))
-    rows = rows.withColumn("delta", windows.delta(F.col("v"), by, order))
-    return rows.withColumn("back", windows.undelta(F.col("delta"), by, order)).select("event_type", "event_id", "delta", "back")
+    rows = windows.with_delta(rows, ["event_type"], "event_id", "v", "delta")
+    return windows.with_undelta(rows, ["event_type"], "event_id", "delta", "back").select("event_type", "event_id", "delta", "back")
 
 
 @query("""
@@ -390,5 +400,48 @@ def catalogue_filter(spark, d):
 @query("""
 SELECT l_suppkey, list_sort(list(l_quantity))[(count(*) // 2 + 1)::BIGINT] AS median, max(l_quantity) AS worst FROM lineitem GROUP BY l_suppkey""")
 def median_and_worst(spark, d):
-    by = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.collect_list("l_quantity").alias("q"), F.max("l_quantity").alias("worst"))
-    return by.select("l_suppkey", catalog.lower_median(F.col("q")).alias("median"), "worst")
+    return catalog.medians(table(spark, d, "lineitem").select("l_suppkey", "l_quantity"), ["l_suppkey"], "l_quantity")
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, 'c' || c_custkey AS file, c_custkey % 10 = 9 AS bare, c_custkey % 7 + 1 AS lb, c_custkey % 3 + 1 AS kg, c_custkey % 90 + 110 AS c, c_custkey % 160 + 230 AS f FROM customer),
+g AS (SELECT *, abs(lb * 453.59237::DOUBLE - kg * 1000.0::DOUBLE) / greatest(lb * 453.59237::DOUBLE, kg * 1000.0::DOUBLE) AS mass, abs(c - (f - 32.0::DOUBLE) * 5.0::DOUBLE / 9.0::DOUBLE) AS heat FROM c),
+x AS (SELECT file, unnest([
+  CASE WHEN bare THEN 'no-section-headings' END, CASE WHEN bare THEN 'section-inferred' END, CASE WHEN bare THEN 'section-inferred' END,
+  CASE WHEN heat > 5 AND (bare OR k % 6 <> 0) THEN 'temperature-discrepancy' END, CASE WHEN NOT bare AND k % 6 = 0 THEN 'missing-directions-section' END,
+  CASE WHEN NOT bare AND mass > 0.1 THEN 'conversion-discrepancy' END, CASE WHEN NOT bare AND k % 3 = 0 THEN 'component-without-directions' END,
+  CASE WHEN NOT bare AND k % 2 = 0 THEN 'implicit-count-unit' END, CASE WHEN NOT bare AND k % 5 = 0 THEN 'dimension-not-quantity' END,
+  CASE WHEN NOT bare AND k % 7 = 0 THEN 'quantity-unparsed' END, CASE WHEN NOT bare AND k % 4 = 0 THEN 'quantity-unparsed' END,
+  CASE WHEN NOT bare AND k % 4 = 0 THEN 'ingredient-name-empty' END, CASE WHEN NOT bare AND k % 8 = 0 THEN 'non-ascii-character' END,
+  CASE WHEN NOT bare AND k % 13 = 0 AND k % 11 <> 0 THEN 'yield-inferred' END, CASE WHEN NOT bare AND k % 17 = 0 THEN 'source-content-dropped' END]) AS code FROM g)
+SELECT file, code, count(*) AS n FROM x WHERE code IS NOT NULL GROUP BY ALL""")
+def document_findings(spark, d):
+    """A document a customer, its faults chosen by the key, from text to findings."""
+    k = F.col("c_custkey")
+    some = lambda on, text: F.when(on, text).otherwise(F.lit(""))
+    bake = txt("1. Bake at ", k % 90 + 110, "°C (", k % 160 + 230, " degrees F)\n")
+    full = F.concat(
+        F.lit("# T\n\n"), some(k % 11 == 0, F.lit("Serves 4\n\n")), F.lit("## Ingredients"), some(k % 3 == 0, F.lit(" for Glaze")),
+        F.lit("\n\n- 2 g salt"), some(k % 8 == 0, F.lit(" ☃")), txt("\n- ", k % 7 + 1, " lb stone (", k % 3 + 1, " kg)\n"), some(k % 2 == 0, txt("- ", k % 9 + 1, " eggs\n")),
+        some(k % 5 == 0, F.lit("- 9-inch pans\n")), some(k % 7 == 0, F.lit("- 7/x\n")), some(k % 4 == 0, F.lit("- 1,000g flour\n")), some(k % 6 != 0, F.concat(F.lit("\n## Method\n\n"), bake)),
+        some(k % 13 == 0, F.lit("\n## Notes\n\nGives about 12 cookies\n")), some(k % 17 == 0, F.lit("\n```\nsecret lost words here\n```\n")))
+    bare = F.concat(F.lit("# T\n\n- 2 cups flour\n\n"), bake)
+    docs = table(spark, d, "customer").select(txt("c", k).alias("file"), F.when(k % 10 == 9, bare).otherwise(full).alias("text"))
+    return documents.all_findings(docs).groupBy("file", "code").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT 'p' || p_partkey AS file, CASE WHEN p_partkey % 5 < 2 THEN 'invalid-unit-class' ELSE 'invalid-nesting' END AS code, 1::BIGINT AS n FROM part WHERE p_partkey % 5 < 4
+UNION ALL SELECT 'p' || p_partkey, 'implicit-count-unit', 1::BIGINT FROM part WHERE p_partkey % 5 = 4""")
+def measure_findings(spark, d):
+    """Items made by hand: terms of classes that are no amounts, and containers that cannot hold what they are said to."""
+    k = F.col("p_partkey")
+    kind = one_of(("duration", "temperature", "volume", "piece", "piece"), k)
+    inner = lambda unit: F.struct(F.lit(1.0).alias("value"), F.lit(1.0).alias("lo"), F.lit(1.0).alias("hi"), F.lit("x").alias("unit"), unit.alias("unit_class"))
+    held = F.when(k % 5 == 2, inner(F.lit("weight"))).when(k % 5 == 3, inner(F.lit("length"))).when(k % 5 == 4, inner(F.lit("volume")))
+    q = F.col("p_size").cast("double")
+    term = F.struct(q.alias("value"), q.alias("lo"), q.alias("hi"), F.lit("x").alias("unit"), kind.alias("unit_class"), (k % 5 == 4).alias("implicit"), F.lit(None).cast("string").alias("fill"), held.alias("nested"))
+    none = F.filter(F.array(F.struct(F.lit("").alias("text"), F.array(term).alias("terms"), F.lit(False).alias("per_unit"))), lambda _: F.lit(False))
+    items = table(spark, d, "part").select(txt("p", k).alias("file"), F.lit(1).alias("rec"), F.lit("T").alias("title"), F.lit(1).alias("ln"), F.lit("x").alias("body"), F.lit("x").alias("name"), F.array(term).alias("amounts"), none.alias("alternatives"))
+    found = reduce(DataFrame.unionByName, [*documents.invalid_measures(items), *documents.completeness(items)])
+    return findings.deduplicated(found).groupBy("file", "code").agg(F.count("*").alias("n"))
