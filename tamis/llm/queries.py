@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import ann, bpe, chat, jaccard, licenses, lm, mixing, pii, quality, toxicity
+from tamis.llm import ann, bpe, chat, jaccard, licenses, lm, mixing, packing, pii, quality, repair, toxicity, whitening
 from tamis.llm.common import table
 
 #: The vocabulary of the production query; a parameter of the operator.
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: The vocabulary that documents are packed with.
+PACKED = "byte_bpe_50k.json"
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +74,27 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decoded=True))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_formatting, op3_toxicity, op4_quality_rules, op5_context_tree, op6_mixing, op7_jaccard_join, op8_pii, op9_additive_quantisation, op10_byte_bpe)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with faults put in, repaired. A conversation that lost all its rows is still told."""
+    turns = table(spark, sf_dir, "conversations")
+    return repair.digests(repair.repair(repair.damage(turns), turns))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKED)))
+
+
+_ALL = (
+    op1_license_scan, op2_chat_formatting, op3_toxicity, op4_quality_rules, op5_context_tree, op6_mixing, op7_jaccard_join, op8_pii,
+    op9_additive_quantisation, op10_byte_bpe, op11_conversation_repair, op12_embedding_whitening, op13_packing,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _WORDS = "[^ \\t\\n\\x0B\\f\\r]+"
 
@@ -115,4 +137,44 @@ g AS (
     (row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.h, s.doc_id) - 1)::DOUBLE AS r
   FROM s JOIN f ON s.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, size, source_size, target, (size * (floor(e * (r + 1) + u) - floor(e * r + u)))::BIGINT AS taken FROM g""",
+    "op11_conversation_repair": r"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+c AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, range(0, 8 * length(key))), lambda c, i:
+    xor((CASE WHEN i % 8 = 0 THEN xor(c, ascii(key[i // 8 + 1])) ELSE c END) >> 1, 3988292384 * ((CASE WHEN i % 8 = 0 THEN xor(c, ascii(key[i // 8 + 1])) ELSE c END) & 1))), 4294967295) % 20 AS m FROM k),
+d AS (
+  SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role, CASE m WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN m = 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE m <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 24), md5(text), copy) AS i FROM d),
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS rep FROM o),
+f AS (
+  SELECT *, left(role, 1) AS cls, CASE WHEN NOT regexp_matches(text, '[^ \t\n\x0B\f\r]') THEN 1 WHEN rep > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ \t\n\x0B\f\r]*$') THEN 3 ELSE 0 END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM q),
+s(st, mid, letters, price, said) AS (
+  VALUES (0, 0, '', 0, []::VARCHAR[]), (0, 2, 'I', 3, ['user:']), (0, 3, 'II', 6, ['user:', 'assistant:']), (1, 1, '', 0, []), (1, 2, 'I', 3, ['user:']), (1, 3, 'II', 6, ['user:', 'assistant:']),
+    (2, 2, '', 0, []), (2, 3, 'I', 3, ['assistant:']), (2, 2, 'II', 6, ['assistant:', 'user:']), (3, 3, '', 0, []), (3, 2, 'I', 3, ['user:']), (3, 3, 'II', 6, ['user:', 'assistant:'])),
+e(mid, edit, cls, nxt, price, named) AS (
+  VALUES (0, 'D', NULL, 0, 4, NULL), (1, 'D', NULL, 1, 4, NULL), (2, 'D', NULL, 2, 4, NULL), (3, 'D', NULL, 3, 4, NULL), (0, 'K', 's', 1, 0, NULL), (0, 'K', 'u', 2, 0, NULL), (1, 'K', 'u', 2, 0, NULL),
+    (3, 'K', 'u', 2, 0, NULL), (2, 'K', 'a', 3, 0, NULL), (0, 'R', NULL, 2, 3, 'user'), (1, 'R', NULL, 2, 3, 'user'), (3, 'R', NULL, 2, 3, 'user'), (2, 'R', NULL, 3, 3, 'assistant')),
+w AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS st, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS said FROM conversations
+  UNION ALL
+  SELECT conv_id, i, st, cost, audit, said FROM (
+    SELECT w.conv_id, f.i, e.nxt AS st, w.cost + s.price + e.price + CASE WHEN f.fault = 3 AND e.edit <> 'D' THEN 3 ELSE 0 END AS cost, w.audit || s.letters || e.edit AS audit,
+      list_concat(w.said, s.said, CASE WHEN e.edit = 'D' THEN []::VARCHAR[] ELSE [coalesce(e.named, f.role) || ':' || f.text] END) AS said,
+      row_number() OVER (PARTITION BY w.conv_id, e.nxt ORDER BY w.cost + s.price + e.price + CASE WHEN f.fault = 3 AND e.edit <> 'D' THEN 3 ELSE 0 END, w.audit || s.letters || e.edit) AS best
+    FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN s ON s.st = w.st JOIN e ON e.mid = s.mid AND (e.cls IS NULL OR e.cls = f.cls) AND (e.edit = 'D' OR f.fault NOT IN (1, 2)))
+  WHERE best = 1),
+n AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (before || cls NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+t AS (
+  SELECT w.conv_id, coalesce(n.gaps, 0) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate, coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal,
+    w.cost + CASE w.st WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END AS cost, w.audit || CASE w.st WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS audit,
+    list_concat(w.said, CASE w.st WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE []::VARCHAR[] END) AS said
+  FROM w LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.i = coalesce(n.n, 0))
+SELECT conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) AS best FROM t) WHERE best = 1""",
 }
