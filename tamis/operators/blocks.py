@@ -6,40 +6,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tamis.functions import markdown
 from tamis.functions import text as T
 from tamis.functions.dims import LAX_YIELD_WORDS, NO_YIELDS, NUMBER_WORDS, YIELD_WORDS, YIELD_KEYS
-from tamis.operators.windows import ahead, carried, in_fence, upto
+from tamis.functions.workers import importable
+from tamis.operators.windows import ahead, carried, upto
 
-FENCE, BREAK, ATX = r"^ {0,3}(```|~~~)", r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$", r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
-ITEM, QUOTE, ROW = r"^(\s*)(?:([*+-])|(\d{1,9})[.)])\s+(.*)$", r"^ {0,3}> ?(.*)$", r"^\s*\|.*\|\s*$"
 SECTION = r"(?i)^(ingredients|directions|instructions|method)(?:\s+for\s+(.+))?$"
 
 
 def classified(docs: DataFrame) -> DataFrame:
-    """docs (file, text) -> file, ln (from 1), line, kind (blank, break, heading, item, quote, row, text, code), level, body, indent, ordered.
+    """docs (file, text) -> file, ln (from 1), line, kind, level, body, indent, ordered, block: what each line is by CommonMark's block rules.
 
-    A line of `=` or `-` under a paragraph line makes that line a heading and vanishes. Null texts have no lines.
+    A text is one value of one row, so its lines are told apart by one pass over it inside the task that reads it, before anything is shuffled; the state of
+    that pass is what containers and leaves are open. Kinds, body and block are those of markdown.classify(); indent is an item's depth in its list and
+    ordered tells of the outermost list. A heading written over a line of `=` or `-` holds all lines of its paragraph, an item all its own paragraphs, both
+    on their first line. Items without text, comments aside, are lost. Null and empty texts have no lines.
     """
-    rows = docs.select("file", F.posexplode(T.lines(F.regexp_replace("text", r"^\x{FEFF}", ""))).alias("ln", "line")).withColumn("ln", F.col("ln") + 1)
-    by, order = ["file"], [F.col("ln")]
-    # of both signs of fences, one inside the other's block is text: the signs so far decide, folded over each file's fence lines
-    sign = F.regexp_extract("line", FENCE, 1)
-    fences = F.collect_list(F.when(sign != "", F.struct("ln", F.left(sign, F.lit(1)).alias("sign")))).over(W.partitionBy("file"))
-    real = F.aggregate(F.array_sort("_f"), F.struct(F.lit("").alias("open"), F.array().cast("array<int>").alias("at")), lambda a, f: F.when(a["open"] == "", F.struct(f["sign"].alias("open"), F.concat(a["at"], F.array(f["ln"])).alias("at"))).when(a["open"] == f["sign"], F.struct(F.lit("").alias("open"), F.concat(a["at"], F.array(f["ln"])).alias("at"))).otherwise(a), lambda a: a["at"])
-    rows = rows.withColumn("_f", fences).withColumn("fence", F.when(F.size("_f") == 0, F.lit(False)).otherwise(F.array_contains(real, F.col("ln")))).drop("_f")
-    rows = rows.withColumn("code", in_fence(F.col("fence"), by, order) | F.col("fence"))
-    kind = (
-        F.when(F.col("code"), "code").when(F.col("line").rlike(r"^\s*$"), "blank").when(F.col("line").rlike(ATX), "heading").when(F.col("line").rlike(BREAK), "break")
-        .when(F.col("line").rlike(ITEM), "item").when(F.col("line").rlike(QUOTE), "quote").when(F.col("line").rlike(ROW), "row").otherwise("text")
-    )
-    w = W.partitionBy("file").orderBy("ln")
-    rows = rows.withColumn("kind", kind).withColumn("under", F.lead("line").over(w)).withColumn("over", F.lag("kind").over(w))
-    bar = r"^ {0,3}(=+|-+)\s*$"
-    setext = (F.col("kind") == "text") & F.coalesce(F.col("under").rlike(bar), F.lit(False))
-    rows = rows.filter(~((F.col("over") == "text") & F.col("line").rlike(bar) & ~F.col("code")) | F.col("over").isNull())
-    level = F.when(setext, F.when(F.col("under").rlike("="), 1).otherwise(2)).when(F.col("kind") == "heading", F.length(F.regexp_extract("line", ATX, 1)))
-    body = F.when(F.col("kind") == "heading", F.regexp_extract("line", ATX, 2)).when(F.col("kind") == "item", F.regexp_extract("line", ITEM, 4)).when(F.col("kind") == "quote", F.regexp_extract("line", QUOTE, 1)).otherwise(T.strip(F.col("line")))
-    return rows.select("file", "ln", "line", F.when(setext, "heading").otherwise(F.col("kind")).alias("kind"), level.alias("level"), body.alias("body"), F.length(F.regexp_extract("line", r"^\s*", 0)).alias("indent"), (F.regexp_extract("line", ITEM, 3) != "").alias("ordered"))
+    kinds = {f.name: f.dataType.simpleString() for f in docs.select("file").schema}
+    importable(docs.sparkSession)
+    text = F.regexp_replace("text", r"^\x{FEFF}", "")
+    rows = docs.select(F.col("file").cast("string"), text.alias("text")).filter("text IS NOT NULL")
+    rows = rows.mapInArrow(markdown.lines, "file string, ln int, line string, kind string, level int, body string, depth int, ordered boolean, block int")
+    item = F.col("kind") == "item"
+    bare = F.when(item & F.contains("body", F.lit("<!--")) | item & F.contains("body", F.lit("[//]:")), T.strip_comments(F.col("body"))).otherwise(F.col("body"))
+    rows = rows.withColumn("body", bare)
+    kind = F.when(item & (F.col("body") == ""), "lost").otherwise(F.col("kind"))
+    return rows.select(F.col("file").cast(kinds["file"]), "ln", "line", kind.alias("kind"), "level", "body", F.coalesce("depth", F.lit(0)).alias("indent"), F.coalesce("ordered", F.lit(False)).alias("ordered"), "block")
+
+
+def lists(lines: DataFrame) -> DataFrame:
+    """classified lines -> file, block, ordered, until, text: each outermost list with its source lines as they are, nested ones and blank lines between included."""
+    rows = lines.filter("kind <> 'blank'").groupBy("file", "block").agg(F.max(F.col("kind").isin("item", "mark")).alias("is"), F.max("ln").alias("until"), F.bool_or(F.col("ordered")).alias("ordered"))
+    spans = rows.filter("is").drop("is")
+    own = lines.select("file", "block", "ln", "line").join(spans, ["file", "block"]).filter("ln <= until")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda x: x["line"]), "\n")
+    return own.groupBy("file", "block", "ordered", "until").agg(text.alias("text"))
+
+
+def quotes(lines: DataFrame) -> DataFrame:
+    """classified lines -> file, block, text: each quote with the contents of its lines, joined by spaces."""
+    said = F.array_sort(F.collect_list(F.when(F.col("body") != "", F.struct("ln", "body"))))
+    return lines.filter("kind = 'quote'").groupBy("file", "block").agg(F.array_join(F.transform(said, lambda x: x["body"]), " ").alias("text"))
 
 
 def routed(lines: DataFrame) -> DataFrame:
@@ -49,11 +57,12 @@ def routed(lines: DataFrame) -> DataFrame:
     record from its level-2 headings; without any, unordered items before the first ordered one are ingredients, ordered ones directions.
     """
     by, order = ["file"], [F.col("ln")]
-    content = F.when(~F.col("kind").isin("blank", "break"), F.struct("kind", "level"))
+    silent = F.col("kind").isin(*markdown.SILENT)
+    content = F.when(~silent & (F.col("kind") != "break"), F.struct("kind", "level"))
     rows = lines.withColumn("next", ahead(content, by, order))
     cut = (F.col("kind") == "break") & (F.col("next.kind") == "heading") & (F.col("next.level") == 1)
     rows = rows.withColumn("cut", F.coalesce(cut, F.lit(False)).cast("int")).withColumn("rec", F.sum("cut").over(upto(by, order)))
-    rows = rows.filter("cut = 0").withColumn("full", F.max((F.col("kind") != "blank").cast("int")).over(W.partitionBy("file", "rec"))).filter("full = 1")
+    rows = rows.filter("cut = 0").withColumn("full", F.max((~silent).cast("int")).over(W.partitionBy("file", "rec"))).filter("full = 1")
     rows = rows.withColumn("rec", F.dense_rank().over(W.partitionBy("file").orderBy("rec")))
     own = ["file", "rec"]
     whole = W.partitionBy(*own).orderBy("ln").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -66,7 +75,7 @@ def routed(lines: DataFrame) -> DataFrame:
     rows = rows.withColumns({"title": F.coalesce(F.nullif(h1, F.lit("")), F.concat(F.lit("Recipe "), F.col("rec"))), "has_two": F.max(two.cast("int")).over(whole) == 1, "s": carried(section, own, order), "c": carried(component, own, order)})
     seen = F.coalesce(F.max(((F.col("kind") == "item") & F.col("ordered")).cast("int")).over(upto(own, order)), F.lit(0)) == 1
     guess = F.when((F.col("kind") == "item"), F.when(F.col("ordered"), "directions").when(~seen, "ingredients").otherwise("notes"))
-    return rows.select("file", "rec", "ln", "line", "kind", "level", "body", "indent", "ordered", "title", F.when(F.col("has_two"), F.coalesce("s", F.lit("notes"))).otherwise(F.coalesce(guess, F.lit("notes"))).alias("section"), F.nullif("c", F.lit("")).alias("component"), (~F.col("has_two") & (F.col("kind") == "item")).alias("inferred"))
+    return rows.select("file", "rec", "ln", "line", "kind", "level", "body", "indent", "ordered", "block", "title", F.when(F.col("has_two"), F.coalesce("s", F.lit("notes"))).otherwise(F.coalesce(guess, F.lit("notes"))).alias("section"), F.nullif("c", F.lit("")).alias("component"), (~F.col("has_two") & (F.col("kind") == "item")).alias("inferred"))
 
 
 def items(rows: DataFrame) -> DataFrame:
@@ -84,12 +93,10 @@ def items(rows: DataFrame) -> DataFrame:
 
 
 def tables(rows: DataFrame) -> DataFrame:
-    """Table rows of routed lines -> file, rec, ln, cells as wide as the header's: padded or cut. The delimiter row is left out."""
-    w = W.partitionBy("file", "rec").orderBy("ln")
-    own = rows.filter("kind = 'row'").withColumn("new", (F.coalesce(F.col("ln") - F.lag("ln").over(w), F.lit(9)) > 1).cast("int")).withColumn("tab", F.sum("new").over(upto(["file", "rec"], [F.col("ln")])))
-    cells = F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"\|", -1), lambda x: T.strip(x))
-    own = own.withColumn("cells", cells).withColumn("width", F.first(F.size("cells")).over(W.partitionBy("file", "rec", "tab").orderBy("ln")))
-    own = own.filter(~F.col("line").rlike(r"^\s*\|(\s*:?-+:?\s*\|)+\s*$"))
+    """Table rows of routed lines -> file, rec, tab (the number of its first line), ln, cells as wide as the header's: padded or cut. The delimiter row is left out."""
+    cells = F.transform(F.split(F.regexp_replace("body", r"^\||(?<!\\)\|$", ""), r"(?<!\\)\|", -1), lambda x: F.replace(T.strip(x), F.lit("\\|"), F.lit("|")))
+    own = rows.filter("kind = 'row'").select("file", "rec", F.col("block").alias("tab"), "ln", cells.alias("cells"))
+    own = own.withColumn("width", F.first(F.size("cells")).over(W.partitionBy("file", "rec", "tab").orderBy("ln")))
     pad = F.concat("cells", F.array_repeat(F.lit(""), F.greatest(F.lit(0), F.col("width") - F.size("cells"))))
     return own.select("file", "rec", "tab", "ln", F.slice(pad, F.lit(1), F.col("width")).alias("cells"))
 
@@ -124,3 +131,32 @@ def lax_yields(rows: DataFrame) -> DataFrame:
         none = none | low.startswith(start)
     ok = (F.col("kind") == "text") & ~none & ~(low.startswith("serve") & ~_number(body)) & _told(body, LAX_YIELD_WORDS, r"\b")
     return rows.filter(ok).groupBy("file", "rec").agg(F.min("ln").alias("line"), F.min_by(body, F.col("ln")).alias("yield"))
+
+
+def written(rows: DataFrame, told: DataFrame | None = None) -> DataFrame:
+    """routed lines, and told (file, rec, yield) where a yield stands outside the text -> file, rec, text: each record as Markdown again.
+
+    Title first, then headings, paragraphs, quotes, lists (flat, numbered from 1 where ordered) and tables in their order, a blank line around each, so
+    that reading it again gives the same rows but for places, depths and what yields nothing. A table's cells are as wide as its header; a
+    yield is written where no text of the record says it. Blocks of a record, and lines of a block, meet in one row.
+    """
+    at = lambda kind: rows.filter(F.col("kind") == kind)
+    joined = lambda x, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", x.alias("x")))), lambda y: y["x"]), by)
+    own = ["file", "rec", "block"]
+    heads = at("heading").filter("level > 1").select(*own, F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), T.header(F.col("body"))).alias("text"))
+    texts = at("text").groupBy(*own).agg(joined(F.col("body"), "\n").alias("text"))
+    cited = at("quote").filter("body <> ''").groupBy(*own).agg(F.concat(F.lit("> "), joined(F.col("body"), " ")).alias("text"))
+    numbered = at("item").withColumn("n", F.row_number().over(W.partitionBy(*own).orderBy("ln")))
+    mark = F.when(F.col("ordered"), F.concat(F.col("n").cast("string"), F.lit(". "))).otherwise(F.lit("* "))
+    listed = numbered.groupBy(*own).agg(joined(F.concat(mark, F.regexp_replace("body", "\n", "\n  ")), "\n").alias("text"))
+    bar = lambda x: F.concat(F.lit("| "), F.array_join(x, " | "), F.lit(" |"))
+    grid = tables(rows).withColumnRenamed("tab", "block").withColumn("cells", F.transform("cells", lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))))
+    line = F.when(F.col("ln") == F.col("block"), F.concat(bar(F.col("cells")), F.lit("\n"), bar(F.transform("cells", lambda _: F.lit("---"))))).otherwise(bar(F.col("cells")))
+    drawn = grid.groupBy(*own).agg(joined(line, "\n").alias("text"))
+    every = heads.unionByName(texts).unionByName(cited).unionByName(listed).unionByName(drawn)
+    body = every.groupBy("file", "rec").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: F.concat(F.lit("\n"), x["text"], F.lit("\n"))), "").alias("body"))
+    titles = rows.groupBy("file", "rec").agg(F.first("title").alias("title"))
+    out = titles.join(body, ["file", "rec"], "left")
+    out = out.join(told, ["file", "rec"], "left") if told is not None else out.withColumn("yield", F.lit(None).cast("string"))
+    more = F.when(F.col("yield").isNotNull() & ~F.contains(F.coalesce("body", F.lit("")), F.col("yield")), F.concat(F.lit("\n"), F.col("yield"), F.lit("\n"))).otherwise(F.lit(""))
+    return out.select("file", "rec", F.concat(F.lit("# "), F.col("title"), F.lit("\n"), more, F.coalesce("body", F.lit(""))).alias("text"))

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tamis.functions import markdown
 from tamis.functions import text as T
 from tamis.functions.dims import ALLOWED, DIMENSIONS, SEVERITY
 from tamis.operators import blocks, findings, grammar
-from tamis.operators.windows import ahead, upto
+from tamis.operators.windows import ahead, in_fence, upto
+from tamis.sources.stages import kept, release
 
 #: Shares of a line's words and of its pairs of words that a parse has to hold.
 WORDS, PAIRS = 0.85, 0.85
@@ -123,14 +125,41 @@ def completeness(items: DataFrame) -> list[DataFrame]:
     ]
 
 
+#: A thematic break, a level-1 heading and a fence as coverage sees them: in lines as they are, without block structure.
+_BREAK, _TITLE, _FENCE = r"^(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$", r"^#(?:\s|$)", r"^\s{0,3}(?:```|~~~)"
+
+
+def spans(lines: DataFrame, records: DataFrame) -> DataFrame:
+    """lines (file, ln, line, any others), records (file, n: how many were parsed) -> lines with rec: the record whose span of lines holds it.
+
+    A break outside fences starts a span where the next content, further breaks aside, is a level-1 heading and there is content behind the
+    break before. Where a file's spans are not as many as its records, attribution is abandoned: rec is null for the whole file, as it is for
+    files of one record or none. Breaks, starts and lines are told apart by one running sum, so nothing is gathered.
+    """
+    by, order = ["file"], [F.col("ln")]
+    x = T.strip(F.col("line"))
+    fence = F.col("line").rlike(_FENCE)
+    rows = lines.withColumns({"_x": x, "_fence": fence}).withColumn("_in", in_fence(F.col("_fence"), by, order) | F.col("_fence"))
+    bare = F.col("_x").rlike(_BREAK)
+    rows = rows.withColumn("_said", (F.col("_x") != "") & ~bare).withColumn("_next", ahead(F.when(F.col("_said"), F.col("_x")), by, order))
+    rows = rows.withColumn("_cut", bare & ~F.col("_in") & F.coalesce(F.col("_next").rlike(_TITLE), F.lit(False)))
+    rows = rows.withColumn("_n", F.sum(F.col("_said").cast("int")).over(upto(by, order)))
+    before = F.last(F.when(F.col("_cut"), F.col("_n")), ignorenulls=True).over(W.partitionBy("file").orderBy("ln").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("_start", (F.col("_cut") & (F.col("_n") > F.coalesce(before, F.lit(0)))).cast("int"))
+    rows = rows.withColumn("_rec", 1 + F.sum("_start").over(upto(by, order))).withColumn("_all", F.max("_rec").over(W.partitionBy("file")))
+    rows = rows.join(records.select("file", F.col("n").alias("_records")), "file", "left")
+    return rows.select(*lines.columns, F.when((F.col("_records") > 1) & (F.col("_all") == F.col("_records")), F.col("_rec")).alias("rec"))
+
+
 def dropped(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Source lines that left no trace in their record: file, rec, title, ln, line. A line stays if enough of its words and of their pairs are in the
-    record; a line without words, if its characters are."""
-    kept = rows.filter("kind NOT IN ('blank', 'break', 'code')")
-    told = kept.groupBy("file", "rec", "title").agg(F.min("ln").alias("from"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda x: T.content_of(T.strip(x["line"]))), " ").alias("said"))
-    index = told.withColumn("t", T.tokens(T.normalised(F.col("said")))).select("file", "rec", "title", "from", F.array_distinct("t").alias("words"), F.array_distinct(T.bigrams(F.col("t"))).alias("pairs"), T.collapsed(F.col("said")).alias("verbatim"))
-    starts = told.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("from", "rec"))).alias("starts"))
-    lines = docs.select("file", F.posexplode(F.split(T.without_comment_text(F.col("text")), "\n", -1)).alias("i", "line")).withColumn("ln", F.col("i") + 1).withColumn("x", T.strip(F.col("line"))).filter("x <> ''")
+    """Source lines that left no trace in what was parsed: file, rec, title, ln, line. A line stays if enough of its words and of their pairs are in the record that
+    its span belongs to, or in any of the file's where spans() tells none; a line without words, if its characters are. rec and title are null where a file
+    of several records was not attributed."""
+    kept = rows.filter(~F.col("kind").isin("break", *markdown.SILENT))
+    titles = rows.groupBy("file", "rec").agg(F.first("title").alias("title"))
+    records = titles.groupBy("file").agg(F.count("*").alias("n"), F.first("title").alias("only"))
+    lines = docs.select("file", F.posexplode(F.split(T.without_comment_text(F.col("text")), "\n", -1)).alias("i", "line")).select("file", (F.col("i") + 1).alias("ln"), "line")
+    lines = spans(lines, records).withColumn("x", T.strip(F.col("line"))).filter("x <> ''")
     # a group's header stands for its items
     depth = F.when(F.col("line").rlike(r"^\s*(?:[-*+]|\d+[.)])\s+\S"), F.length(F.regexp_extract("line", r"^\s*", 0))).otherwise(-1)
     lines = lines.withColumn("depth", depth).withColumn("next", ahead(F.col("depth"), ["file"], [F.col("ln")]))
@@ -138,18 +167,24 @@ def dropped(docs: DataFrame, rows: DataFrame) -> DataFrame:
     content = T.content_of(F.col("x"))
     meant = content.rlike(r"^\[//\]:\s*#\s*\(.*\)$") | content.rlike(r"^\[[^\]]+\]:\s+\S") | F.coalesce(group, F.lit(False))
     lines = lines.filter(~meant).withColumn("content", content)
-    lines = lines.join(starts, "file").withColumn("at", F.filter("starts", lambda s: s["from"] <= F.col("ln")))
-    lines = lines.withColumn("rec", F.coalesce(F.get("at", F.size("at") - 1)["rec"], F.get("starts", F.lit(0))["rec"])).join(index, ["file", "rec"])
+    # what was parsed, by record and, as record 0, by file: only one of the two is looked at
+    said = kept.select("file", F.explode(F.array("rec", F.lit(0))).alias("_rec"), F.struct("ln", "body").alias("b"))
+    told = said.groupBy("file", "_rec").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["body"]), " ").alias("said"))
+    index = told.withColumn("t", T.tokens(T.normalised(F.col("said")))).select("file", "_rec", F.array_distinct("t").alias("words"), F.array_distinct(T.bigrams(F.col("t"))).alias("pairs"), T.collapsed(F.col("said")).alias("verbatim"))
+    lines = lines.withColumn("_rec", F.coalesce("rec", F.lit(0))).join(index, ["file", "_rec"], "left").join(titles, ["file", "rec"], "left").join(records.select("file", "n", "only"), "file", "left")
+    none = F.array().cast("array<string>")
+    lines = lines.withColumns({"words": F.coalesce("words", none), "pairs": F.coalesce("pairs", none), "verbatim": F.coalesce("verbatim", F.lit(""))})
     lines = lines.withColumn("t", T.tokens(T.normalised(F.col("content")))).withColumn("residue", T.collapsed(F.col("content")))
     words = (T.share_in(F.col("t"), F.col("words")) >= WORDS) & F.coalesce(T.share_in(T.bigrams(F.col("t")), F.col("pairs")) >= PAIRS, F.lit(True))
     stays = F.when(F.size("t") > 0, words).otherwise(T.structure_only(F.col("residue")) | F.contains("verbatim", F.col("residue")))
-    return lines.filter(~stays).select("file", "rec", "title", "ln", F.rtrim("line").alias("line"))
+    one = F.col("n") == 1
+    return lines.filter(~stays).select("file", F.when(one, F.lit(1)).otherwise(F.col("rec")).alias("rec"), F.when(one, F.col("only")).otherwise(F.col("title")).alias("title"), "ln", F.rtrim("line").alias("line"))
 
 
-def coverage(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """A finding for each run of dropped lines."""
+def coverage(lost: DataFrame) -> DataFrame:
+    """dropped() lines -> a finding for each run of them."""
     w = W.partitionBy("file", "rec").orderBy("ln")
-    lost = dropped(docs, rows).withColumn("new", (F.coalesce(F.col("ln") - F.lag("ln").over(w), F.lit(1 << 30)) > GAP).cast("int"))
+    lost = lost.withColumn("new", (F.coalesce(F.col("ln") - F.lag("ln").over(w), F.lit(1 << 30)) > GAP).cast("int"))
     lost = lost.withColumn("run", F.sum("new").over(upto(["file", "rec"], [F.col("ln")])))
     runs = lost.groupBy("file", "rec", "title", "run").agg(F.count("*").alias("n"), F.min("ln").alias("first"), F.max("ln").alias("last"), F.array_sort(F.collect_list(F.struct("ln", "line"))).alias("x"))
     span = F.when(F.col("n") == 1, F.concat(F.lit("line "), F.col("first"))).otherwise(F.concat(F.lit("lines "), F.col("first"), F.lit("-"), F.col("last")))
@@ -162,15 +197,41 @@ def all_findings(docs: DataFrame, metadata: DataFrame | None = None) -> DataFram
     """docs (file, text) -> all findings, in the order of their producers, each once: file, rec, title, code, severity, message, context, line, detail, emit_ord.
 
     Null texts have no lines and no findings; files are told apart by name, so repeated files count as one with their lines repeated. Lines and items
-    are read by many producers and so cached, in memory or else on disk; spark.catalog.clearCache() drops them.
+    are read by many producers, so they are made once and written as Parquet to the folder of spark.checkpoint.dir; the findings, which are few, are written there
+    too, and then what they were made of is deleted.
     """
-    rows = structure(docs).persist()
-    items, others = ingredients(rows).persist(), steps(rows).persist()
-    found = [characters(docs), inferred_yields(rows, metadata), *invalid_measures(items), conversions(items), temperatures(others), components(rows), *sections(rows), *completeness(items), coverage(docs, rows)]
-    return findings.deduplicated(reduce(DataFrame.unionByName, found))
+    rows = kept(structure(docs), "lines")
+    items, others = kept(ingredients(rows), "items"), kept(steps(rows), "steps")
+    lost = kept(dropped(docs, rows), "dropped")
+    found = [characters(docs), inferred_yields(rows, metadata), *invalid_measures(items), conversions(items), temperatures(others), components(rows), *sections(rows), *completeness(items), coverage(lost)]
+    out = kept(findings.deduplicated(reduce(DataFrame.unionByName, found)), "findings")
+    release(rows, items, others, lost)
+    return out
 
 
 def report(found: DataFrame) -> DataFrame:
     """One row: how many files have findings, findings by severity, and failed (whether there is an error)."""
     of = lambda s: F.count_if(F.col("severity") == s).alias(s + "s")
     return found.agg(F.countDistinct("file").alias("files"), *map(of, findings.SEVERITIES), F.coalesce(F.bool_or(F.col("severity") == "error"), F.lit(False)).alias("failed"))
+
+
+def file_report(rows: DataFrame, found: DataFrame, shown: Column | None = None) -> DataFrame:
+    """routed lines and findings -> a row per file: file, records, findings, shown (those that the filter `shown` lets through, all by default), suppressed,
+    errors, warnings, infos, and messages of those shown, worst first, then by code and line. Files without records or findings have zeros and no messages;
+    findings count whether shown or not."""
+    see = F.lit(True) if shown is None else F.coalesce(shown, F.lit(False))
+    of = lambda s: F.count_if(F.col("severity") == s).alias(s + "s")
+    rank = F.array_position(F.array(*map(F.lit, findings.SEVERITIES)), F.col("severity"))
+    place = F.concat_ws(" ", F.col("severity"), F.col("code"), F.when(F.col("line").isNotNull(), F.concat(F.lit("line "), F.col("line"))), F.col("message"))
+    told = F.when(see, F.struct(rank.alias("rank"), F.col("code").alias("code"), F.coalesce("line", F.lit(0)).alias("line"), place.alias("text")))
+    by_file = found.groupBy("file").agg(F.count("*").alias("findings"), F.count_if(see).alias("shown"), *map(of, findings.SEVERITIES), F.transform(F.array_sort(F.collect_list(told)), lambda x: x["text"]).alias("messages"))
+    records = rows.groupBy("file").agg(F.countDistinct("rec").alias("records"))
+    both = records.join(by_file, "file", "full")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return both.select("file", zero("records"), zero("findings"), zero("shown"), (F.coalesce("findings", F.lit(0)) - F.coalesce("shown", F.lit(0))).cast("long").alias("suppressed"), *(zero(s + "s") for s in findings.SEVERITIES), F.coalesce("messages", F.array().cast("array<string>")).alias("messages"))
+
+
+def code_counts(found: DataFrame) -> DataFrame:
+    """Findings by code, most first; of equals the code that was found first: code, n."""
+    counts = found.groupBy("code").agg(F.count("*").alias("n"), F.min(F.struct("file", "emit_ord")).alias("first"))
+    return counts.orderBy(F.col("n").desc(), "first", "code").select("code", "n")

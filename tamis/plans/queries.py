@@ -10,10 +10,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from tamis.functions import markdown
 from tamis.functions import numbers as N
 from tamis.functions import text as T
-from tamis.operators import blocks, catalog, documents, findings, grammar, units, windows
+from tamis.operators import blocks, catalog, cleanups, documents, findings, grammar, search, units, windows
+from tamis.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -226,10 +229,10 @@ def comment_strip(spark, d):
 
 
 @query("""
-SELECT lang, sum(len(regexp_extract_all(text, '[‘’“”–—…]')))::BIGINT AS replaced, count(*) AS n FROM documents GROUP BY lang""")
+SELECT lang, sum(len(regexp_extract_all(text, '[º“”‘’·…]')))::BIGINT AS replaced, count(*) AS n FROM documents GROUP BY lang""")
 def unicode_cleanup(spark, d):
-    rows = table(spark, d, "documents").select("lang", F.regexp_count("text", F.lit("[‘’“”–—…]")).alias("k"), T.plain_punctuation(F.col("text")).alias("clean"))
-    return rows.groupBy("lang").agg((F.sum("k") + F.sum(F.regexp_count("clean", F.lit("[‘’“”–—…]")))).alias("replaced"), F.count("*").alias("n"))
+    rows = table(spark, d, "documents").select("lang", T.odd_punctuation(F.col("text")).alias("k"), T.odd_punctuation(T.plain_punctuation(F.col("text"))).alias("left"))
+    return rows.groupBy("lang").agg((F.sum("k") + F.sum("left")).alias("replaced"), F.count("*").alias("n"))
 
 
 @query(r"""
@@ -445,3 +448,114 @@ def measure_findings(spark, d):
     items = table(spark, d, "part").select(txt("p", k).alias("file"), F.lit(1).alias("rec"), F.lit("T").alias("title"), F.lit(1).alias("ln"), F.lit("x").alias("body"), F.lit("x").alias("name"), F.array(term).alias("amounts"), none.alias("alternatives"))
     found = reduce(DataFrame.unionByName, [*documents.invalid_measures(items), *documents.completeness(items)])
     return findings.deduplicated(found).groupBy("file", "code").agg(F.count("*").alias("n"))
+
+
+@query(r"""
+WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS q, [l_quantity::BIGINT + l_linenumber / 8.0::DOUBLE, l_linenumber / 7.0::DOUBLE] AS v FROM lineitem),
+s AS (SELECT *, list_transform(v, lambda x: CASE WHEN x = floor(x) THEN floor(x)::BIGINT::VARCHAR ELSE regexp_replace(CASE WHEN abs(x - round(x, 2)) < 1e-4 THEN printf('%.2f', x) ELSE printf('%.3f', x) END, '\.?0+$', '') END) AS s FROM t)
+SELECT l_orderkey, l_linenumber, '- ' || s[1] || ' cups, ' || s[2] || ' or ' || q || '.5 of https://x.y/1/2 z' AS text FROM s""")
+def fractions_to_decimals(spark, d):
+    """Lines written with mixed, plain and vulgar fractions and an address that holds one."""
+    q, n = whole("l_quantity"), F.col("l_linenumber")
+    line = txt("- ", q, " ", n, "/8 cups, ", n, "/7 or ", q, "½ of https://x.y/1/2 z")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.decimals_for_fractions(line).alias("text"))
+
+
+@query("""
+SELECT 'c' || c_custkey AS file, (c_custkey % 4)::BIGINT AS headers, (2 * (c_custkey % 4))::BIGINT AS fractions, (c_custkey % 4 + 1)::BIGINT AS punctuation, (c_custkey % 4 > 0)::INT::BIGINT AS urls FROM customer""")
+def cleanup_changes(spark, d):
+    """What each clean-up changes in documents whose number of faults is known; the same frontmatter in front of all."""
+    part = F.lit("## note:\n- 1/2 cup\n- 3½ cups\n- none 1/2\nsee http://x.y/z. “\n")
+    text = F.concat(F.lit("---\ntitle: \"a/1/2:…\"\n---\n"), F.repeat(part, F.col("c_custkey") % 4))
+    docs = table(spark, d, "customer").select(txt("c", F.col("c_custkey")).alias("file"), text.alias("text"))
+    each = [cleanups.cleaned(docs, rule).select("file", F.lit(rule).alias("rule"), "changes") for rule in cleanups.RULES]
+    return reduce(DataFrame.unionByName, each).groupBy("file").pivot("rule", list(cleanups.RULES)).agg(F.sum("changes"))
+
+
+@query("""
+SELECT 'c' || c_custkey AS file, (1 + c_custkey % 3)::BIGINT AS items, (3 * (c_custkey % 3))::BIGINT AS code, (4 + c_custkey % 2)::BIGINT AS html, (c_custkey % 3 + 1)::BIGINT AS headings,
+  1 AS quotes, 'first of ' || c_custkey || chr(10) || 'lazy later' AS item FROM customer""")
+def block_kinds(spark, d):
+    """Lines of documents with nested fences, HTML blocks, multi-line comments, quotes and items that go on: how many of each kind there are."""
+    n = F.col("c_custkey") % 3
+    text = F.concat(
+        F.lit("A title\nof two lines\n---\n\n<!--\n## no heading\n- no item\n"), F.when(F.col("c_custkey") % 2 == 1, F.lit("more\n")).otherwise(F.lit("")), F.lit("-->\n\n"), txt("- first of ", F.col("c_custkey"), "\nlazy\n\n  later\n"), F.repeat(F.lit("-\n- again\n"), n),
+        F.lit("\n> said\nhere\n\n"), F.repeat(F.lit("## part\n````\n```\n````\n"), n))
+    docs = table(spark, d, "customer").select(txt("c", F.col("c_custkey")).alias("file"), text.alias("text"))
+    rows = blocks.classified(docs)
+    of = lambda k: F.count_if(F.col("kind") == k)
+    return rows.groupBy("file").agg(of("item").alias("items"), of("code").alias("code"), of("html").alias("html"), of("heading").alias("headings"), F.countDistinct(F.when(F.col("kind") == "quote", F.col("block"))).cast("int").alias("quotes"), F.min_by("body", F.when(F.col("kind") == "item", F.col("ln"))).alias("item"))
+
+
+@query("""
+SELECT 'p' || p_partkey AS file, CASE WHEN p_partkey % 7 = 0 THEN 'stale' WHEN p_partkey % 7 = 1 THEN 'new' ELSE 'gone' END AS state FROM part WHERE p_partkey % 7 < 3""")
+def stale_files(spark, d):
+    """Texts of parts against a manifest kept of them, in which some are older, some lack and some are of parts no longer there."""
+    k = F.col("p_partkey")
+    parts = table(spark, d, "part").select(txt("p", k).alias("file"), "p_name", k.alias("k"))
+    now = files.digests(parts.filter("k % 7 <> 2").select("file", F.col("p_name").alias("text")))
+    then = files.digests(parts.filter("k % 7 <> 1").select("file", F.when(F.col("k") % 7 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")).alias("text")))
+    return files.staleness(now, then)
+
+
+@query("""
+SELECT 'c' || c_custkey AS file, (c_custkey % 3 + 1)::BIGINT AS records, (9 + 6 * (c_custkey % 3))::BIGINT AS rows, (9 + 6 * (c_custkey % 3))::BIGINT AS same FROM customer""")
+def markdown_roundtrip(spark, d):
+    """Documents read, written as Markdown record by record and read again: as many rows, and all the same."""
+    one = lambda i: F.lit(f"# Dish {i}\n\nSaid **so**\nand so\n\n## Method\n\n1. go\n2. on\n")
+    n = F.col("c_custkey") % 3
+    more = F.concat(F.lit("\n> cited\n\n| a | b |\n|---|---|\n| 1 |\n"))
+    text = F.concat(one(1), more, F.when(n > 0, F.concat(F.lit("\n---\n"), one(2))).otherwise(F.lit("")), F.when(n > 1, F.concat(F.lit("\n***\n"), one(3))).otherwise(F.lit("")))
+    docs = table(spark, d, "customer").select(txt("c", F.col("c_custkey")).alias("file"), text.alias("text"))
+    what = lambda rows: rows.filter(~F.col("kind").isin("break", *markdown.SILENT)).groupBy("file", F.col("rec").cast("int").alias("rec"), "kind", "level", F.when(F.col("kind") == "row", F.regexp_replace("body", r"\|\s*(?=\|)|\s*\|$", "")).otherwise(F.col("body")).alias("body"), "section", "title", "ordered").agg(F.count("*").alias("n"))
+    before = blocks.routed(blocks.classified(docs))
+    text = blocks.written(before).select(F.concat_ws("\t", "file", "rec").alias("file"), "text")
+    after = blocks.routed(blocks.classified(text))
+    after = what(after.withColumn("rec", F.element_at(F.split("file", "\t"), 2)).withColumn("file", F.element_at(F.split("file", "\t"), 1)))
+    first = what(before)
+    keys = [c for c in first.columns if c != "n"]
+    both = first.join(after.select(*(F.col(k).alias("k_" + k) for k in keys), F.col("n").alias("m")), [F.col(k).eqNullSafe(F.col("k_" + k)) for k in keys], "left")
+    return both.groupBy("file").agg(F.countDistinct("rec").alias("records"), F.sum("n").alias("rows"), F.sum(F.coalesce(F.least("n", "m"), F.lit(0))).alias("same"))
+
+
+@query("""
+SELECT 'c' || c_custkey AS file, CASE WHEN c_custkey % 3 = 2 THEN 3 WHEN c_custkey % 3 = 1 THEN 2 ELSE 0 END::BIGINT AS spans, (CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS abandoned FROM customer""")
+def record_spans(spark, d):
+    """Source lines by the record that they belong to; a file whose breaks and records differ in number is given up."""
+    n = F.col("c_custkey") % 3
+    one = lambda i: f"# Dish {i}\nwords of {i}\n\n---\n\n* * *\n\n"
+    text = F.when(n == 0, F.lit("# A\nwords\n\n---\n\nB\n===\nother words\n")).otherwise(F.concat(F.lit(one(1) + one(2)), F.when(n == 2, F.lit(one(3))).otherwise(F.lit(""))))
+    docs = table(spark, d, "customer").select(txt("c", F.col("c_custkey")).alias("file"), text.alias("text"))
+    records = documents.structure(docs).groupBy("file").agg(F.countDistinct("rec").alias("n"))
+    lines = docs.select("file", F.posexplode(F.split("text", "\n", -1)).alias("ln", "line"))
+    return documents.spans(lines, records).groupBy("file").agg(F.countDistinct("rec").alias("spans"), F.max(F.col("rec").isNull().cast("long")).alias("abandoned"))
+
+
+@query(r"""
+WITH w AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS w FROM part),
+p AS (SELECT pattern, min(ord) AS ord FROM (SELECT '*' || w[1] || '*' || w[2] || '*' AS pattern, p_partkey AS ord FROM w UNION ALL SELECT w[2], -p_partkey FROM w) GROUP BY 1),
+n AS (SELECT DISTINCT p_name, translate(lower(p_name), ' -/', '___') AS k FROM part),
+m AS (SELECT p_name, pattern, row_number() OVER (PARTITION BY p_name ORDER BY (k = pattern) DESC, length(replace(pattern, '*', '')) DESC, length(pattern) DESC, ord) AS best
+  FROM n JOIN p ON k LIKE '%' || replace(replace(pattern, '_', '\_'), '*', '%') || '%' ESCAPE '\')
+SELECT p_partkey, pattern FROM part LEFT JOIN (SELECT * FROM m WHERE best = 1) USING (p_name)""")
+def pattern_index(spark, d):
+    """The most specific of thousands of patterns, made of the words of all parts, for each part's name."""
+    parts = table(spark, d, "part").select("p_partkey", "p_name")
+    w = F.split(F.lower("p_name"), " ")
+    at = lambda i: F.get(w, F.lit(i))
+    made = parts.select(F.concat(F.lit("*"), at(0), F.lit("*"), at(1), F.lit("*")).alias("pattern"), F.col("p_partkey").alias("ord")).unionByName(parts.select(at(1).alias("pattern"), (-F.col("p_partkey")).alias("ord")))
+    patterns = made.groupBy("pattern").agg(F.min("ord").alias("ord"))
+    return search.most_specific(parts, "p_name", patterns).select("p_partkey", "pattern")
+
+
+@query("""
+WITH l AS (SELECT lang AS file, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+n AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY doc_id, i) AS ln, line, doc_id, i FROM l),
+p AS (SELECT file, doc_id AS id, substr(line, 3, 60) AS probe FROM n WHERE i = 1 AND doc_id % 20 = 0)
+SELECT p.file, p.id, min(n.ln) AS ln FROM p LEFT JOIN n ON n.file = p.file AND contains(n.line, p.probe) GROUP BY ALL""")
+def first_line_of_text(spark, d):
+    """The first line of a language's documents, taken as one file, that holds a piece of the first line of some of them."""
+    docs = table(spark, d, "documents").select(F.col("lang").alias("file"), "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("i", "line"))
+    lines = docs.select("file", F.row_number().over(W.partitionBy("file").orderBy("doc_id", "i")).alias("ln"), "line", "doc_id", "i")
+    probes = lines.filter("i = 0 AND doc_id % 20 = 0").select("file", F.col("doc_id").alias("id"), F.substring("line", 3, 60).alias("probe"))
+    return search.first_lines(lines.select("file", F.col("ln").cast("long").alias("ln"), "line"), probes)

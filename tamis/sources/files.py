@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tamis.functions.dims import DENSITIES
+from tamis.functions.workers import importable
 
 FRONT = r"(?s)^\s*-{3,}[ \t]*\r?\n(.*?)\r?\n-{3,}[ \t]*(?:\r?\n(.*))?$"
 
@@ -100,3 +105,108 @@ def features(spark: SparkSession, path: str) -> DataFrame:
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON document a row, nulls kept, to a new path."""
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+
+
+#: Folder below the root where files are written before they get their names.
+STAGING = "_staging-"
+
+
+def _opened(root: str):
+    """The file system of a root and the root's path on it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root) if ":/" in root else (fs.LocalFileSystem(), root)
+
+
+def write_files(rows: DataFrame, root: str, only: Column | None = None, counters: dict[str, Column] | None = None) -> dict[str, int]:
+    """rows (path, text, any others) -> one file a row below `root`, a folder that driver and executors share, UTF-8 and without anything added; the number of
+    files, as `written`, and the counters, aggregates of all rows that are observed in the pass that writes. only: which rows are written.
+
+    Every task writes to a staging folder of its own attempt and gives a file its name only when it is whole, so a task that fails leaves no half file
+    and one that runs again, or twice at once, ends with the same files. Files of other names stay. Of what is to be written paths that are null,
+    absolute, hold `..` or occur twice, and null texts, are errors before anything is written. No rows write nothing, and all counters are 0.
+    """
+    importable(rows.sparkSession)
+    only, counters = F.lit(True) if only is None else only, counters or {}
+    if rows.isEmpty():
+        return {"written": 0} | dict.fromkeys(counters, 0)
+    bad = F.col("path").isNull() | F.col("text").isNull() | F.coalesce(F.col("path").rlike(r"^/|^$|(^|/)\.\.?(/|$)|/$"), F.lit(False))
+    wrong = rows.filter(only).groupBy("path").agg(F.count("*").alias("n"), F.bool_or(bad).alias("bad")).filter("bad OR n > 1").first()
+    if wrong is not None:
+        raise ValueError(f"{wrong.path!r} is no path of one file with a text")
+    job, root = uuid.uuid4().hex, root.rstrip("/")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _opened(root)
+        context, done = TaskContext.get(), 0
+        stage = f"{base}/{STAGING}{job}/{context.taskAttemptId() if context else 0}"
+        store.create_dir(stage, recursive=True)
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_output_stream(f"{stage}/{done}") as out:
+                    out.write(text.encode())
+                target = f"{base}/{path}"
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                store.move(f"{stage}/{done}", target)
+                done += 1
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["n"])
+
+    seen = Observation("written rows")
+    observed = rows.observe(seen, *(c.alias(k) for k, c in counters.items())) if counters else rows
+    try:
+        n = observed.filter(only).select("path", "text").mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        return {"written": n} | (dict(seen.get) if counters else {})
+    finally:
+        where = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{root}/{STAGING}{job}")
+        where.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def write_json_files(rows: DataFrame, root: str, path: str = "file") -> int:
+    """rows (path, any others) -> one indented JSON file a row below `root`, at its path with the suffix json: nulls and text beyond ASCII kept."""
+    document = F.to_json(F.struct(*(c for c in rows.columns)), {"ignoreNullFields": "false", "pretty": "true"})
+    named = F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(".json"))
+    return write_files(rows.select(named.alias("path"), document.alias("text")), root)["written"]
+
+
+# Names that belong to no site, though they are in its folder.
+EXCLUDED = ("sw.js", "sitemap.xml", "robots.txt", "feed.xml")
+
+
+def listing(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
+    """The files below a folder -> path (relative to it), length, modified; by path. No content is read. Names in `excluded` are left out; a folder that
+    is not there or is empty gives no rows. Rows are ordered by path, as consumers that number or digest them need it."""
+    if not exists(spark, root):
+        return spark.createDataFrame([], "path string, length long, modified timestamp")
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri().getPath().rstrip("/")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", F.col("modificationTime").alias("modified"))
+    full = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    rows = rows.select(F.substr(full, F.lit(len(base) + 2)).alias("path"), "length", "modified")
+    return rows.filter(~F.element_at(F.split("path", "/"), -1).isin(*excluded)).orderBy("path")
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """docs (file, text) -> file, sha (hex of the text's SHA-256; of a null text null)."""
+    return docs.select("file", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+
+
+def staleness(now: DataFrame, kept: DataFrame) -> DataFrame:
+    """Two manifests (file, sha) -> file, state of what differs: new, stale (other content) or gone, as seen from `now`. Files whose digests agree, nulls too, are
+    left out, so no rows mean that what is kept is current. A file that a manifest repeats counts by its least digest."""
+    one = lambda df, name: df.groupBy("file").agg(F.min("sha").alias(name), F.lit(True).alias(f"in_{name}"))
+    both = one(now, "a").withColumnRenamed("file", "file_a").join(one(kept, "b").withColumnRenamed("file", "file_b"), F.col("file_a").eqNullSafe(F.col("file_b")), "full")
+    state = F.when(F.col("in_b").isNull(), "new").when(F.col("in_a").isNull(), "gone").when(~F.col("a").eqNullSafe(F.col("b")), "stale")
+    return both.select(F.coalesce("file_a", "file_b").alias("file"), state.alias("state")).filter("state IS NOT NULL")
+
+
+def rendered(template: str, values: dict[str, Column], rows: DataFrame, out: str = "text") -> DataFrame:
+    """rows with a template filled in: every placeholder of `values` has to be there, and none, written `__LIKE_THIS__`, may be left; else it is an error."""
+    missing = [k for k in values if k not in template]
+    if missing:
+        raise ValueError(f"the template lacks {', '.join(missing)}")
+    # the values go in between the pieces of the template, so what looks like a placeholder inside a value is not one
+    pieces = re.split("(" + "|".join(map(re.escape, values)) + ")", template) if values else [template]
+    left = [m for p in pieces[::2] for m in re.findall(r"__[A-Z][A-Z_]*__", p)]
+    if left:
+        raise ValueError(f"nothing fills {', '.join(left)}")
+    return rows.withColumn(out, F.concat(*(values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(pieces))))
