@@ -4,11 +4,17 @@ Identifiers (mail and IP addresses, card and phone numbers) are found by rule an
 tells how strongly a term reveals one: with n documents in all, n_e that hold the entity, n_t that hold the term and n_te where the term
 stands near the entity, the term discloses log2(n n_te / (n_t n_e)) of the log2(n / n_e) bits that the entity holds, and the entity's posterior
 is n_te / n_t. A term over both thresholds, a share of those bits and a posterior, is sanitised wherever it occurs: it is generalised to its
-kind of entity. So rare and frequent entities and tables of all sizes are treated alike.
+kind of entity.
 
-Three passes over the texts. The first finds identifiers and the terms around them. The second counts in how many texts those terms stand,
-the third places those that reveal an entity. Which terms to count or to place the workers know by a bitmap of a fixed size over
-their hashes; false hits of it fall out of the exact joins behind.
+Both are estimates, and a word that is rare anyway has a posterior of 1 wherever it happens to stand. So a term also needs evidence. Were words strewn
+at random, each would stand near the entity with a chance q, the share of all words that do; that a term does so in c different surroundings and
+elsewhere in m - c documents has a probability of at most C(m, c) q^c. A term counts if that, times the number of pairs of words and entities, is under
+`chance`: the number of terms that the whole table may sanitise for nothing. One occurrence is never evidence, and neither are copies of
+one text, whose surroundings are the same; a few are, the fewer the larger the table or the longer its texts, without a least number.
+
+Three passes over the texts. The first finds identifiers and the terms around them. The second counts in how many texts those terms stand for which
+there can be evidence, the third places those that reveal an entity. Which terms to count or to place the workers know by a bitmap of a fixed size
+over their hashes; false hits of it fall out of the exact joins behind.
 """
 
 from __future__ import annotations
@@ -79,9 +85,10 @@ def entity(kind: int, value: str) -> str:
     return KINDS[kind] + ":" + (value.lower() if kind == 0 else re.sub(r"[^0-9.]" if kind == 1 else r"[^0-9]", "", value))
 
 
-def around(text: str, spans: list[tuple[int, int, int]], window: int) -> set[tuple[str, str]]:
-    """(entity, term) for the terms among the `window` words before and behind each identifier, identifiers themselves left out."""
-    out, end, parts = set(), 0, []
+def around(text: str, spans: list[tuple[int, int, int]], window: int) -> dict[tuple[str, str], int]:
+    """(entity, term) for the terms among the `window` words before and behind each identifier, identifiers themselves left out, and a hash of
+    the surroundings in which it stands first."""
+    out, end, parts = {}, 0, []
     for _, a, b in sorted(spans, key=lambda x: (x[1], -x[2])):
         if b > end:
             parts += [text[end : max(a, end)], " " * (b - max(a, end))]
@@ -90,7 +97,10 @@ def around(text: str, spans: list[tuple[int, int, int]], window: int) -> set[tup
     terms = [(m.start(), m[0].lower()) for m in TERM.finditer(blank)]
     for kind, a, b in spans:
         e, at = entity(kind, text[a:b]), bisect_left(terms, (a,))
-        out.update((e, x) for _, x in terms[max(0, at - window) : at + window])
+        own = [x for _, x in terms[max(0, at - window) : at + window]]
+        place = xxhash.xxh64_intdigest(" ".join(own).encode()) - (1 << 63)
+        for x in own:
+            out.setdefault((e, x), place)
     return out
 
 
@@ -103,13 +113,13 @@ def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("id"), text_key(F.col(text)).alias("h"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 6, support: int = 1, min_bits: float = 0.0, posterior: float = 0.6, bits: int = 22, share: float = 0.5) -> DataFrame:
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 6, support: int = 1, min_bits: float = 0.0, posterior: float = 0.6, bits: int = 22, share: float = 0.5, chance: float = 0.1) -> DataFrame:
     """docs -> id, h, spans (array of struct kind int, start int, end int; by kind, then start): a row for each row of docs.
 
     Null and empty texts have no spans. Rows that share id and text have the same spans; near an entity they count once. Spans of
     terms never overlap identifiers. share: of the entity's own bits, what a term has to disclose. support: documents in which a term has to
-    stand near an entity, min_bits: bits that it has to disclose besides; neither holds anything back unless given. An entity in all rows has
-    no bits to disclose. bits: log2 of the bitmap's size.
+    stand near an entity, min_bits: bits that it has to disclose besides; neither holds anything back unless given. chance: how many terms of the whole
+    table chance alone may bring. An entity in all rows has no bits to disclose. bits: log2 of the bitmap's size.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -117,17 +127,24 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
-            spans, pairs = [], []
+            spans, pairs, n = [], [], []
             for t in batch.column(2).to_pylist():
                 own = base_spans(t)
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in own])
-                pairs.append([{"entity": e, "term": x} for e, x in sorted(around(t, own, window))] if own else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([(n, pa.int32()) for n in ("kind", "start", "end")]))), pa.array(pairs, pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())])))], ["id", "h", "spans", "near"])
+                pairs.append([{"entity": e, "term": x, "place": p} for (e, x), p in sorted(around(t, own, window).items())] if own else [])
+                n.append(t.count(" ") + t.count("\n") + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([(n, pa.int32()) for n in ("kind", "start", "end")]))), pa.array(pairs, pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("place", pa.int64())]))), pa.array(n, pa.int64())], ["id", "h", "spans", "near", "words"])
 
-    first = keep(source.mapInArrow(scan, f"id {kind}, h long, spans array<struct<kind:int,start:int,end:int>>, near array<struct<entity:string,term:string>>"), "pii-scan")
+    first = keep(source.mapInArrow(scan, f"id {kind}, h long, spans array<struct<kind:int,start:int,end:int>>, near array<struct<entity:string,term:string,place:bigint>>, words long"), "pii-scan")
     distinct = first.filter(F.size("spans") > 0).dropDuplicates(["id", "h"])
-    near = distinct.select(F.explode("near").alias("x")).groupBy("x.entity", "x.term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
-    near = keep(near, "pii-near")
+    near = keep(distinct.select(F.explode("near").alias("x")).groupBy("x.entity", "x.term", "x.place").agg(F.count("*").alias("n")), "pii-near")
+    entities = near.groupBy("entity").agg(F.count("*").alias("around"))
+    total, words = (float(max(1, x or 0)) for x in first.agg(F.count("*"), F.sum("words")).first())
+    need = F.log2(F.lit(words) * max(1, entities.count()) / chance)
+    seen = near.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("c")).filter(F.col("n_te") >= support)
+    # even if it stood nowhere else, c surroundings would have to be evidence
+    rare = F.log2(F.lit(words) / F.least(F.col("around"), F.lit(words)))
+    seen = keep(seen.join(entities, "entity").withColumn("rare", rare).filter(F.col("c") * F.col("rare") >= need), "pii-candidates")
     shift = np.uint64(64 - bits)
 
     def hits(batches: Iterable[pa.RecordBatch], own: np.ndarray) -> Iterator[tuple[pa.RecordBatch, list[str], dict[str, bool]]]:
@@ -147,7 +164,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
                     hit.update(zip(new, ((own[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool).tolist(), strict=True))
             yield batch, texts, hit
 
-    candidates = spark.sparkContext.broadcast(bitmap(near.select(F.xxhash64("term").alias("h")).distinct(), bits))
+    candidates = spark.sparkContext.broadcast(bitmap(seen.select(F.xxhash64("term").alias("h")).distinct(), bits))
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
@@ -161,13 +178,18 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
         if n:
             yield told()
 
-    total = F.lit(float(max(1, source.count())))
     n_e = distinct.select("id", "h", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     n_t = source.mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    known = near.join(n_e, "entity").join(n_t, "term")
-    tells = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    holds = F.log2(total / F.col("n_e"))
-    known = keep(known.filter((holds > 0) & (tells >= share * holds) & (tells >= min_bits) & (F.col("n_te") >= posterior * F.col("n_t"))).select("term").distinct(), "pii-terms")
+    known = seen.join(n_e, "entity").join(n_t, "term")
+    tells = F.log2(F.lit(total) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    holds = F.log2(F.lit(total) / F.col("n_e"))
+    c, others = F.col("c"), F.greatest(F.lit(0), F.col("n_t") - F.col("n_te"))
+    every = c + others
+    # log2 of the number of ways to choose k of them, from above, by Stirling's bound on k!
+    choose = lambda k: F.when(k > 0, k * F.log2(F.lit(np.e) * every / k) - F.log2(F.lit(2 * np.pi) * k) / 2).otherwise(F.lit(0.0))
+    ways = F.least(choose(c), choose(others))
+    enough = (holds > 0) & (tells >= share * holds) & (tells >= min_bits) & (F.col("n_te") >= posterior * F.col("n_t")) & (c * F.col("rare") - ways >= need)
+    known = keep(known.filter(enough).select("term").distinct(), "pii-terms")
     revealing = spark.sparkContext.broadcast(bitmap(known.select(F.xxhash64("term").alias("h")), bits))
 
     def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,12 @@
 """PII: identifiers against the stated patterns, terms against plain counting."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
+import pytest
 from tamis.llm import pii
 
 from tests.llm.helpers import documents, texts
@@ -64,18 +67,79 @@ def test_repeated_rows_and_columns(spark):
     assert pii.find(docs.limit(0)).count() == 0
 
 
-def test_rare_and_frequent_identifiers_alike(spark):
-    other = [(100 + i, f"somebody else wrote about the garden on day {i}") for i in range(300)]
-    once = [(1, "the letter is for Zelphira zq@mail.example.com about the garden"), (2, "the garden on this day")]
-    spans = {r.doc_id: r.spans for r in pii.digests(pii.find(documents(spark, other + once))).collect()}
-    assert "term:18:26" in spans[1] and spans[2] == "" and spans[100] == ""
-    hot = [(1000 + i, f"the garden of Quuxley hot@mail.example.com on day {i}") for i in range(150)]
-    spans = {r.doc_id: r.spans for r in pii.digests(pii.find(documents(spark, other + hot + [(3, "ask Quuxley")]))).collect()}
-    assert spans[3] == "term:4:11" and spans[1000].endswith("term:14:21") and spans[100] == ""
-    small = [(i, f"the garden on day {i}") for i in range(8)] + [(9, "the garden of Quuxley zq@mail.example.com on day 9")]
-    assert {r.doc_id: r.spans for r in pii.digests(pii.find(documents(spark, small))).collect()}[9].endswith("term:14:21")
+FILLER = "amber birch cedar delta ember fjord grove heath inlet jetty knoll ledge marsh notch oasis plain quarry ridge slope tundra upland vale woods yard zone brook cliff dune field glade".split()
+
+
+def prose(r, n):
+    """Frequent words, and one word that no other text has."""
+    own = [r.choice(FILLER) for _ in range(n)]
+    own.insert(r.randrange(n), "".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(5)))
+    return own
+
+
+@pytest.mark.parametrize("size", [10, 10_000])
+def test_names_and_rare_words(spark, size):
+    """A name that keeps standing near an address is found in small and large tables, wherever it stands; words that are only rare stay."""
+    r, rows = random.Random(size), []
+    for i in range(size):
+        words = prose(r, 100)
+        if i < 5:
+            words[30:30] = ["Quuxley", "hot@mail.example.com"]
+        elif i % 3 == 0:
+            words[30:30] = [f"user{i}@mail.example.com"]
+        rows.append((i, " ".join(words)))
+    rows[5] = (5, rows[5][1] + " ask Quuxley then")
+    docs = documents(spark, rows)
+    found = {x.doc_id: x.spans for x in pii.digests(pii.find(docs)).collect()}
+    terms = {(i, rows[i][1][int(a) : int(b)]) for i, spans in found.items() for kind, a, b in (x.split(":") for x in spans.split(",") if x) if kind == "term"}
+    assert terms == {(i, "Quuxley") for i in range(6)}
+
+
+def test_copies_are_no_evidence(spark):
+    """What stands in many copies of one text has been seen in one place."""
+    r = random.Random(7)
+    rows = [(i, " ".join(prose(r, 60))) for i in range(300)]
+    text = "Quuxley " + " ".join(prose(r, 20)) + " Zelphira zq@mail.example.com " + " ".join(prose(r, 20))
+    found = pii.digests(pii.find(documents(spark, rows + [(1000 + i, text) for i in range(50)]))).collect()
+    assert all(x.n_term == 0 for x in found) and sum(x.n_email for x in found) == 50
+
+
+def test_terms_against_counting(spark):
+    """Every figure counted plainly over whole texts, and the same rule applied to it."""
+    r, rows = random.Random(11), []
+    for i in range(400):
+        words = prose(r, 40)
+        for k, name in enumerate(("Aldora", "Brimwick", "Corvane")):
+            if r.random() < 0.06:
+                at = r.randrange(30)
+                words[at:at] = [name, *(["x"] * r.choice([0, 9])), f"{name.lower()[:2]}{k % 2}@mail.example.com"]
+            elif r.random() < 0.01 * k:
+                words.append(name)
+        rows.append((i, " ".join(words)))
+    n, words = len(rows), sum(t.count(" ") + 1 for _, t in rows)
+    pairs, n_e, n_t = defaultdict(list), Counter(), Counter()
+    for _, t in rows:
+        own = pii.around(t, pii.base_spans(t), 6)
+        n_e.update({e for e, _ in own})
+        n_t.update(set(pii.TERM.findall(t.lower())))
+        for pair, place in own.items():
+            pairs[pair].append(place)
+    near = Counter(e for (e, _), places in pairs.items() for _ in set(places))
+    need = math.log2(words * len(near) / 0.1)
+    want = set()
+    for (e, x), places in pairs.items():
+        c, other = len(set(places)), max(0, n_t[x] - len(places))
+        m = c + other
+        ways = min(k * math.log2(math.e * m / k) - math.log2(2 * math.pi * k) / 2 if k else 0 for k in (c, other))
+        tells, holds = math.log2(n * len(places) / (n_t[x] * n_e[e])), math.log2(n / n_e[e])
+        if tells >= holds / 2 > 0 and len(places) >= 0.6 * n_t[x] and c * math.log2(words / near[e]) - ways >= need:
+            want.add(x)
+    found = pii.digests(pii.find(documents(spark, rows))).collect()
+    texts = dict(rows)
+    got = {texts[x.doc_id][int(a) : int(b)].lower() for x in found for kind, a, b in (y.split(":") for y in x.spans.split(",") if y) if kind == "term"}
+    assert got == want and want
 
 
 def test_window_is_words(spark):
     text = "Zelphira" + " " * 400 + "zq@mail.example.com" + " " * 400 + "Quuxley"
-    assert pii.around(text, pii.base_spans(text), 6) == {("email:zq@mail.example.com", "zelphira"), ("email:zq@mail.example.com", "quuxley")}
+    assert set(pii.around(text, pii.base_spans(text), 6)) == {("email:zq@mail.example.com", "zelphira"), ("email:zq@mail.example.com", "quuxley")}
