@@ -5,6 +5,10 @@ and are then refitted together by least squares on beam-searched codes. Every ve
 the norm of its reconstruction. Queries look their inner products with all codewords up in tables, a score is the sum of a table entry for
 each codebook over the stored norm, and the best candidates are ranked again exactly on the original vectors.
 
+Vectors of one code look alike to the tables. Up to `heavy` of them are all ranked again; a larger group, such as near copies of one vector, gets codes
+of a second kind: its mean and its spread are taken out, and what is left is quantised by codebooks for such remainders. So candidates of a
+group are told apart at the scale of the group, whatever its size. Of exact copies those with the smaller keys are ranked, as ties go to them anyway.
+
 Queries against all rows go in blocks: slabs of codes meet blocks of queries, a pair of both in a task, each of a fixed size.
 """
 
@@ -15,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -28,7 +33,9 @@ class Options:
     words: int = 128  # in a codebook
     sample: int = 8_000  # vectors to fit on, at most: those whose ids have the least hashes
     beam: int = 4
-    rerank: int = 80  # candidates ranked exactly
+    rerank: int = 80  # candidates ranked exactly, and all that tie with the last of them
+    heavy: int = 512  # vectors of one code that get codes of a second kind
+    salts: int = 32  # parts that a group's rows are dealt to
     slab: int = 16_384  # codes in a task
     block: int = 512  # queries in a task
     seed: int = 5
@@ -99,37 +106,40 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     """vectors (key, vector of one length) -> query_id, rank, key, score: each query's k nearest by cosine among all other rows.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null key. Ties go to the smaller key.
-    Rows that repeat a key are rows of their own. Scores are cosines in double precision of the original vectors. All vectors must have
-    the length of the sample's; others are an error.
+    Rows that repeat a key are rows of their own. Scores are cosines in double precision of the original vectors. Vectors of another length than
+    most rows have (of equally frequent lengths the longest) take no part.
     """
     spark, o = vectors.sparkSession, options
     ship(spark)
+    kind = dict(vectors.dtypes)[key]
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q")).filter(F.col("id").isNotNull() & usable(F.col("v")))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "q", "v")
-    rows = keep(rows, "ann-rows")
+    length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), F.col("d").desc()).first()
+    if length is None:
+        return spark.createDataFrame([], f"query_id long, rank int, `{key}` {kind}, score double")
+    rows = rows.filter(F.size("v") == length.d)
     sample = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(o.sample).select("v").toPandas()
-    if not len(sample):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double").withColumnRenamed("vec_id", key)
     books = spark.sparkContext.broadcast(fit(units(np.array(sample["v"].tolist())), o))
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
-                x = units(part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1))
-                codes, norms = beam_codes(x, books.value, o.beam)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.maximum(norms, 1e-9), pa.float32())], ["row", "id", "q", "code", "norm"])
-
-    coded = keep(rows.mapInArrow(encode, "row long, id long, q boolean, code binary, norm float"), "ann-codes")
-    total, asked = coded.agg(F.count("*"), F.coalesce(F.count_if("q"), F.lit(0))).first()
-    blocks, slabs = max(1, -(-asked // o.block)), max(1, -(-total // o.slab))
-    # a slab is a row of codes side by side, a block a row of queries; both have about their set size by hash
-    by_row = F.sort_array(F.collect_list(F.struct("id", "row", "norm", "code")))
-    slab = coded.groupBy(F.pmod(F.xxhash64("row"), F.lit(slabs)).alias("slab")).agg(by_row.alias("x"))
-    slab = slab.select("slab", F.transform("x", lambda x: x["id"]).alias("ids"), F.transform("x", lambda x: x["row"]).alias("rows"), F.transform("x", lambda x: x["norm"]).alias("norms"), F.transform("x", lambda x: x["code"]).alias("codes"))
-    block = rows.filter("q").groupBy(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("row", "v")).alias("x"))
+        for x, part in _vectors(batches, 2):
+            codes, norms = beam_codes(units(x), books.value, o.beam)
+            yield pa.RecordBatch.from_arrays([*part.columns, _bytes(codes), pa.array(np.maximum(norms, 1e-9), pa.float32())], ["id", "q", "v", "code", "norm"])
+
+    coded = rows.select("id", "q", "v").mapInArrow(encode, "id long, q boolean, v array<double>, code binary, norm float")
+    coded = keep(coded.withColumn("row", F.monotonically_increasing_id()), "ann-codes")
+    slabs = _light(coded, o)
+    groups = keep(coded.groupBy("code").agg(F.count("*").alias("n")).filter(F.col("n") > o.heavy), "ann-groups")
+    if not groups.isEmpty():
+        alone = coded.join(_salted(groups.select("code"), o), [F.col("code") == F.col("g"), F.pmod("row", F.lit(o.salts)) == F.col("salt")], "left_anti")
+        again, fine = _heavy(coded, groups, o)
+        slabs = _light(alone, o).unionByName(again)
+    else:
+        fine = books
+    asked = coded.agg(F.coalesce(F.count_if("q"), F.lit(0))).first()[0]
+    blocks = max(1, -(-asked // o.block))
+    block = coded.filter("q").groupBy(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("row", "v")).alias("x"))
     block = block.select("block", F.transform("x", lambda x: x["row"]).alias("q_rows"), F.transform("x", lambda x: x["v"]).alias("q_vectors"))
-    pairs = slab.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(max(slabs * blocks, 1), "slab", "block").join(block, "block")
+    pairs = slabs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition("slab", "block").join(block, "block")
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,31 +147,93 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
                 ids, own, norms, q_rows = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("ids", "rows", "norms", "q_rows"))
                 codes = np.frombuffer(b"".join(batch.column("codes")[i].as_py()), np.uint8).reshape(len(ids), -1)
                 queries = units(batch.column("q_vectors")[i].values.flatten().to_numpy(zero_copy_only=False).reshape(len(q_rows), -1))
-                tables = np.einsum("qd,mkd->mqk", queries, books.value, optimize=True)
-                out: tuple[list, ...] = ([], [], [], [])
+                mean, scale = batch.column("mean")[i].as_py(), batch.column("scale")[i].as_py()
+                tables = np.einsum("qd,mkd->mqk", queries, (books if mean is None else fine).value, optimize=True)
+                base = None if mean is None else queries.astype(float) @ np.array(mean)
+                out: tuple[list, ...] = ([], [], [])
                 for q in range(len(q_rows)):
-                    scores = tables[0, q][codes[:, 0]]
+                    scores = tables[0, q][codes[:, 0]].astype(float)
                     for m in range(1, codes.shape[1]):
-                        scores = scores + tables[m, q][codes[:, m]]
-                    scores = scores / norms
+                        scores += tables[m, q][codes[:, m]]
+                    scores = (scores if base is None else base[q] + scale * scores) / norms
                     scores[own == q_rows[q]] = -np.inf
                     n = min(o.rerank, len(ids))
                     least = np.partition(scores, len(ids) - n)[len(ids) - n]
-                    above = np.flatnonzero(scores > least)
-                    at = np.concatenate([above, np.flatnonzero(scores == least)[: n - len(above)]])  # of equal scores the smaller ids
+                    above, same = np.flatnonzero(scores > least), np.flatnonzero(scores == least)
+                    # of equal scores all in a light slab, those of the smaller ids in a group's
+                    at = np.concatenate([above, same if mean is None and len(same) <= o.heavy else same[: n - len(above)]])
                     at = at[np.isfinite(scores[at])]
-                    out[0].append(np.full(len(at), q_rows[q])), out[1].append(own[at]), out[2].append(ids[at]), out[3].append(scores[at])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["q_row", "row", "id", "about"])
+                    out[0].append(np.full(len(at), q_rows[q])), out[1].append(own[at]), out[2].append(scores[at])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["q_row", "row", "about"])
 
-    near = pairs.select("ids", "rows", "norms", "codes", "q_rows", "q_vectors").mapInArrow(scan, "q_row long, row long, id long, about float")
-    best = near.withColumn("n", F.row_number().over(W.partitionBy("q_row").orderBy(F.col("about").desc(), "id", "row"))).filter(F.col("n") <= o.rerank).select("q_row", "row")
-    query = rows.filter("q").select(F.col("row").alias("q_row"), F.col("id").alias("query_id"), F.col("v").alias("a"))
-    ranked = best.join(rows.select("row", F.col("id").alias(key), F.col("v").alias("b")), "row").join(query, "q_row")
+    near = pairs.select("ids", "rows", "norms", "codes", "mean", "scale", "q_rows", "q_vectors").mapInArrow(scan, "q_row long, row long, about double")
+    best = near.withColumn("n", F.rank().over(W.partitionBy("q_row").orderBy(F.col("about").desc()))).filter(F.col("n") <= o.rerank).select("q_row", "row")
+    query = coded.filter("q").select(F.col("row").alias("q_row"), F.col("id").alias("query_id"), F.col("v").alias("a"))
+    ranked = best.join(coded.select("row", F.col("id").alias(key), F.col("v").alias("b")), "row").join(query, "q_row")
     ranked = ranked.withColumn("score", cosine(F.col("a"), F.col("b")))
     by = W.partitionBy("q_row").orderBy(F.col("score").desc(), key, "row")
     return ranked.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
 
 
+def _vectors(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 2048):
+            part = batch.slice(start, 2048)
+            yield part.column(column).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1), part
+
+
+def _bytes(codes: np.ndarray) -> pa.Array:
+    return pa.array([c.tobytes() for c in codes], pa.binary())
+
+
+def _slabs(rows: DataFrame, by: list) -> DataFrame:
+    """(id, row, norm, code and the columns of `by`) -> rows side by side, in order of id, with a key for each slab."""
+    one = F.sort_array(F.collect_list(F.struct("id", "row", "norm", "code")))
+    made = rows.groupBy(*by).agg(one.alias("x"), F.first("mean").alias("mean"), F.first("scale").alias("scale"))
+    each = lambda c: F.transform("x", lambda x: x[c])
+    return made.select(F.xxhash64(*by).alias("slab"), each("id").alias("ids"), each("row").alias("rows"), each("norm").alias("norms"), each("code").alias("codes"), "mean", "scale")
+
+
+def _light(coded: DataFrame, o: Options) -> DataFrame:
+    """Slabs of codes, of about their set size by hash."""
+    n = max(1, -(-coded.count() // o.slab))
+    rows = coded.select("id", "row", "norm", "code", F.lit(None).cast("array<double>").alias("mean"), F.lit(None).cast("double").alias("scale"), F.pmod(F.xxhash64("row"), F.lit(n)).alias("part"))
+    return _slabs(rows, ["part"])
+
+
+def _salted(groups: DataFrame, o: Options) -> DataFrame:
+    """Rows of one code may be a third of all: a group is repeated for each part that its rows are dealt to."""
+    others = [c for c in groups.columns if c != "code"]
+    return groups.select(F.col("code").alias("g"), *others, F.explode(F.sequence(F.lit(0), F.lit(o.salts - 1))).alias("salt"))
+
+
+def _heavy(coded: DataFrame, groups: DataFrame, o: Options) -> tuple[DataFrame, Broadcast]:
+    """Slabs of the rows of large groups, each slab of one group, and the codebooks of their remainders."""
+    spark = coded.sparkSession
+    salt = F.pmod("row", F.lit(o.salts))
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    own = coded.join(_salted(groups, o), [F.col("code") == F.col("g"), salt == F.col("salt")]).select("id", "row", "n", "g", "salt", F.transform("v", lambda x: x / size).alias("u"))
+    sums = own.select("g", F.posexplode("u").alias("i", "x")).groupBy("g", "i").agg(F.avg("x").alias("x"))
+    means = sums.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda y: y["x"]).alias("mean"))
+    spread = F.sqrt(F.greatest(F.lit(0.0), 1 - F.aggregate("mean", F.lit(0.0), lambda s, x: s + x * x)))
+    means = keep(means.select(F.col("g").alias("code"), "mean", spread.alias("scale")), "ann-means")
+    met = own.join(_salted(means, o), ["g", "salt"]).withColumn("z", F.zip_with("u", "mean", lambda x, m: F.when(F.col("scale") > 0, (x - m) / F.col("scale")).otherwise(F.lit(0.0))))
+    sample = met.select("row", "z").orderBy(F.xxhash64("row"), "row").limit(o.sample).select("z").toPandas()
+    fine = spark.sparkContext.broadcast(fit(np.array(sample["z"].tolist()).astype(np.float32), o))
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for z, part in _vectors(batches, 5):
+            codes, _ = beam_codes(z.astype(np.float32), fine.value, o.beam)
+            mean, scale = part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(z), -1), part.column(4).to_numpy(zero_copy_only=False)
+            found = sum(fine.value[m][codes[:, m]].astype(float) for m in range(codes.shape[1]))
+            norms = np.sqrt(((mean + scale[:, None] * found) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*part.columns[:5], _bytes(codes), pa.array(np.maximum(norms, 1e-9))], ["id", "row", "part", "mean", "scale", "code", "norm"])
+
+    part = F.struct("g", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / o.slab)).alias("k")).alias("part")
+    again = met.select("id", "row", part, "mean", "scale", "z").mapInArrow(encode, "id long, row long, part struct<g:binary,k:bigint>, mean array<double>, scale double, code binary, norm double")
+    return _slabs(again, ["part"]), fine
+
+
 def cosine(a: Column, b: Column) -> Column:
     """In double precision, of vectors of single-precision range."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)

@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tamis.llm import ann
 
@@ -49,3 +50,40 @@ def test_refit_and_beam_lessen_the_error():
     books = ann.fit(x, ann.Options(books=4, words=32))
     error = lambda beam: ((x - sum(books[m][c] for m, c in enumerate(ann.beam_codes(x, books, beam)[0].T))) ** 2).sum()
     assert error(4) < error(1) < (x**2).sum() * 0.6
+
+
+def copies(rng, noise, n=3000):
+    """The given vectors and many near copies of one of them, among them exact ones."""
+    rows = duckdb.sql(f"select vec_id, embedding from '{DATA.replace('sf0.001', 'sf0.1')}/embeddings.parquet'").fetchall()
+    base = np.array(rows[7][1])
+    far = rng.normal(size=(n, len(base))) * noise * np.linalg.norm(base) / np.sqrt(len(base))
+    far[::10] = 0
+    return rows + [(100_000 + i, x.tolist()) for i, x in enumerate(base + far)]
+
+
+@pytest.mark.parametrize("name", ["normal", "copies 0.001", "copies 0.05", "copies 0.3"])
+def test_recall_at_production_options(spark, name):
+    """At least 0.9 over all queries, and over those inside a cluster of near copies."""
+    rng = np.random.default_rng(3)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(8000, 64)))] if name == "normal" else copies(rng, float(name.split()[1]))
+    df = spark.createDataFrame([(i, np.float32(x).tolist()) for i, x in rows], "vec_id long, embedding array<float>").repartition(8)
+    ids, v = np.array([i for i, _ in rows]), np.float32([x for _, x in rows]).astype(float)
+    v /= np.sqrt((v * v).sum(1, keepdims=True))
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    hit = {}
+    for q in (i for i in ids if i % 50 == 0):
+        s = np.delete(v @ v[np.flatnonzero(ids == q)[0]], np.flatnonzero(ids == q)[0])
+        fifth = np.sort(s)[-5]
+        hit[q] = np.mean([x >= fifth - 1e-12 for x in got[q]])  # any of equally near ones is right
+    inside = [h for q, h in hit.items() if q >= 100_000]
+    print(name, np.mean(list(hit.values())), np.mean(inside) if inside else None)
+    assert np.mean(list(hit.values())) >= 0.9 and (not inside or np.mean(inside) >= 0.9)
+
+
+def test_lengths_and_large_groups(spark):
+    """Vectors of another length take no part; groups of exact copies give the smaller keys."""
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(1500)] + [(2000, [1.0, 2.0]), (2050, [1.0, 0.0, 0.0])]
+    got = [(r.query_id, r.vec_id) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
+    assert [x for q, x in got if q == 0] == [1, 2, 3, 4, 5] and [x for q, x in got if q == 50] == [0, 1, 2, 3, 4] == [x for q, x in got if q == 2050] and not [x for q, x in got if q == 2000]
