@@ -6,11 +6,15 @@ rule at every size: to the characters a fixed weight of those of all languages i
 kept if the Jensen-Shannon distances of both histograms from the references stay under their limits; a histogram over too few
 characters or words is not judged.
 
+Few words drawn from the reference itself lie at some distance from it by chance: of n words in k bins the squared distance has about the mean
+(k - 1) / (8 n ln 2) and the spread sqrt(2 (k - 1)) / (8 n ln 2). The limit for words adds what chance explains to what a document may really differ by.
+
 Texts are read once: all counts of a document come from one projection, and only those counts, some forty numbers, are kept.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -35,7 +39,8 @@ class Limits:
     min_chars: int = 200  # fewer characters: their histogram is not judged
     min_words: int = 50  # fewer words: likewise, and the base rule fails
     char_distance: float = 0.25
-    word_distance: float = 0.55
+    word_distance: float = 0.2  # beyond what chance explains
+    word_spread: float = 4.0  # spreads of that chance that are allowed for
     prior_chars: float = 10_000.0  # characters that all languages together add to a language's own
     repeat_percent: int = 50
 
@@ -134,5 +139,8 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         "char_distance": F.when(F.col("n_chars") >= limits.min_chars, distance(F.col("chars"), F.col("ref_chars"))),
         "word_distance": F.when(F.col("n_words") >= limits.min_words, distance(F.col("common"), F.col("ref_common"))),
     })
-    far = (F.coalesce("char_distance", F.lit(0.0)) > limits.char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > limits.word_distance)
+    bins = F.size(F.filter("ref_common", lambda x: x > 0)) - 1
+    chance = (bins + limits.word_spread * F.sqrt(2 * bins)) / (8 * math.log(2) * F.col("n_words"))
+    word_limit = F.sqrt(limits.word_distance**2 + chance)
+    far = (F.coalesce("char_distance", F.lit(0.0)) > limits.char_distance) | F.coalesce(F.col("word_distance") > word_limit, F.lit(False))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "char_distance", "word_distance")
