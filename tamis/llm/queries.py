@@ -10,8 +10,8 @@ from tamis.llm.common import table
 
 #: The vocabulary of the production query; a parameter of the operator.
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: The vocabulary that documents are packed with.
-PACKED = "byte_bpe_50k.json"
+#: The vocabulary that documents are packed with, and the same as ranks.
+PACKED, PACKED_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKED)))
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKED), ranks=public_tokenizers.path(PACKED_RANKS)))
 
 
 _ALL = (

@@ -1,5 +1,6 @@
 """Packing: ids against the library on whole texts, pieces against what a sequence has to be, shares against their targets."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.helpers import documents, texts
 
-PATH = public_tokenizers.path("byte_bpe_50k.json")
+PATH, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 ODD = ["a  b", " a", "a ", "a\n b", "a \n b", "a᠎ b", "  b c", "<|endoftext|> x <|endoftext|>", "it's 'll x", "  x y", "x\x1c y", "x \x85 y", "é 日本 語  12 3,4 ...", " ", "  ", "﻿ a b", "🙂 🙂x"]
 
 
@@ -21,8 +22,8 @@ def whole(rows):
     return [[*e.ids, 1] for e in t.encode_batch([x or "" for _, x in rows], add_special_tokens=False)]
 
 
-def check(spark, docs, rows, o=packing.Options(), weights=None):
-    got = packing.digests(packing.pack(docs, PATH, weights, o)).collect()
+def check(spark, docs, rows, o=packing.Options(), weights=None, ranks=RANKS):
+    got = packing.digests(packing.pack(docs, PATH, weights, o, ranks)).collect()
     want = sorted((i if i is not None else -1, ids) for (i, _), ids in zip(rows, whole(rows), strict=True))
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in got:
@@ -54,7 +55,17 @@ def check(spark, docs, rows, o=packing.Options(), weights=None):
 def test_ids_and_pieces(spark):
     rows = [*texts(), *((20_000 + i, x) for i, x in enumerate(ODD)), (7, "again"), (7, "again"), (None, "no id")]
     check(spark, documents(spark, rows).repartition(5), rows)
-    check(spark, documents(spark, rows), rows, packing.Options(window=64, grain=7, queues=2, shared=1, cache=10))
+    check(spark, documents(spark, rows), rows, packing.Options(window=64, grain=7, queues=2, shared=1, cache=10), ranks=None)
+
+
+def test_encoder():
+    """Both ways to encode against the library on whole texts: corners and random text of several planes."""
+    r = random.Random(3)
+    pools = ["ab Z'09.,  \t\n", "aé ßñ“”–… 1", "а я Ж 語日ー ́ x", "".join(map(chr, range(0x20, 0x250))), "".join(chr(r.randrange(0x110000)) for _ in range(300)).encode("utf8", "ignore").decode() + "  "]
+    texts = [x for x in ODD] + ["".join(r.choice(p) for _ in range(r.randrange(60))) for p in pools for _ in range(400)]
+    for ranks in (RANKS, None):
+        one = packing.Encoder(PATH, ranks, 1, 50)
+        assert [np.frombuffer(one(t), one.kind).tolist() for t in texts] == whole([(0, t) for t in texts])
 
 
 @pytest.mark.parametrize("weights", [None, {"src0": 3.0, "src1": 1.0, "src2": 2.0, None: 2.0}])
