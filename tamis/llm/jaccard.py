@@ -13,7 +13,8 @@
    twice the threshold. Inside the threshold's ball of a pivot all are linked; of these only the border stays that may reach a member outside.
    Each such region is joined again in the same way. A region that its pivots do not separate (one of the new ones would hold most of it, or
    all together twice as many) is cut into blocks, and each two blocks are compared. So regions shrink by a quarter at each level.
-4. Regions of at most LEAF sets, and pairs of blocks, are compared exactly, all sets of a task at once. Links make components.
+4. Regions of at most LEAF sets, and pairs of blocks, are one task's: pivots, Voronoi regions and windows go on inside it by the same rules, and what
+   they do not separate is compared exactly, all at once. A family of up to a pivot more than PIVOTS is done with its pivots. Links make components.
 
 No region is gathered into one task: members are rows, hot regions are counted by partial sums and split by Spark's joins. What is exact is so
 on 64-bit hashes of shingles.
@@ -162,15 +163,52 @@ def forest(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     return out
 
 
+def joined(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int, bool]]:
+    """Of the links between the sets of a task enough to connect what they connect, and whether a pivot found each: pivots, Voronoi regions and windows as between
+    tasks, and all pairs of what pivots do not separate."""
+    n, size = len(sets), np.array([len(s) for s in sets], np.int64)
+    column = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.concatenate([[0], size.cumsum()])
+    columns = [column[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    held, r, out, todo = np.zeros(len(column), bool), (den - num) / den + 1e-9, [], [np.arange(n)]
+    while todo:
+        own = todo.pop()
+        if len(own) < 2:
+            continue
+        flat, starts = np.concatenate([columns[i] for i in own]), np.concatenate([[0], size[own][:-1].cumsum()])
+        chosen = np.unique(np.linspace(0, len(own) - 1, min(PIVOTS, len(own))).astype(int))
+        far, linked = np.zeros((len(chosen), len(own))), np.zeros((len(chosen), len(own)), bool)
+        for k, i in enumerate(chosen):
+            held[columns[own[i]]] = True
+            common = np.add.reduceat(held[flat].astype(np.int64), starts)
+            held[columns[own[i]]] = False
+            either = size[own[i]] + size[own] - common
+            far[k], linked[k] = 1 - common / either, den * common >= num * either
+            out += [(int(own[i]), int(own[j]), True) for j in np.flatnonzero(linked[k]) if j != i]
+        # pivots have met all members and leave
+        rest = np.setdiff1d(np.arange(len(own)), chosen, assume_unique=True)
+        if len(rest) < 2:
+            continue
+        far, linked, ids = far[:, rest], linked[:, rest], own[rest]
+        dealt = far <= far.min(0) + 2 * r
+        inner = np.where(dealt & ~linked, far, np.inf).min(1, keepdims=True)
+        stays = dealt & (~linked | (far >= inner - r))
+        if dealt.sum(1).max() <= 0.75 * len(own) and dealt.sum() <= 2 * len(own):
+            todo += [ids[stays[k]] for k in range(len(chosen))]
+        elif len(whole := ids[(stays | ~dealt).all(0)]) > 1:
+            out += [(int(whole[i]), int(whole[j]), False) for i, j in forest([sets[i] for i in whole], num, den)]
+    return out
+
+
 def compared(tasks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """tasks (task, id), up to LEAF sets a task or little more -> links (a, b) between the sets of a task, enough to connect them."""
+    """tasks (task, id), up to LEAF sets a task or little more -> links (a, b, pivot) between the sets of a task, enough to connect them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, own, task = [], [], None
 
         def told() -> pa.RecordBatch:
-            found = forest(own, num, den) if len(own) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], ["a", "b"])
+            found = joined(own, num, den) if len(own) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, *_ in found], pa.int64()), pa.array([ids[j] for _, j, _ in found], pa.int64()), pa.array([p for *_, p in found], pa.bool_())], ["a", "b", "pivot"])
 
         for batch in batches:
             for t, i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -181,11 +219,12 @@ def compared(tasks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         yield told()
 
     rows = tasks.join(sets, "id").select("task", "id", "s").repartition("task").sortWithinPartitions("task")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, pivot boolean")
 
 
 def links(members: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """members (region, id, n, c: how often it meets others), sets (id, s) -> links (a, b) found by pivots, and those of leaves and blocks: enough
+    """members (region, id, n, c: how often it meets others), sets (id, s) -> links (a, b) found by pivots, and those of all pairs of what pivots do not
+    separate: enough
     of both to connect whatever the threshold connects."""
     tasks, by_pivots = [], []
     r = F.lit((den - num) / den)
@@ -223,7 +262,8 @@ def links(members: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[Data
         members = new
     union = lambda frames: reduce(DataFrame.union, frames)
     exact = keep(compared(union(tasks), sets, num, den), "jaccard-links")
-    return (union(by_pivots) if by_pivots else exact.limit(0)), exact
+    by_pivots.append(exact.filter("pivot").select("a", "b"))
+    return union(by_pivots), exact.filter("NOT pivot").select("a", "b")
 
 
 class Chosen:
@@ -274,7 +314,7 @@ def classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str =
 
 
 def classed(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """classes(), and the links between nodes that pivots and that leaves found."""
+    """classes(), and the links between nodes that pivots found and those of what they did not separate."""
     spark = docs.sparkSession
     ship(spark)
     text_of = F.coalesce(F.col(text).cast("string"), F.lit(""))
