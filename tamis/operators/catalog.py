@@ -12,6 +12,8 @@ from tamis.functions.numbers import separation
 SHELL = ("css", "js", "json", "svg", "png", "ico", "woff2", "webmanifest", "txt")
 SOURCES = ("py", "pyc", "rb")
 LIMIT = 2 * 1024 * 1024
+# The bucket of each class letter; others are A.
+BUCKETS = {"O": "O", "W": "O", "B": "B", "A": "A", "F": "F", "G": "G", "K": "K", "M": "M", "C": "M", "S": "M", "N": "M", "R": "M"}
 
 
 def snapped(points: DataFrame, stars: DataFrame, most: float = 0.05) -> DataFrame:
@@ -48,6 +50,15 @@ def visible(stars: DataFrame) -> DataFrame:
     return stars.filter(~((F.col("mag") == 0) & (F.col("ra") == 0)) & (F.col("mag") <= 6.5))
 
 
+def class_bucket(kind: Column) -> Column:
+    """The bucket of a class by its first letter; A for any other, and for none."""
+    letter = F.upper(F.left(F.trim(kind), F.lit(1)))
+    found = F.lit("A")
+    for bucket in sorted(set(BUCKETS.values())):
+        found = F.when(letter.isin(*(k for k, v in BUCKETS.items() if v == bucket)), bucket).otherwise(found)
+    return F.coalesce(found, F.lit("A"))
+
+
 def quantised(value: Column, scale: float, shift: float = 0.0) -> Column:
     return F.rint((value + shift) * scale).cast("long")
 

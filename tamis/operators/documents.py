@@ -11,7 +11,8 @@ from pyspark.sql.window import Window as W
 from tamis.functions import markdown
 from tamis.functions import text as T
 from tamis.functions.dims import ALLOWED, DIMENSIONS, SEVERITY
-from tamis.operators import blocks, findings, grammar
+from tamis.functions.workers import importable
+from tamis.operators import blocks, findings, grammar, search
 from tamis.operators.windows import ahead, in_fence, upto
 from tamis.sources.stages import kept, release
 
@@ -51,8 +52,9 @@ def _finding(rows: DataFrame, code: str, producer: int, message: Column, context
 
 def characters(docs: DataFrame) -> DataFrame:
     """Characters beyond ASCII that are not allowed, each once a line."""
+    importable(docs.sparkSession)
     rows = docs.select("file", F.posexplode(T.lines(F.col("text"))).alias("i", "x")).select("file", F.lit(None).cast("int").alias("rec"), F.lit(None).cast("string").alias("title"), (F.col("i") + 1).alias("ln"), "x", F.explode(T.foreign(F.col("x"), ALLOWED)).alias("c"))
-    return _finding(rows, "non-ascii-character", 0, F.concat(F.lit("Character U+"), F.lpad(F.hex(F.ascii("c")), 4, "0"), F.lit(" is not allowed.")), T.strip(F.col("x")), F.col("ln"))
+    return _finding(rows, "non-ascii-character", 0, F.concat(F.lit("Character U+"), F.lpad(F.hex(F.ascii("c")), 4, "0"), F.lit(" ("), T.character_name(F.col("c")), F.lit(") is not allowed.")), T.strip(F.col("x")), F.col("ln"))
 
 
 def inferred_yields(rows: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
@@ -151,6 +153,16 @@ def spans(lines: DataFrame, records: DataFrame) -> DataFrame:
     return rows.select(*lines.columns, F.when((F.col("_records") > 1) & (F.col("_all") == F.col("_records")), F.col("_rec")).alias("rec"))
 
 
+def located(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Findings whose context is a line's content, with line as the first line of their file that holds it; null where it spans lines or no line does."""
+    lines = docs.select("file", F.posexplode(T.lines(F.col("text"))).alias("i", "line")).select("file", (F.col("i") + 1).alias("ln"), "line")
+    probes = found.select("file", "context").distinct()
+    where = search.first_lines(lines, probes.select("file", F.col("context").alias("id"), F.col("context").alias("probe")))
+    where = where.select(F.col("file").alias("_f"), F.col("id").alias("_c"), F.col("ln").alias("_ln"))
+    rows = found.join(where, F.col("file").eqNullSafe(F.col("_f")) & F.col("context").eqNullSafe(F.col("_c")), "left")
+    return rows.select(*(F.col("_ln").cast("int").alias("line") if c == "line" else F.col(c) for c in found.columns))
+
+
 def dropped(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Source lines that left no trace in what was parsed: file, rec, title, ln, line. A line stays if enough of its words and of their pairs are in the record that
     its span belongs to, or in any of the file's where spans() tells none; a line without words, if its characters are. rec and title are null where a file
@@ -202,10 +214,10 @@ def all_findings(docs: DataFrame, metadata: DataFrame | None = None) -> DataFram
     """
     rows = kept(structure(docs), "lines")
     items, others = kept(ingredients(rows), "items"), kept(steps(rows), "steps")
-    lost = kept(dropped(docs, rows), "dropped")
-    found = [characters(docs), inferred_yields(rows, metadata), *invalid_measures(items), conversions(items), temperatures(others), components(rows), *sections(rows), *completeness(items), coverage(lost)]
+    lost, raised = kept(dropped(docs, rows), "dropped"), kept(reduce(DataFrame.unionByName, completeness(items)), "completeness")
+    found = [characters(docs), inferred_yields(rows, metadata), *invalid_measures(items), conversions(items), temperatures(others), components(rows), *sections(rows), located(docs, raised), coverage(lost)]
     out = kept(findings.deduplicated(reduce(DataFrame.unionByName, found)), "findings")
-    release(rows, items, others, lost)
+    release(rows, items, others, lost, raised)
     return out
 
 

@@ -69,6 +69,32 @@ def grams(value: Column, unit: Column, unit_class: Column, name: Column, inner:
     return bind(F.struct(known.alias("k"), whole(value, unit, unit_class, inner).alias("m")), lambda x: weighed(x["m"]["value"], x["m"]["unit"], x["m"]["unit_class"], x["k"]))
 
 
+def weight_details(value: Column, unit: Column, unit_class: Column, name: Column, densities: list[tuple] = DENSITIES) -> Column:
+    """A measured amount of a named thing, not nested -> struct value, value_min, value_max (grams; the last two of pieces only), unit and details: by which factor, density
+    or weight of a piece it was made, or why its mass is unknown."""
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    table = literal_map({k: f"{v!r}D" for k, v in FACTORS.items()})
+    bare = lambda x: F.regexp_replace(x.cast("string"), r"\.0$", "")
+
+    def told(x: Column) -> Column:
+        key, p, d = x["key"], x["piece"], x["density"]
+        factor = F.coalesce(table[unit], F.lit(1.0))
+        out = lambda v, text, lo=None, hi=None: F.struct(v.cast("double").alias("value"), (F.lit(None) if lo is None else lo).cast("double").alias("value_min"), (F.lit(None) if hi is None else hi).cast("double").alias("value_max"), unit.alias("unit"), text.alias("details"))
+        none, density = F.lit(None), F.coalesce(d["v1"], F.lit(1.0))
+        pieces = (
+            F.when(unit.isin(*OPAQUE), out(none, say("'", unit, "' is a container unit; its weight depends on the contents (unknown)"))).when(p.isNull(), out(none, say("No piece weight known for '", key, "' (unknown, not zero)")))
+            .otherwise(out(value * (p["v1"] + p["v2"]) / 2, say("Piece weight for pattern '", p["v0"], "': ", bare(p["v1"]), "-", bare(p["v2"]), "g each"), value * p["v1"], value * p["v2"]))
+        )
+        return (
+            F.when(unit_class == "piece", pieces).when(unit_class == "weight", out(value * factor, say("Weight conversion factor: ", factor.cast("string"), "g/", unit)))
+            .when(unit_class == "volume", out(value * factor * density, say("Volume conversion factor: ", factor.cast("string"), "ml/", unit, ", Density for pattern '", F.coalesce(d["v0"], F.lit("water (default)")), "': ", density.cast("string"), "g/ml")))
+            .when(unit_class == "length", out(none, say("'", unit, "' measures a length; mass per unit length is ingredient-specific (unknown, not zero)"))).otherwise(out(F.lit(0.0), F.lit("Unknown unit class")))
+        )
+
+    own = [(p, p, *v) for p, *v in PIECES], [(p, p, *v) for p, *v in densities]
+    return bind(bind(name_key(name), lambda k: F.struct(k.alias("key"), best_pattern(k, own[0]).alias("piece"), best_pattern(k, own[1]).alias("density"))), told)
+
+
 def with_grams(df: DataFrame, term: str, name: str, out: str, densities: list[tuple] = DENSITIES) -> DataFrame:
     """df with the weight of a term of the item grammar as a column struct lo, value, hi more, in compiled stages."""
     df = df.withColumn("_k", name_key(F.col(name))).withColumn("_piece", best_pattern(F.col("_k"), PIECES)).withColumn("_density", F.coalesce(best_pattern(F.col("_k"), densities)["v0"], F.lit(1.0)))

@@ -559,3 +559,37 @@ def first_line_of_text(spark, d):
     lines = docs.select("file", F.row_number().over(W.partitionBy("file").orderBy("doc_id", "i")).alias("ln"), "line", "doc_id", "i")
     probes = lines.filter("i = 0 AND doc_id % 20 = 0").select("file", F.col("doc_id").alias("id"), F.substring("line", 3, 60).alias("probe"))
     return search.first_lines(lines.select("file", F.col("ln").cast("long").alias("ln"), "line"), probes)
+
+
+@query("""
+SELECT CASE c_custkey % 9 WHEN 0 THEN 'O' WHEN 1 THEN 'O' WHEN 2 THEN 'M' WHEN 3 THEN 'G' WHEN 4 THEN 'M' ELSE 'A' END AS bucket, count(*) AS n FROM customer GROUP BY 1""")
+def class_buckets(spark, d):
+    kinds = one_of(("O5", "WC", "C", " g2", "M", "A", "?", "", "Q"), F.col("c_custkey"))
+    return table(spark, d, "customer").select(catalog.class_bucket(kinds).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH r AS (SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type)
+SELECT user_id, event_id, event_type FROM r WHERE user_id IN (SELECT user_id FROM r GROUP BY 1 HAVING count(*) >= 5)""")
+def long_polylines(spark, d):
+    return windows.polylines(table(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], [F.col("event_id")], "event_type", 5)
+
+
+@query("""
+SELECT page_id, i AS n, i = 2 AS image, CASE i WHEN 1 THEN 'a \\[b\\]' ELSE 'pic' END AS text, CASE i WHEN 1 THEN url ELSE 'x(' || page_id || ').png "t"' END AS target FROM pages, (SELECT unnest([1, 2]) AS i)""".replace("\\\\", "\\"))
+def link_parts(spark, d):
+    text = txt("see [a \\[b\\]](", F.col("url"), ") and ![pic](x(", F.col("page_id"), ").png \"t\") end")
+    return table(spark, d, "pages").select("page_id", F.posexplode(T.links(text)).alias("n", "l")).select("page_id", (F.col("n") + 1).alias("n"), "l.*")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN l_quantity::DOUBLE * 240 * 0.91::DOUBLE WHEN 1 THEN l_quantity::DOUBLE * 53.5 WHEN 2 THEN l_quantity::DOUBLE * 1000 END AS value,
+  CASE l_linenumber % 4 WHEN 1 THEN l_quantity::DOUBLE * 44 END AS value_min, CASE l_linenumber % 4 WHEN 1 THEN l_quantity::DOUBLE * 63 END AS value_max,
+  CASE l_linenumber % 4 WHEN 0 THEN 'Volume conversion factor: 240.0ml/cup, Density for pattern ''olive_oil'': 0.91g/ml' WHEN 1 THEN 'Piece weight for pattern ''*egg*'': 44-63g each' WHEN 2 THEN 'Weight conversion factor: 1000.0g/kilogram'
+    ELSE '''can'' is a container unit; its weight depends on the contents (unknown)' END AS details
+FROM lineitem""")
+def weight_explained(spark, d):
+    k = F.col("l_linenumber")
+    at = lambda *v: one_of(v, k)
+    found = units.weight_details(F.col("l_quantity").cast("double"), at("cup", "count", "kilogram", "can"), at("volume", "piece", "weight", "piece"), at("olive oil", "Egg", "egg", "beans"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", found.alias("x")).select("l_orderkey", "l_linenumber", "x.value", "x.value_min", "x.value_max", "x.details")
