@@ -4,30 +4,30 @@ from __future__ import annotations
 
 # Canonical unit -> class and spellings.
 UNITS = {
-    "tablespoon": ("volume", "tbsp tbs tbsps tbsp. tablespoon tablespoons"),
-    "teaspoon": ("volume", "tsp tsps tsp. teaspoon teaspoons"),
-    "milliliter": ("volume", "ml milliliter milliliters millilitre millilitres"),
-    "liter": ("volume", "l liter liters litre litres"),
-    "cup": ("volume", "cup cups c"),
-    "gram": ("weight", "g gram grams"),
-    "kilogram": ("weight", "kg kilogram kilograms"),
-    "ounce": ("weight", "oz ounce ounces"),
-    "pound": ("weight", "lb lbs pound pounds"),
-    "whole": ("piece", "whole"),
-    "clove": ("piece", "clove cloves"),
-    "slice": ("piece", "slice slices"),
-    "block": ("piece", "block blocks"),
-    "can": ("piece", "can cans"),
-    "stick": ("piece", "stick sticks"),
-    "envelope": ("piece", "envelope envelopes sheet sheets"),
-    "bunch": ("piece", "bunch bunches"),
-    "head": ("piece", "head heads"),
-    "piece": ("piece", "piece pieces pc pcs"),
-    "inch": ("length", 'inch inches "'),
-    "centimeter": ("length", "cm centimeter centimeters centimetre centimetres"),
-    "millimeter": ("length", "mm millimeter millimeters millimetre millimetres"),
+    "tablespoon": ("volume", ("tbsp", "tbs", "tbsps", "tbsp.", "tablespoon", "tablespoons")),
+    "teaspoon": ("volume", ("tsp", "tsps", "tsp.", "teaspoon", "teaspoons")),
+    "milliliter": ("volume", ("ml", "milliliter", "milliliters", "millilitre", "millilitres")),
+    "liter": ("volume", ("l", "liter", "liters", "litre", "litres")),
+    "cup": ("volume", ("cup", "cups", "c")),
+    "gram": ("weight", ("g", "gram", "grams")),
+    "kilogram": ("weight", ("kg", "kilogram", "kilograms")),
+    "ounce": ("weight", ("oz", "ounce", "ounces")),
+    "pound": ("weight", ("lb", "lbs", "pound", "pounds")),
+    "whole": ("piece", ("whole",)),
+    "clove": ("piece", ("clove", "cloves")),
+    "slice": ("piece", ("slice", "slices")),
+    "block": ("piece", ("block", "blocks")),
+    "can": ("piece", ("can", "cans")),
+    "stick": ("piece", ("stick", "sticks")),
+    "envelope": ("piece", ("envelope", "envelopes", "sheet", "sheets")),
+    "bunch": ("piece", ("bunch", "bunches")),
+    "head": ("piece", ("head", "heads")),
+    "piece": ("piece", ("piece", "pieces", "pc", "pcs")),
+    "inch": ("length", ("inch", "inches", '"')),
+    "centimeter": ("length", ("cm", "centimeter", "centimeters", "centimetre", "centimetres")),
+    "millimeter": ("length", ("mm", "millimeter", "millimeters", "millimetre", "millimetres")),
 }
-ALIASES = {alias: (unit, kind) for unit, (kind, aliases) in UNITS.items() for alias in aliases.split()}
+ALIASES = {alias: (unit, kind) for unit, (kind, aliases) in UNITS.items() for alias in aliases}
 # Grams or millilitres of a unit.
 FACTORS = {"gram": 1.0, "kilogram": 1000.0, "ounce": 28.349523125, "pound": 453.59237, "milliliter": 1.0, "liter": 1000.0, "tablespoon": 15.0, "teaspoon": 5.0, "cup": 240.0}
 # Millimetres of a unit; lengths have no mass.
@@ -50,7 +50,7 @@ VULGAR = {
     "⅖": 2 / 5, "⅗": 3 / 5, "⅘": 4 / 5, "⅙": 1 / 6, "⅚": 5 / 6, "⅛": 1 / 8, "⅜": 3 / 8, "⅝": 5 / 8, "⅞": 7 / 8,
 }
 # Words that hedge an amount, words after a number that make it a dimension, and foods measured by length.
-HEDGES = "about approximately approx roughly around nearly scant heaping heaped-up heaped generous rounded level full".split()
+HEDGES = ("about", "approximately", "approx", "roughly", "around", "nearly", "scant", "heaping", "heaped-up", "heaped", "generous", "rounded", "level", "full")
 NOT_COUNTS = ("in", "m", "foot", "feet", "percent", "%", "degree", "degrees")
 BY_LENGTH = (
     "ginger", "galangal", "turmeric", "horseradish", "wasabi", "lotus root", "burdock", "gobo", "daikon", "mooli", "lemongrass", "lemon grass",
@@ -74,13 +74,14 @@ CLAUSES = (
 ALLOWED = "°–—½¼¾⅓⅔【】óéêèñöü⋮˙\u0323⋅"
 # Metadata that tells a yield, words that begin one, words that may tell one elsewhere, what begins a line that tells none, and numbers as words.
 YIELD_KEYS = ("yield", "yields", "serves", "servings", "portions", "pax")
-YIELD_WORDS = "yield yields serve serves makes portion portions pax serving servings".split()
+YIELD_WORDS = ("yield", "yields", "serve", "serves", "makes", "portion", "portions", "pax", "serving", "servings")
 LAX_YIELD_WORDS = (
-    "yield yields serve serves servin servins serving servings make makes pax portion portions people quantity quantities qty piece pieces square squares "
-    "slice slices loaves cookie cookies biscuit biscuits bun buns puff puffs muffin muffins"
-).split()
+    "yield", "yields", "serve", "serves", "serving", "servings", "make", "makes", "pax", "portion", "portions", "people", "quantity", "quantities",
+    "qty", "piece", "pieces", "square", "squares", "slice", "slices", "loaves", "cookie", "cookies", "biscuit", "biscuits", "bun", "buns",
+    "puff", "puffs", "muffin", "muffins",
+)
 NO_YIELDS = ("serve immediately", "serve with", "serve hot", "serve cold", "serve alongside", "serve over", "to serve", "toss to combine")
-NUMBER_WORDS = "one two three four five six seven eight nine ten".split()
+NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
 # What a leading number measures if it is the size of something.
 DIMENSIONS = (
     "inch", "inches", "in", "cm", "mm", "centimeter", "centimeters", "centimetre", "centimetres", "millimeter", "millimeters", "millimetre",
