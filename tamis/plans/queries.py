@@ -59,9 +59,10 @@ FROM lineitem GROUP BY 1""")
 def parse_and_weigh(spark, d):
     """The whole path of an item line: amount, unit, name, density, grams, sums by food."""
     rows = table(spark, d, "lineitem").select(txt("- ", whole("l_quantity"), " cups ", one_of(FOODS, F.col("l_partkey"))).alias("line"))
-    rows = grammar.item(rows, "line").select("name", F.get("amounts", F.lit(0)).alias("t"))
+    # a line that many rows write is read once and counts as often
+    rows = grammar.item(rows.groupBy("line").agg(F.count("*").alias("k")), "line").select("name", F.get("amounts", F.lit(0)).alias("t"), "k")
     rows = units.with_grams(rows, "t", "name", "w")
-    return rows.select(F.col("name").alias("food"), F.col("w.value").alias("g")).groupBy("food").agg(F.count("*").alias("n"), F.round(F.sum("g"), 3).alias("grams"))
+    return rows.groupBy(F.col("name").alias("food")).agg(F.sum("k").alias("n"), F.round(F.sum(F.col("w.value") * F.col("k")), 3).alias("grams"))
 
 
 @query("""
@@ -97,9 +98,11 @@ def unit_lookup(spark, d):
 SELECT l_returnflag, round(sum(l_quantity * [1.0,1000.0,28.349523125,453.59237][l_suppkey % 4 + 1]::DOUBLE), 3) AS grams, count(*) AS n FROM lineitem GROUP BY 1""")
 def weight_grams(spark, d):
     unit = one_of(("g", "kg", "oz", "lb"), F.col("l_suppkey"))
-    rows = table(spark, d, "lineitem").select("l_returnflag", txt(whole("l_quantity"), " ", unit, " stone").alias("line"), F.lit("stone").alias("name"))
+    rows = table(spark, d, "lineitem").select("l_returnflag", txt(whole("l_quantity"), " ", unit, " stone").alias("line"))
+    rows = rows.groupBy("l_returnflag", "line").agg(F.count("*").alias("k")).withColumn("name", F.lit("stone"))
     rows = units.with_grams(grammar.measured(rows, "line", "t"), "t", "name", "w")
-    return rows.select("l_returnflag", F.col("w.value").alias("g")).groupBy("l_returnflag").agg(F.round(F.sum("g"), 3).alias("grams"), F.count("g").alias("n"))
+    g = F.col("w.value")
+    return rows.groupBy("l_returnflag").agg(F.round(F.sum(g * F.col("k")), 3).alias("grams"), F.sum(F.when(g.isNotNull(), F.col("k")).otherwise(0)).alias("n"))
 
 
 PATTERNS = [("*red*", 1.0), ("*a*", 2.0), ("*steel*", 3.0), ("*e*t*", 4.0), ("*blue*", 5.0)]
@@ -136,7 +139,7 @@ SELECT l_orderkey, l_linenumber, l_quantity * 1.25::DOUBLE AS lo, l_quantity * 1
 def heaped_interval(spark, d):
     q = whole("l_quantity")
     line = F.when(F.col("l_linenumber") % 2 == 0, txt(q, " heaped tbsp cocoa")).otherwise(txt("about ", q, " rounded tsp cocoa"))
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", line.alias("line")).transform(lambda r: grammar.measured(r, "line", "t"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", line.alias("line")).transform(lambda r: grammar.once(r, "line", lambda x, c: grammar.measured(x, c, "t")))
     return rows.select("l_orderkey", "l_linenumber", "t.lo", "t.hi", "t.fill")
 
 
