@@ -2,57 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions import text as T
 from tamis.sources.files import FRONT, write_files
 
 
-def _by_line(body: Column, rule) -> tuple[Column, Column]:
-    """A text rewritten line by line -> the text, its lines joined by line feeds where any changed, and how many did."""
-    old = T.lines(body)
-    new = F.transform(old, rule)
-    changed = F.size(F.filter(F.arrays_zip(old.alias("a"), new.alias("b")), lambda x: x["a"] != x["b"]))
-    return F.when(changed > 0, F.array_join(new, "\n")).otherwise(body), changed
-
-
-def fractions(body: Column) -> tuple[Column, Column]:
-    """Fractions as decimals in lines of items that begin with a number; counts lines."""
-    return _by_line(body, lambda x: F.when(T.candidate_item(x), T.decimals_for_fractions(x)).otherwise(x))
-
-
-def headers(body: Column) -> tuple[Column, Column]:
-    """Headings without a last colon, with a capital; counts lines."""
-    return _by_line(body, T.clean_header)
-
-
-def urls(body: Column) -> tuple[Column, Column]:
-    """Bare web addresses in angle brackets; counts 1 for a changed text."""
-    new = T.wrap_urls(body)
-    return new, (new != body).cast("int")
-
-
-def punctuation(text: Column) -> tuple[Column, Column]:
-    """Typographic characters as plain ones; counts characters."""
-    return T.plain_punctuation(text), T.odd_punctuation(text)
-
-
-#: Of each clean-up what it does, and whether frontmatter is left alone.
-RULES = {"fractions": (fractions, True), "headers": (headers, True), "urls": (urls, True), "punctuation": (punctuation, False)}
+#: Of each clean-up what it does to a line of the body, or to a whole text and how it counts there; the latter leaves no frontmatter alone where it says so.
+BY_LINE = {"fractions": lambda x: F.when(T.candidate_item(x), T.decimals_for_fractions(x)).otherwise(x), "headers": T.clean_header}
+WHOLE = {"urls": (T.wrap_urls, lambda old, new: (old != new).cast("int"), True), "punctuation": (T.plain_punctuation, lambda old, _: T.odd_punctuation(old), False)}
+RULES = (*BY_LINE, *WHOLE)
 
 
 def cleaned(docs: DataFrame, rule: str) -> DataFrame:
-    """docs (file, text, any others) -> file, text (cleaned), changes (of this rule). Frontmatter is kept byte for byte where the rule is for the
-    body; an empty body and a null text have no changes."""
-    change, in_body = RULES[rule]
-    rows = docs.select("file", F.col("text").alias("_old"))
-    has = F.col("_old").rlike(FRONT) if in_body else F.lit(False)
-    rows = rows.withColumn("_body", F.when(has, F.coalesce(F.regexp_extract("_old", FRONT, 2), F.lit(""))).otherwise(F.col("_old")))
-    rows = rows.withColumn("_front", F.left("_old", F.length("_old") - F.length("_body")))
-    new, changes = change(F.col("_body"))
-    rows = rows.withColumns({"_new": new, "changes": F.coalesce(changes, F.lit(0)).cast("long")})
-    return rows.select("file", F.when(F.col("changes") > 0, F.concat("_front", "_new")).otherwise(F.col("_old")).alias("text"), "changes")
+    """docs (file, text, any others) -> file, text (cleaned), changes (of this rule: lines of `fractions` and `headers`, characters of `punctuation`, 1 for a
+    text that `urls` changes). Frontmatter is kept byte for byte where the rule is for the body; a text none of whose lines changes is kept as it is,
+    others are joined by line feeds. An empty body and a null text have no changes. Every stage is a projection over columns made once."""
+    has = F.col("_old").rlike(FRONT) if rule in BY_LINE or WHOLE[rule][2] else F.lit(False)
+    rows = docs.select("file", F.col("text").alias("_old")).withColumn("_body", F.when(has, F.coalesce(F.regexp_extract("_old", FRONT, 2), F.lit(""))).otherwise(F.col("_old")))
+    if rule in BY_LINE:
+        rows = rows.withColumn("_lines", T.lines(F.col("_body"))).withColumn("_made", F.transform("_lines", BY_LINE[rule]))
+        changed = F.size(F.filter(F.arrays_zip("_lines", "_made"), lambda x: x["_lines"] != x["_made"]))
+        rows = rows.withColumn("changes", changed).withColumn("_new", F.array_join("_made", "\n"))
+    else:
+        change, count, _ = WHOLE[rule]
+        rows = rows.withColumn("_new", change(F.col("_body"))).withColumn("changes", count(F.col("_body"), F.col("_new")))
+    rows = rows.withColumn("changes", F.when(F.col("_old").isNotNull(), F.coalesce("changes", F.lit(0))).otherwise(0).cast("long"))
+    front = F.left("_old", F.length("_old") - F.length("_body"))
+    return rows.select("file", F.when(F.col("changes") > 0, F.concat(front, "_new")).otherwise(F.col("_old")).alias("text"), "changes")
 
 
 def write_back(docs: DataFrame, rule: str, root: str, changed_only: bool = False) -> dict[str, int]:

@@ -461,7 +461,8 @@ def fractions_to_decimals(spark, d):
     """Lines written with mixed, plain and vulgar fractions and an address that holds one."""
     q, n = whole("l_quantity"), F.col("l_linenumber")
     line = txt("- ", q, " ", n, "/8 cups, ", n, "/7 or ", q, "½ of https://x.y/1/2 z")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.decimals_for_fractions(line).alias("text"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", line.alias("line"))
+    return grammar.once(rows, "line", lambda x, c: x.withColumn("text", T.decimals_for_fractions(F.col(c)))).drop("line")
 
 
 @query("""
