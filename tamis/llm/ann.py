@@ -5,11 +5,13 @@ and are then refitted together by least squares on beam-searched codes. Every ve
 the norm of its reconstruction. Queries look their inner products with all codewords up in tables, a score is the sum of a table entry for
 each codebook over the stored norm, and the best candidates are ranked again exactly on the original vectors.
 
-Vectors of one code look alike to the tables. Up to `heavy` of them are all ranked again; a larger group, such as near copies of one vector, gets codes
-of a second kind: its mean and its spread are taken out, and what is left is quantised by codebooks for such remainders. So candidates of a
-group are told apart at the scale of the group, whatever its size. Of exact copies those with the smaller keys are ranked, as ties go to them anyway.
+How many candidates that takes depends on the vectors, so no fixed number is ranked. Each vector keeps how far its reconstruction's direction lies
+from its own; what that remainder can add to a score is read off the candidates that were ranked already, and all vectors that can
+still reach the k-th best score by it are ranked too, until none is left. So near copies of one vector, whose codes are alike, and vectors that all look
+one way are ranked in full where their codes can't tell them apart. Of exact copies only those with the least keys can be near to anything.
 
-Queries against all rows go in blocks: slabs of codes meet blocks of queries, a pair of both in a task, each of a fixed size.
+Queries against all rows go in blocks: slabs of codes and vectors meet blocks of queries, a pair of both in a task, each of a fixed size. A task tells
+each query's k best of its slab.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -33,11 +34,11 @@ class Options:
     words: int = 128  # in a codebook
     sample: int = 8_000  # vectors to fit on, at most: those whose ids have the least hashes
     beam: int = 4
-    rerank: int = 80  # candidates ranked exactly, and all that tie with the last of them
-    heavy: int = 512  # vectors of one code that get codes of a second kind
-    salts: int = 32  # parts that a group's rows are dealt to
-    slab: int = 16_384  # codes in a task
-    block: int = 512  # queries in a task
+    rerank: int = 80  # candidates of a slab that are ranked exactly before it is known what can still be near
+    margin: float = 2.0  # standard deviations of a random direction's part, added to what remainders were seen to add
+    slab: int = 16_384  # codes in a task; fewer where vectors are longer than 64
+    block: int = 8_192  # queries in a task, likewise
+    chunk: int = 256  # queries whose tables are made at once
     seed: int = 5
 
 
@@ -111,68 +112,117 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     """
     spark, o = vectors.sparkSession, options
     ship(spark)
-    kind = dict(vectors.dtypes)[key]
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q")).filter(F.col("id").isNotNull() & usable(F.col("v")))
+    kinds = dict(vectors.dtypes)
+    single = kinds[vector] == "array<float>"  # is kept so: half the bytes of what is shuffled
+    v = F.col(vector) if single else F.col(vector).cast("array<double>")
+    rows = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v"), is_query.alias("q")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), F.col("d").desc()).first()
     if length is None:
-        return spark.createDataFrame([], f"query_id long, rank int, `{key}` {kind}, score double")
+        return spark.createDataFrame([], f"query_id long, rank int, `{key}` {kinds[key]}, score double")
     rows = rows.filter(F.size("v") == length.d)
     sample = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(o.sample).select("v").toPandas()
-    books = spark.sparkContext.broadcast(fit(units(np.array(sample["v"].tolist())), o))
+    books = spark.sparkContext.broadcast(fit(units(np.array(sample["v"].tolist(), float)), o))
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, part in _vectors(batches, 2):
-            codes, norms = beam_codes(units(x), books.value, o.beam)
-            yield pa.RecordBatch.from_arrays([*part.columns, _bytes(codes), pa.array(np.maximum(norms, 1e-9), pa.float32())], ["id", "q", "v", "code", "norm"])
-
-    coded = rows.select("id", "q", "v").mapInArrow(encode, "id long, q boolean, v array<double>, code binary, norm float")
+            u = units(x.astype(float))
+            codes, norms = beam_codes(u, books.value, o.beam)
+            norms = np.maximum(norms, 1e-9)
+            along = np.clip(sum((u * books.value[m][codes[:, m]]).sum(1) for m in range(codes.shape[1])) / norms, -1, 1)
+            yield pa.RecordBatch.from_arrays([*part.columns, _bytes(codes), pa.array(norms, pa.float32()), pa.array(along, pa.float32())], ["id", "q", "v", "code", "norm", "along"])
+
+    kind = "array<float>" if single else "array<double>"
+    coded = rows.select("id", "q", "v").mapInArrow(encode, f"id long, q boolean, v {kind}, code binary, norm float, along float")
     coded = keep(coded.withColumn("row", F.monotonically_increasing_id()), "ann-codes")
-    slabs = _light(coded, o)
-    groups = keep(coded.groupBy("code").agg(F.count("*").alias("n")).filter(F.col("n") > o.heavy), "ann-groups")
-    if not groups.isEmpty():
-        alone = coded.join(_salted(groups.select("code"), o), [F.col("code") == F.col("g"), F.pmod("row", F.lit(o.salts)) == F.col("salt")], "left_anti")
-        again, fine = _heavy(coded, groups, o)
-        slabs = _light(alone, o).unionByName(again)
-    else:
-        fine = books
-    asked = coded.agg(F.coalesce(F.count_if("q"), F.lit(0))).first()[0]
-    blocks = max(1, -(-asked // o.block))
-    block = coded.filter("q").groupBy(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("row", "v")).alias("x"))
-    block = block.select("block", F.transform("x", lambda x: x["row"]).alias("q_rows"), F.transform("x", lambda x: x["v"]).alias("q_vectors"))
-    pairs = slabs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition("slab", "block").join(block, "block")
+    sizes = coded.agg(F.count("*").alias("all"), F.coalesce(F.count_if("q"), F.lit(0)).alias("asked")).first()
+    short = max(1, length.d // 64)
+    n_slabs, n_blocks = (max(1, -(-n // max(1, most // short))) for n, most in ((sizes["all"], o.slab), (sizes["asked"], o.block)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    slabs = _packed(coded, n_slabs, "slab", ["id", "row", "norm", "along", "code", "v"]).withColumn("block", every(n_blocks))
+    blocks = _packed(coded.filter("q"), n_blocks, "block", ["id", "row", "v"]).withColumn("slab", every(n_slabs))
+    pairs = slabs.alias("s").join(blocks.alias("b"), ["slab", "block"])
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, own, norms, q_rows = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("ids", "rows", "norms", "q_rows"))
+                at = lambda c: batch.column(c)[i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                ids, own, norms, along = (at(c) for c in ("ids", "rows", "norms", "alongs"))
                 codes = np.frombuffer(b"".join(batch.column("codes")[i].as_py()), np.uint8).reshape(len(ids), -1)
-                queries = units(batch.column("q_vectors")[i].values.flatten().to_numpy(zero_copy_only=False).reshape(len(q_rows), -1))
-                mean, scale = batch.column("mean")[i].as_py(), batch.column("scale")[i].as_py()
-                tables = np.einsum("qd,mkd->mqk", queries, (books if mean is None else fine).value, optimize=True)
-                base = None if mean is None else queries.astype(float) @ np.array(mean)
-                out: tuple[list, ...] = ([], [], [])
-                for q in range(len(q_rows)):
-                    scores = tables[0, q][codes[:, 0]].astype(float)
-                    for m in range(1, codes.shape[1]):
-                        scores += tables[m, q][codes[:, m]]
-                    scores = (scores if base is None else base[q] + scale * scores) / norms
-                    scores[own == q_rows[q]] = -np.inf
-                    n = min(o.rerank, len(ids))
-                    least = np.partition(scores, len(ids) - n)[len(ids) - n]
-                    above, same = np.flatnonzero(scores > least), np.flatnonzero(scores == least)
-                    # of equal scores all in a light slab, those of the smaller ids in a group's
-                    at = np.concatenate([above, same if mean is None and len(same) <= o.heavy else same[: n - len(above)]])
-                    at = at[np.isfinite(scores[at])]
-                    out[0].append(np.full(len(at), q_rows[q])), out[1].append(own[at]), out[2].append(scores[at])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["q_row", "row", "about"])
-
-    near = pairs.select("ids", "rows", "norms", "codes", "mean", "scale", "q_rows", "q_vectors").mapInArrow(scan, "q_row long, row long, about double")
-    best = near.withColumn("n", F.rank().over(W.partitionBy("q_row").orderBy(F.col("about").desc()))).filter(F.col("n") <= o.rerank).select("q_row", "row")
-    query = coded.filter("q").select(F.col("row").alias("q_row"), F.col("id").alias("query_id"), F.col("v").alias("a"))
-    ranked = best.join(coded.select("row", F.col("id").alias(key), F.col("v").alias("b")), "row").join(query, "q_row")
-    ranked = ranked.withColumn("score", cosine(F.col("a"), F.col("b")))
-    by = W.partitionBy("q_row").orderBy(F.col("score").desc(), key, "row")
-    return ranked.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
+                x, asked = (batch.column(c)[i].values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1) for c, n in (("vs", len(ids)), ("q_vs", len(at("q_ids")))))
+                first = _few_copies(x, k + 1)
+                slab = Slab(ids[first], own[first], norms[first], along[first].astype(float), codes[first], x[first])
+                yield from _nearest(slab, at("q_ids"), at("q_rows"), asked, books.value, k, o)
+
+    found = pairs.select("s.ids", "s.rows", "s.norms", "s.alongs", "s.codes", "s.vs", F.col("b.ids").alias("q_ids"), F.col("b.rows").alias("q_rows"), F.col("b.vs").alias("q_vs"))
+    near = found.mapInArrow(scan, "query_id long, q_row long, id long, row long, score double")
+    by = W.partitionBy("q_row").orderBy(F.col("score").desc(), "id", "row")
+    return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
+
+
+@dataclass(frozen=True)
+class Slab:
+    """Rows of one task: keys, row numbers, norms of reconstructions, cosines to them, codes and vectors."""
+
+    ids: np.ndarray
+    rows: np.ndarray
+    norms: np.ndarray
+    along: np.ndarray
+    codes: np.ndarray
+    x: np.ndarray
+
+
+def _few_copies(x: np.ndarray, most: int) -> np.ndarray:
+    """Places of vectors, of equal ones the first `most`."""
+    _, group = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel(), return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    start = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
+    nth = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
+    return np.sort(order[nth < most])
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, added up one component after another, so that a row gives the same wherever it stands."""
+    return np.add.accumulate(a * b, axis=-1)[..., -1]
+
+
+def _nearest(s: Slab, ids: np.ndarray, rows: np.ndarray, asked: np.ndarray, books: np.ndarray, k: int, o: Options) -> Iterator[pa.RecordBatch]:
+    """Each query's k nearest rows of a slab."""
+    size = np.sqrt(_dot(s.x, s.x))
+    u = s.x / np.abs(s.x).max(1, keepdims=True)
+    u /= np.sqrt((u * u).sum(1, keepdims=True))
+    across = np.sqrt(np.maximum(0.0, 1 - s.along**2))
+    margin = o.margin / np.sqrt(s.x.shape[1])
+    for start in range(0, len(ids), o.chunk):
+        part = asked[start : start + o.chunk]
+        q_units = part / np.abs(part).max(1, keepdims=True)
+        q_units /= np.sqrt((q_units * q_units).sum(1, keepdims=True))
+        tables = np.einsum("qd,mkd->mqk", q_units.astype(np.float32), books, optimize=True)
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for i, (q, unit, q_id, q_row) in enumerate(zip(part, q_units, ids[start:], rows[start:], strict=False)):
+            scores = tables[0, i][s.codes[:, 0]].astype(float)
+            for m in range(1, s.codes.shape[1]):
+                scores += tables[m, i][s.codes[:, m]]
+            scores /= s.norms
+            left = s.rows != q_row
+            at = np.flatnonzero(left)
+            if len(at) > o.rerank:
+                at = at[np.argpartition(scores[at], len(at) - o.rerank)[len(at) - o.rerank :]]
+            ranked, exact = at[:0], np.zeros(0)
+            rest = np.sqrt(np.maximum(0.0, 1 - scores**2))
+            while len(at):
+                left[at] = False
+                ranked, exact = np.concatenate([ranked, at]), np.concatenate([exact, u[at] @ unit])
+                least = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
+                # a remainder's part in a score is at most what lies across both directions, and seldom more than it was seen to be
+                seen = ((exact - scores[ranked] * s.along[ranked]) / np.maximum(across[ranked], 1e-6)).max()
+                reach = scores * s.along + across * np.minimum(seen + margin, rest) + 1e-5
+                at = np.flatnonzero(left & (reach >= least))
+            best = ranked[exact >= least - 1e-9] if len(ranked) else ranked
+            score = _dot(s.x[best], q) / (np.sqrt(_dot(q, q)) * size[best]) if len(best) else np.zeros(0)
+            best = best[(order := np.lexsort((s.rows[best], s.ids[best], -score))[:k])]
+            for values, more in zip(out, (np.full(len(best), q_id), np.full(len(best), q_row), s.ids[best], s.rows[best], score[order]), strict=True):
+                values.append(more)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "q_row", "id", "row", "score"])
 
 
 def _vectors(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
@@ -186,55 +236,7 @@ def _bytes(codes: np.ndarray) -> pa.Array:
     return pa.array([c.tobytes() for c in codes], pa.binary())
 
 
-def _slabs(rows: DataFrame, by: list) -> DataFrame:
-    """(id, row, norm, code and the columns of `by`) -> rows side by side, in order of id, with a key for each slab."""
-    one = F.sort_array(F.collect_list(F.struct("id", "row", "norm", "code")))
-    made = rows.groupBy(*by).agg(one.alias("x"), F.first("mean").alias("mean"), F.first("scale").alias("scale"))
-    each = lambda c: F.transform("x", lambda x: x[c])
-    return made.select(F.xxhash64(*by).alias("slab"), each("id").alias("ids"), each("row").alias("rows"), each("norm").alias("norms"), each("code").alias("codes"), "mean", "scale")
-
-
-def _light(coded: DataFrame, o: Options) -> DataFrame:
-    """Slabs of codes, of about their set size by hash."""
-    n = max(1, -(-coded.count() // o.slab))
-    rows = coded.select("id", "row", "norm", "code", F.lit(None).cast("array<double>").alias("mean"), F.lit(None).cast("double").alias("scale"), F.pmod(F.xxhash64("row"), F.lit(n)).alias("part"))
-    return _slabs(rows, ["part"])
-
-
-def _salted(groups: DataFrame, o: Options) -> DataFrame:
-    """Rows of one code may be a third of all: a group is repeated for each part that its rows are dealt to."""
-    others = [c for c in groups.columns if c != "code"]
-    return groups.select(F.col("code").alias("g"), *others, F.explode(F.sequence(F.lit(0), F.lit(o.salts - 1))).alias("salt"))
-
-
-def _heavy(coded: DataFrame, groups: DataFrame, o: Options) -> tuple[DataFrame, Broadcast]:
-    """Slabs of the rows of large groups, each slab of one group, and the codebooks of their remainders."""
-    spark = coded.sparkSession
-    salt = F.pmod("row", F.lit(o.salts))
-    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    own = coded.join(_salted(groups, o), [F.col("code") == F.col("g"), salt == F.col("salt")]).select("id", "row", "n", "g", "salt", F.transform("v", lambda x: x / size).alias("u"))
-    sums = own.select("g", F.posexplode("u").alias("i", "x")).groupBy("g", "i").agg(F.avg("x").alias("x"))
-    means = sums.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda y: y["x"]).alias("mean"))
-    spread = F.sqrt(F.greatest(F.lit(0.0), 1 - F.aggregate("mean", F.lit(0.0), lambda s, x: s + x * x)))
-    means = keep(means.select(F.col("g").alias("code"), "mean", spread.alias("scale")), "ann-means")
-    met = own.join(_salted(means, o), ["g", "salt"]).withColumn("z", F.zip_with("u", "mean", lambda x, m: F.when(F.col("scale") > 0, (x - m) / F.col("scale")).otherwise(F.lit(0.0))))
-    sample = met.select("row", "z").orderBy(F.xxhash64("row"), "row").limit(o.sample).select("z").toPandas()
-    fine = spark.sparkContext.broadcast(fit(np.array(sample["z"].tolist()).astype(np.float32), o))
-
-    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for z, part in _vectors(batches, 5):
-            codes, _ = beam_codes(z.astype(np.float32), fine.value, o.beam)
-            mean, scale = part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(z), -1), part.column(4).to_numpy(zero_copy_only=False)
-            found = sum(fine.value[m][codes[:, m]].astype(float) for m in range(codes.shape[1]))
-            norms = np.sqrt(((mean + scale[:, None] * found) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([*part.columns[:5], _bytes(codes), pa.array(np.maximum(norms, 1e-9))], ["id", "row", "part", "mean", "scale", "code", "norm"])
-
-    part = F.struct("g", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / o.slab)).alias("k")).alias("part")
-    again = met.select("id", "row", part, "mean", "scale", "z").mapInArrow(encode, "id long, row long, part struct<g:binary,k:bigint>, mean array<double>, scale double, code binary, norm double")
-    return _slabs(again, ["part"]), fine
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """In double precision, of vectors of single-precision range."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def _packed(rows: DataFrame, parts: int, name: str, columns: list[str]) -> DataFrame:
+    """Rows side by side, in order of id and row: name (the part, by hash), and an array of each column, named with an s."""
+    made = rows.groupBy(F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias(name)).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("x"))
+    return made.select(name, *(F.col(f"x.{c}").alias(c + "s") for c in columns))

@@ -87,3 +87,16 @@ def test_lengths_and_large_groups(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(1500)] + [(2000, [1.0, 2.0]), (2050, [1.0, 0.0, 0.0])]
     got = [(r.query_id, r.vec_id) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
     assert [x for q, x in got if q == 0] == [1, 2, 3, 4, 5] and [x for q, x in got if q == 50] == [0, 1, 2, 3, 4] == [x for q, x in got if q == 2050] and not [x for q, x in got if q == 2000]
+
+
+@pytest.mark.parametrize("name", ["offset", "normal"])
+def test_recall_where_a_fixed_number_of_candidates_fails(spark, name):
+    """Vectors that all look one way, and more normal ones than 80 candidates do for: the former search found 0.88 and 0.85."""
+    rng = np.random.default_rng(1)
+    x = np.float32(rng.normal(size=(8000, 64)) * 0.1 + 5 if name == "offset" else rng.normal(size=(30000, 64)))
+    got = {}
+    for r in ann.search(spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "vec_id long, embedding array<float>").repartition(8), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    v = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+    fifth = {q: np.sort(np.delete(v @ v[q], q))[-5] for q in range(0, len(v), 50)}
+    assert np.mean([np.mean([s >= fifth[q] - 1e-12 for s in got[q]]) for q in fifth]) >= 0.98
