@@ -15,9 +15,12 @@ PACKED, PACKED_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as files of a tree: source/lang/doc_id.txt."""
+    """documents as files of a tree: source/lang/doc_id.txt; every twentieth is a licence file of that folder by its name, every sixtieth one of
+    source, so that documents without a licence of their own inherit from the nearest of them that tells one."""
     docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    place = F.when(F.col("doc_id") % 60 != 0, F.coalesce("lang", F.lit("_"))).when(F.col("doc_id").isNull(), F.coalesce("lang", F.lit("_")))
+    name = F.when(F.col("doc_id") % 20 == 0, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), place, name)
     return licenses.scan(docs.select("doc_id", path.alias("path"), "text"), "doc_id")
 
 

@@ -83,3 +83,13 @@ def test_inheritance(spark):
     out.sort(key=str)
     assert out == sorted([("1", "MIT", "file", None), ("2", "MIT", "inherited", ""), ("3", "GPL-3.0", "file", None), ("4", "GPL-3.0", "inherited", "src/lib"), ("5", "MIT", "inherited", ""), ("6", "MIT", "inherited", ""), ("7", None, None, None), ("8", "MIT", "header", None), ("8", "MIT", "header", None), ("None", "MIT", "inherited", "")], key=str)
     assert lic.scan(frame(spark, rows).limit(0), "doc_id").count() == 0
+
+
+def test_query_inherits(spark, tmp_path):
+    """Some documents of the query's tree are licence files by name, so others inherit from the nearest one."""
+    from tamis.llm.queries import op1_license_scan
+
+    rows = [(20, "Released under the MIT License.", "en", "s"), (21, "no licence", "en", "s"), (60, "Licensed under the Apache License, Version 2.0.", "en", "s"), (22, "none", "de", "s"), (23, "none", "de", "t"), (24, "Released under the MIT License.", None, None), (None, "none", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: (r.license, r.basis, r.directory) for r in op1_license_scan(spark, str(tmp_path)).collect()}
+    assert out == {20: ("MIT", "file", None), 21: ("MIT", "inherited", "s/en"), 60: ("Apache-2.0", "file", None), 22: ("Apache-2.0", "inherited", "s"), 23: (None, None, None), 24: ("MIT", "header", None), None: ("Apache-2.0", "inherited", "s")}
