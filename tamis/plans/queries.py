@@ -130,8 +130,8 @@ def piece_grams_bounds(spark, d):
 @query("SELECT p_partkey, p_size * (p_partkey % 9 + 1) * 28.349523125::DOUBLE AS grams FROM part")
 def nested_container(spark, d):
     rows = table(spark, d, "part").select("p_partkey", txt("- ", F.col("p_size"), " cans (", F.col("p_partkey") % 9 + 1, " oz each) beans").alias("line"))
-    rows = grammar.item(rows, "line").withColumn("t", F.get("amounts", F.lit(0)))
-    return units.with_grams(rows, "t", "name", "g").select("p_partkey", F.col("g.value").alias("grams"))
+    weighed = lambda x, c: units.with_grams(grammar.item(x, c).withColumn("t", F.get("amounts", F.lit(0))), "t", "name", "g").select(c, F.col("g.value").alias("grams"))
+    return grammar.once(rows, "line", weighed).drop("line")
 
 
 @query("""
