@@ -149,8 +149,8 @@ SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN 3 * l_quantit
 def pack_and_dual_range(spark, d):
     q, n = whole("l_quantity"), F.col("l_linenumber") % 3
     line = F.when(n == 0, txt("3x ", q, "g spinach")).when(n == 1, txt(q, "g-", q + 5, "g tomatoes")).otherwise(txt(q, "-pound pumpkin"))
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", line.alias("line")).transform(lambda r: grammar.measured(r, "line", "t"))
-    return rows.select("l_orderkey", "l_linenumber", "t.value", "t.unit")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", line.alias("line")).transform(lambda r: grammar.once(r, "line", lambda x, c: grammar.measured(x, c, "t").select(c, "t.value", "t.unit")))
+    return rows.drop("line")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity * 240.0::DOUBLE + l_linenumber * 15.0::DOUBLE AS grams FROM lineitem")
