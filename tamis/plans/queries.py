@@ -156,9 +156,8 @@ def pack_and_dual_range(spark, d):
 @query("SELECT l_orderkey, l_linenumber, l_quantity * 240.0::DOUBLE + l_linenumber * 15.0::DOUBLE AS grams FROM lineitem")
 def additive_terms(spark, d):
     line = txt(whole("l_quantity"), " cups plus ", F.col("l_linenumber"), " tbsp water")
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", grammar.terms(line).alias("ts"))
-    rows = rows.withColumn("k", units.looked_up(F.lit("water")))
-    return rows.select("l_orderkey", "l_linenumber", units.representation_bounds(F.col("ts"), F.col("k"))["hi"].alias("grams"))
+    weighed = lambda x, c: x.select(c, grammar.terms(F.col(c)).alias("ts"), units.looked_up(F.lit("water")).alias("k")).select(c, units.representation_bounds(F.col("ts"), F.col("k"))["hi"].alias("grams"))
+    return grammar.once(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", line.alias("line")), "line", weighed).drop("line")
 
 
 @query("""
