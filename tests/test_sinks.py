@@ -127,3 +127,15 @@ def test_file_report(spark):
     rows = documents.file_report(documents.structure(docs), found, F.col("severity") != "info").orderBy("file").collect()
     assert [tuple(r)[:8] for r in rows] == [("a", 2, 3, 2, 1, 1, 1, 1), ("c", 0, 1, 0, 1, 0, 0, 1)]
     assert rows[0].messages == ["error z line 9 n", "warning w line 5 m"]
+
+
+def test_first_lines_meets_repeated_lines_once(spark):
+    """Of a thousand equal lines only one is a candidate for each different probe."""
+    lines = [("f", i, "same words here again" if i % 2 else f"other {i}") for i in range(1, 2001)]
+    probes = [("f", i, "me words here ag") for i in range(500)] + [("f", 999, "none such there"), (None, 5, "same")]
+    frame = lambda rows, more: spark.createDataFrame(rows, f"file string, {more}")
+    found = search.first_lines(frame(lines, "ln int, line string"), frame(probes, "id int, probe string"))
+    out = {(r.file, r.id): r.ln for r in found.collect()}
+    assert out == {("f", i): 1 for i in range(500)} | {("f", 999): None, (None, 5): None}
+    kept = spark.read.parquet(found.inputFiles()[0].rsplit("/", 1)[0])
+    assert kept.count() == 1001
