@@ -19,14 +19,25 @@ BUCKETS = {"O": "O", "W": "O", "B": "B", "A": "A", "F": "F", "G": "G", "K": "K",
 def snapped(points: DataFrame, stars: DataFrame, most: float = 0.05) -> DataFrame:
     """points (point, ra, dec) -> point, star, sep: the nearest of stars (star, ra, dec), ties to the smaller one, where it is within `most` degrees.
 
-    An equi-join on whole degrees of right ascension; each point looks into its own and both neighbours, around 360.
+    Points and stars are taken by place, so places that many of them share meet once. Places meet by an equi-join on bands of declination, `most` high, and cells of
+    right ascension in them, wide enough for their latitude: a star stands in its band and both neighbours, a point looks into its own
+    cell and both neighbours, around 360. So a point costs as many pairs as there are different places of stars near it.
     """
-    cell = F.floor(F.pmod("ra", F.lit(360.0))).cast("int")
-    p = points.withColumn("cell", F.explode(F.array(*(F.pmod(cell + d, F.lit(360)) for d in (-1, 0, 1)))))
-    s = stars.select("star", F.col("ra").alias("sra"), F.col("dec").alias("sdec"), cell.alias("cell"))
-    near = p.join(s, "cell").withColumn("sep", separation(F.col("ra"), F.col("dec"), F.col("sra"), F.col("sdec")))
-    best = near.groupBy("point").agg(F.min(F.struct("sep", "star")).alias("b"))
-    return best.select("point", F.col("b.star").alias("star"), F.col("b.sep").alias("sep")).filter(F.col("sep") <= most)
+    place = ["ra", "dec"]
+    own = stars.groupBy(F.col("ra").alias("sra"), F.col("dec").alias("sdec")).agg(F.min("star").alias("star"))
+    high = most * (1 + 1e-9)  # a hair more, for what division rounds
+    band = lambda dec: F.floor(dec / high).cast("int")
+    # how many cells go around a band: none is narrower than what `most` spans at its latitude
+    edge = F.greatest(F.abs(F.col("band")), F.abs(F.col("band") + 1)) * high + high
+    around = F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(F.least(F.lit(90.0), edge))) / high)).cast("int")
+    cell = lambda ra: F.least(F.floor(F.pmod(ra, F.lit(360.0)) * F.col("n") / 360).cast("int"), F.col("n") - 1)
+    s = own.withColumn("band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: band(F.col("sdec")) + d))).withColumn("n", around).withColumn("cell", cell(F.col("sra")))
+    p = points.select(*place).distinct().withColumn("band", band(F.col("dec"))).withColumn("n", around)
+    p = p.withColumn("cell", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(cell(F.col("ra")) + d, F.col("n")))))).drop("n")
+    near = p.join(s.drop("n"), ["band", "cell"]).withColumn("sep", separation(F.col("ra"), F.col("dec"), F.col("sra"), F.col("sdec")))
+    best = near.filter(F.col("sep") <= most).groupBy(*place).agg(F.min(F.struct("sep", "star")).alias("b"))
+    best = points.join(best, place).groupBy("point").agg(F.min("b").alias("b"))
+    return best.select("point", F.col("b.star").alias("star"), F.col("b.sep").alias("sep"))
 
 
 def asset_kind(path: Column, length: Column) -> Column:

@@ -104,3 +104,12 @@ def test_sources(spark, tmp_path):
     assert [(r.pos, r.ra) for r in files.features(spark, str(tmp_path / "g.json")).orderBy("pos").collect()] == [(0, 350.0), (1, 20.0)]
     near = catalog.snapped(spark.createDataFrame([(1, 359.999, 0.0), (2, 90.0, 0.0)], "point long, ra double, dec double"), spark.createDataFrame([(7, 0.001, 0.0)], "star long, ra double, dec double"))
     assert [(r.point, r.star) for r in near.collect()] == [(1, 7)]
+
+
+def test_snapped_looks_at_places_and_high_declinations(spark, capsys):
+    """Points and stars of one place meet once; near the pole half a degree spans many degrees of right ascension."""
+    points = [(i, 10.0, 0.25) for i in range(300)] + [(1000, 10.0, 89.0), (1001, 359.9, -60.0), (1002, 5.0, 0.0), (1003, 5.0, None)]
+    stars = [(i, 10.0, 0.25) for i in range(5, 205)] + [(900, 30.0, 89.0), (901, 0.5, -60.0), (902, 5.0, 0.5), (903, 5.0, 0.6)]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, ra double, dec double")
+    out = {r.point: (r.star, round(r.sep, 3)) for r in catalog.snapped(frame(points, "point"), frame(stars, "star"), 0.5).collect()}
+    assert all(out[i] == (5, 0.0) for i in range(300)) and out[1000] == (900, 0.349) and out[1001] == (901, 0.3) and out[1002] == (902, 0.5) and 1003 not in out
