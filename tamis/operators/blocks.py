@@ -11,6 +11,7 @@ from tamis.functions import text as T
 from tamis.functions.dims import LAX_YIELD_WORDS, NO_YIELDS, NUMBER_WORDS, YIELD_WORDS, YIELD_KEYS
 from tamis.functions.workers import importable
 from tamis.operators.windows import ahead, carried, upto
+from tamis.sources.stages import parts, spread
 
 SECTION = r"(?i)^(ingredients|directions|instructions|method)(?:\s+for\s+(.+))?$"
 
@@ -26,13 +27,16 @@ def classified(docs: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in docs.select("file").schema}
     importable(docs.sparkSession)
     text = F.regexp_replace("text", r"^\x{FEFF}", "")
-    rows = docs.select(F.col("file").cast("string"), text.alias("text")).filter("text IS NOT NULL")
+    n = parts(docs)
+    rows = spread(docs.select(F.col("file").cast("string"), text.alias("text")).filter("text IS NOT NULL"), n)
     rows = rows.mapInArrow(markdown.lines, "file string, ln int, line string, kind string, level int, body string, depth int, ordered boolean, block int")
     item = F.col("kind") == "item"
     bare = F.when(item & F.contains("body", F.lit("<!--")) | item & F.contains("body", F.lit("[//]:")), T.strip_comments(F.col("body"))).otherwise(F.col("body"))
     rows = rows.withColumn("body", bare)
     kind = F.when(item & (F.col("body") == ""), "lost").otherwise(F.col("kind"))
-    return rows.select(F.col("file").cast(kinds["file"]), "ln", "line", kind.alias("kind"), "level", "body", F.coalesce("depth", F.lit(0)).alias("indent"), F.coalesce("ordered", F.lit(False)).alias("ordered"), "block")
+    rows = rows.select(F.col("file").cast(kinds["file"]), "ln", "line", kind.alias("kind"), "level", "body", F.coalesce("depth", F.lit(0)).alias("indent"), F.coalesce("ordered", F.lit(False)).alias("ordered"), "block")
+    # the number of tasks follows the number of texts, in which lines come many to one
+    return spread(rows, n, "file")
 
 
 def lists(lines: DataFrame) -> DataFrame:

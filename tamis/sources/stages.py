@@ -39,6 +39,20 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows of texts that a task parses.
+ROWS = 8192
+
+
+def parts(df: DataFrame, rows: int = ROWS) -> int:
+    """How many tasks the rows of df make. Small files hold many rows, and each may become many lines, so bytes read tell too little; one pass counts them."""
+    return max(1, -(-df.count() // rows))
+
+
+def spread(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """df dealt over n tasks, by columns or evenly; as it is where one will do."""
+    return df.repartition(n, *by) if n > 1 else df
+
+
 def release(*frames: DataFrame) -> None:
     """Deletes the files of kept frames whose last reader has run."""
     for df in frames:
