@@ -17,6 +17,7 @@ from tamis.functions import numbers as N
 from tamis.functions import text as T
 from tamis.operators import blocks, catalog, cleanups, documents, findings, grammar, search, units, windows
 from tamis.sources import files
+from tamis.sources.stages import kept, parts, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,7 +179,8 @@ def item_parts(spark, d):
     name = F.when(k % 5 == 0, txt("[sauce ", k, "](r", k, ".md)")).otherwise(txt("sauce ", k))
     line = F.concat(F.lit("- "), F.when(k % 7 == 0, F.lit("(see note) ")).otherwise(F.lit("")), F.col("p_size").cast("string"), F.lit(" cups "), name, F.when(k % 2 == 0, F.lit(", finely chopped")).otherwise(F.lit("")), F.when(k % 3 == 0, F.lit(" (optional)")).otherwise(F.lit("")))
     # an aside stands before the amount, so its amount is read behind it
-    rows = grammar.item(table(spark, d, "part").select("p_partkey", line.alias("line")), "line")
+    rows = table(spark, d, "part").select("p_partkey", line.alias("line"))
+    rows = grammar.item(spread(rows, parts(rows)), "line")
     return rows.select("p_partkey", "name", "modifier", "optional", "link", "annotation")
 
 

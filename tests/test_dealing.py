@@ -20,7 +20,7 @@ def many(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["block_kinds", "section_routing"])
+@pytest.mark.parametrize("name", ["block_kinds", "section_routing", "item_parts"])
 def test_rows_are_dealt(spark, many, capsys, name):
     QUERIES[name](spark, many).explain()
     assert "REPARTITION_BY_NUM" in capsys.readouterr().out
