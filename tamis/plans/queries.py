@@ -514,8 +514,9 @@ def markdown_roundtrip(spark, d):
     text = F.concat(one(1), more, F.when(n > 0, F.concat(F.lit("\n---\n"), one(2))).otherwise(F.lit("")), F.when(n > 1, F.concat(F.lit("\n***\n"), one(3))).otherwise(F.lit("")))
     docs = table(spark, d, "customer").select(txt("c", F.col("c_custkey")).alias("file"), text.alias("text"))
     what = lambda rows: rows.filter(~F.col("kind").isin("break", *markdown.SILENT)).groupBy("file", F.col("rec").cast("int").alias("rec"), "kind", "level", F.when(F.col("kind") == "row", F.regexp_replace("body", r"\|\s*(?=\|)|\s*\|$", "")).otherwise(F.col("body")).alias("body"), "section", "title", "ordered").agg(F.count("*").alias("n"))
-    before = blocks.routed(blocks.classified(docs))
-    text = blocks.written(before).select(F.concat_ws("\t", "file", "rec").alias("file"), "text")
+    # both are read many times, and made once
+    before = kept(blocks.routed(blocks.classified(docs)), "roundtrip-lines")
+    text = kept(blocks.written(before).select(F.concat_ws("\t", "file", "rec").alias("file"), "text"), "roundtrip-texts")
     after = blocks.routed(blocks.classified(text))
     after = what(after.withColumn("rec", F.element_at(F.split("file", "\t"), 2)).withColumn("file", F.element_at(F.split("file", "\t"), 1)))
     first = what(before)

@@ -24,3 +24,9 @@ def many(spark, tmp_path_factory):
 def test_rows_are_dealt(spark, many, capsys, name):
     QUERIES[name](spark, many).explain()
     assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+
+
+def test_roundtrip_reads_what_it_made(spark, capsys):
+    QUERIES["markdown_roundtrip"](spark, DATA).explain()
+    out = capsys.readouterr().out
+    assert "roundtrip-lines" in out and "MapInArrow" not in out.split("roundtrip-lines")[0]
