@@ -126,15 +126,15 @@ def yields(rows: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     return told.join(found, ["file", "rec"], "full").select("file", "rec", F.coalesce("told", "yield").alias("yield"))
 
 
-def lax_yields(rows: DataFrame) -> DataFrame:
-    """routed lines -> file, rec, line, yield: the first text line anywhere that seems to tell a yield."""
+def lax_yields(rows: DataFrame, *more: str) -> DataFrame:
+    """routed lines -> file, rec, more columns that a record has one value of, line, yield: the first text line anywhere that seems to tell a yield."""
     body = F.trim(F.btrim("body", F.lit("*+-")))
     low = F.lower(body)
     none = F.lit(False)
     for start in NO_YIELDS:
         none = none | low.startswith(start)
     ok = (F.col("kind") == "text") & ~none & ~(low.startswith("serve") & ~_number(body)) & _told(body, LAX_YIELD_WORDS, r"\b")
-    return rows.filter(ok).groupBy("file", "rec").agg(F.min("ln").alias("line"), F.min_by(body, F.col("ln")).alias("yield"))
+    return rows.filter(ok).groupBy("file", "rec", *more).agg(F.min("ln").alias("line"), F.min_by(body, F.col("ln")).alias("yield"))
 
 
 def written(rows: DataFrame, told: DataFrame | None = None) -> DataFrame:

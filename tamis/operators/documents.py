@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,12 +15,14 @@ from tamis.functions.dims import ALLOWED, DIMENSIONS, SEVERITY
 from tamis.functions.workers import importable
 from tamis.operators import blocks, findings, grammar, search
 from tamis.operators.windows import ahead, in_fence, upto
-from tamis.sources.stages import kept, release
+from tamis.sources.stages import kept, parts, release, spread
 
 #: Shares of a line's words and of its pairs of words that a parse has to hold.
 WORDS, PAIRS = 0.85, 0.85
 #: Dropped lines no farther apart are one run; so many of its further lines are told.
 GAP, TOLD = 2, 12
+#: Different items, at most, that are read once and broadcast; where there are more, each row is read.
+FEW = 16_384
 
 
 def structure(docs: DataFrame) -> DataFrame:
@@ -29,15 +32,21 @@ def structure(docs: DataFrame) -> DataFrame:
 
 def ingredients(rows: DataFrame) -> DataFrame:
     """routed lines -> parsed items of ingredients: file, rec, title, component, ln, item (its number in the record, from 0), body and the grammar's columns."""
-    own = _numbered(rows).filter("section = 'ingredients'")
-    out = grammar.item(own, "body").withColumn("optional", F.col("optional") | F.col("group_optional"))
+    return _read(_numbered(rows), grammar.item)
+
+
+def _read(own: DataFrame, item: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    out = item(own.filter("section = 'ingredients'"), "body").withColumn("optional", F.col("optional") | F.col("group_optional"))
     return out.drop("kind", "level", "indent", "inferred", "group_optional")
 
 
 def steps(rows: DataFrame) -> DataFrame:
     """routed lines -> all other items as they are, with the temperatures and durations they tell."""
-    own = _numbered(rows).filter("section <> 'ingredients'")
-    return own.select("file", "rec", "title", "section", "component", "ln", "item", "body", T.temperatures(F.col("body")).alias("temperatures"), T.durations(F.col("body")).alias("durations"))
+    return _told(_numbered(rows))
+
+
+def _told(own: DataFrame) -> DataFrame:
+    return own.filter("section <> 'ingredients'").select("file", "rec", "title", "section", "component", "ln", "item", "body", T.temperatures(F.col("body")).alias("temperatures"), T.durations(F.col("body")).alias("durations"))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -58,9 +67,7 @@ def characters(docs: DataFrame) -> DataFrame:
 
 
 def inferred_yields(rows: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
-    lax = blocks.lax_yields(rows).join(blocks.yields(rows, metadata), ["file", "rec"], "left_anti")
-    titles = rows.select("file", "rec", "title").distinct()
-    lax = lax.join(titles, ["file", "rec"])
+    lax = blocks.lax_yields(rows, "title").join(blocks.yields(rows, metadata).hint("merge"), ["file", "rec"], "left_anti")
     return _finding(lax, "yield-inferred", 1, F.concat(F.lit("The yield was inferred from: "), F.col("yield")), F.col("yield"), F.col("line"))
 
 
@@ -89,14 +96,12 @@ def temperatures(own: DataFrame) -> DataFrame:
 
 def components(rows: DataFrame) -> DataFrame:
     two = rows.filter("kind = 'heading' AND level = 2 AND section <> 'notes'")
-    lost = findings.unmatched_components(two.select("file", "rec", "section", "component"))
-    titles = rows.select("file", "rec", "title").distinct()
-    return _finding(lost.join(titles, ["file", "rec"]), "component-without-directions", 3, F.concat(F.lit("No directions for "), F.col("component"), F.lit(".")), F.col("component"))
+    lost = findings.unmatched_components(two.select("file", "rec", "title", "section", "component"), "title")
+    return _finding(lost, "component-without-directions", 3, F.concat(F.lit("No directions for "), F.col("component"), F.lit(".")), F.col("component"))
 
 
 def sections(rows: DataFrame) -> list[DataFrame]:
-    titles = rows.select("file", "rec", "title").distinct()
-    lost = findings.missing_sections(rows).join(titles, ["file", "rec"])
+    lost = findings.missing_sections(rows, "title")
     told = {"no-section-headings": "No headings: sections are guessed.", "missing-ingredients-section": "No section of ingredients.", "missing-directions-section": "No section of directions."}
     lists = rows.filter("inferred").groupBy("file", "rec", "title", "section", "ordered").agg(F.count("*").alias("n"), F.min("ln").alias("ln"))
     return [_finding(lost.filter(F.col("code") == code), code, 4, F.lit(text)) for code, text in told.items()] + [
@@ -149,7 +154,7 @@ def spans(lines: DataFrame, records: DataFrame) -> DataFrame:
     before = F.last(F.when(F.col("_cut"), F.col("_n")), ignorenulls=True).over(W.partitionBy("file").orderBy("ln").rowsBetween(W.unboundedPreceding, -1))
     rows = rows.withColumn("_start", (F.col("_cut") & (F.col("_n") > F.coalesce(before, F.lit(0)))).cast("int"))
     rows = rows.withColumn("_rec", 1 + F.sum("_start").over(upto(by, order))).withColumn("_all", F.max("_rec").over(W.partitionBy("file")))
-    rows = rows.join(records.select("file", F.col("n").alias("_records")), "file", "left")
+    rows = rows.join(records.select("file", F.col("n").alias("_records")).hint("merge"), "file", "left")
     return rows.select(*lines.columns, F.when((F.col("_records") > 1) & (F.col("_all") == F.col("_records")), F.col("_rec")).alias("rec"))
 
 
@@ -159,38 +164,38 @@ def located(docs: DataFrame, found: DataFrame) -> DataFrame:
     probes = found.select("file", "context").distinct()
     where = search.first_lines(lines, probes.select("file", F.col("context").alias("id"), F.col("context").alias("probe")))
     where = where.select(F.col("file").alias("_f"), F.col("id").alias("_c"), F.col("ln").alias("_ln"))
-    rows = found.join(where, F.col("file").eqNullSafe(F.col("_f")) & F.col("context").eqNullSafe(F.col("_c")), "left")
+    rows = found.join(where.hint("merge"), F.col("file").eqNullSafe(F.col("_f")) & F.col("context").eqNullSafe(F.col("_c")), "left")
     return rows.select(*(F.col("_ln").cast("int").alias("line") if c == "line" else F.col(c) for c in found.columns))
 
 
-def dropped(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def dropped(docs: DataFrame, rows: DataFrame, n: int = 1) -> DataFrame:
     """Source lines that left no trace in what was parsed: file, rec, title, ln, line. A line stays if enough of its words and of their pairs are in the record that
     its span belongs to, or in any of the file's where spans() tells none; a line without words, if its characters are. rec and title are null where a file
-    of several records was not attributed."""
-    kept = rows.filter(~F.col("kind").isin("break", *markdown.SILENT))
-    titles = rows.groupBy("file", "rec").agg(F.first("title").alias("title"))
-    records = titles.groupBy("file").agg(F.count("*").alias("n"), F.first("title").alias("only"))
+    of several records was not attributed. Lines and what was parsed of them are dealt by file over n tasks; neither is broadcast, as both grow with the files."""
+    own = spread(rows, n, "file").filter(~F.col("kind").isin("break", *markdown.SILENT))
+    records = own.groupBy("file").agg(F.size(F.collect_set("rec")).alias("n"))
     lines = docs.select("file", F.posexplode(F.split(T.without_comment_text(F.col("text")), "\n", -1)).alias("i", "line")).select("file", (F.col("i") + 1).alias("ln"), "line")
-    lines = spans(lines, records).withColumn("x", T.strip(F.col("line"))).filter("x <> ''")
+    lines = spans(spread(lines, n, "file"), records).withColumn("x", T.strip(F.col("line"))).filter("x <> ''")
     # a group's header stands for its items
     depth = F.when(F.col("line").rlike(r"^\s*(?:[-*+]|\d+[.)])\s+\S"), F.length(F.regexp_extract("line", r"^\s*", 0))).otherwise(-1)
     lines = lines.withColumn("depth", depth).withColumn("next", ahead(F.col("depth"), ["file"], [F.col("ln")]))
     group = F.col("x").rlike(r"(?i)^(?:[-*+]|\d+[.)])?\s*optional\s*:?$") & (F.col("depth") >= 0) & (F.col("next") > F.col("depth"))
     content = T.content_of(F.col("x"))
     meant = content.rlike(r"^\[//\]:\s*#\s*\(.*\)$") | content.rlike(r"^\[[^\]]+\]:\s+\S") | F.coalesce(group, F.lit(False))
-    lines = lines.filter(~meant).withColumn("content", content)
+    lines = lines.filter(~meant).select("file", "rec", "ln", "line", content.alias("content"), F.coalesce("rec", F.lit(0)).cast("long").alias("_rec"))
     # what was parsed, by record and, as record 0, by file: only one of the two is looked at
-    said = kept.select("file", F.explode(F.array("rec", F.lit(0))).alias("_rec"), F.struct("ln", "body").alias("b"))
-    told = said.groupBy("file", "_rec").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["body"]), " ").alias("said"))
-    index = told.withColumn("t", T.tokens(T.normalised(F.col("said")))).select("file", "_rec", F.array_distinct("t").alias("words"), F.array_distinct(T.bigrams(F.col("t"))).alias("pairs"), T.collapsed(F.col("said")).alias("verbatim"))
-    lines = lines.withColumn("_rec", F.coalesce("rec", F.lit(0))).join(index, ["file", "_rec"], "left").join(titles, ["file", "rec"], "left").join(records.select("file", "n", "only"), "file", "left")
+    said = own.select("file", "title", "rec", F.explode(F.array("rec", F.lit(0)).cast("array<long>")).alias("_rec"), F.struct("ln", "body").alias("b"))
+    told = said.groupBy("file", "_rec").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["body"]), " ").alias("said"), F.first("title").alias("title"), (F.size(F.collect_set("rec")) == 1).alias("one"))
+    index = spread(told, n, "file", "_rec").withColumn("t", T.tokens(T.normalised(F.col("said"))))
+    index = index.select("file", "_rec", "title", "one", F.array_distinct("t").alias("words"), F.array_distinct(T.bigrams(F.col("t"))).alias("pairs"), T.collapsed(F.col("said")).alias("verbatim"))
+    lines = spread(lines, n, "file", "_rec").join(index.hint("merge"), ["file", "_rec"], "left")
     none = F.array().cast("array<string>")
     lines = lines.withColumns({"words": F.coalesce("words", none), "pairs": F.coalesce("pairs", none), "verbatim": F.coalesce("verbatim", F.lit(""))})
     lines = lines.withColumn("t", T.tokens(T.normalised(F.col("content")))).withColumn("residue", T.collapsed(F.col("content")))
     words = (T.share_in(F.col("t"), F.col("words")) >= WORDS) & F.coalesce(T.share_in(T.bigrams(F.col("t")), F.col("pairs")) >= PAIRS, F.lit(True))
     stays = F.when(F.size("t") > 0, words).otherwise(T.structure_only(F.col("residue")) | F.contains("verbatim", F.col("residue")))
-    one = F.col("n") == 1
-    return lines.filter(~stays).select("file", F.when(one, F.lit(1)).otherwise(F.col("rec")).alias("rec"), F.when(one, F.col("only")).otherwise(F.col("title")).alias("title"), "ln", F.rtrim("line").alias("line"))
+    only = F.col("rec").isNull() & F.col("one")
+    return lines.filter(~stays).select("file", F.when(only, F.lit(1)).otherwise(F.col("rec")).alias("rec"), F.when(only | F.col("rec").isNotNull(), F.col("title")).alias("title"), "ln", F.rtrim("line").alias("line"))
 
 
 def coverage(lost: DataFrame) -> DataFrame:
@@ -208,16 +213,22 @@ def coverage(lost: DataFrame) -> DataFrame:
 def all_findings(docs: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """docs (file, text) -> all findings, in the order of their producers, each once: file, rec, title, code, severity, message, context, line, detail, emit_ord.
 
-    Null texts have no lines and no findings; files are told apart by name, so repeated files count as one with their lines repeated. Lines and items
+    Null texts have no lines and no findings; files are told apart by name, so repeated files count as one with their lines repeated. Texts, lines and items
     are read by many producers, so they are made once and written as Parquet to the folder of spark.checkpoint.dir; the findings, which are few, are written there
-    too, and then what they were made of is deleted.
+    too, and then what they were made of is deleted. What is read again is dealt by file over as many tasks as the number of texts asks, since its files are
+    packed many times smaller than its rows; nothing that grows with the files is broadcast.
     """
+    n = parts(docs)
+    docs = kept(spread(docs.select("file", "text"), n), "docs")
     rows = kept(structure(docs), "lines")
-    items, others = kept(ingredients(rows), "items"), kept(steps(rows), "steps")
-    lost, raised = kept(dropped(docs, rows), "dropped"), kept(reduce(DataFrame.unionByName, completeness(items)), "completeness")
-    found = [characters(docs), inferred_yields(rows, metadata), *invalid_measures(items), conversions(items), temperatures(others), components(rows), *sections(rows), located(docs, raised), coverage(lost)]
-    out = kept(findings.deduplicated(reduce(DataFrame.unionByName, found)), "findings")
-    release(rows, items, others, lost, raised)
+    by_file = spread(rows, n, "file")
+    own = kept(_numbered(by_file), "numbered")
+    items = kept(_read(own, lambda x, c: grammar.once(x, c, grammar.item, FEW)), "items")
+    lost, raised = kept(dropped(docs, rows, n), "dropped"), kept(reduce(DataFrame.unionByName, completeness(items)), "completeness")
+    at = kept(located(docs, raised), "located")
+    found = [characters(docs), inferred_yields(by_file, metadata), *invalid_measures(items), conversions(items), temperatures(_told(own)), components(by_file), *sections(by_file), at, coverage(lost)]
+    out = kept(findings.deduplicated(spread(reduce(DataFrame.unionByName, found), n, "file")), "findings")
+    release(docs, rows, own, items, lost, raised, at)
     return out
 
 

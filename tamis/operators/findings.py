@@ -49,20 +49,20 @@ def temperature_conflict(found: Column) -> Column:
     return F.when((F.right(a, F.lit(1)) != F.right(b, F.lit(1))) & (gap > DEGREES), gap)
 
 
-def unmatched_components(rows: DataFrame) -> DataFrame:
-    """(file, rec, section, component) -> components of ingredients without directions; `main` and `default` don't count."""
+def unmatched_components(rows: DataFrame, *more: str) -> DataFrame:
+    """(file, rec, section, component) -> components of ingredients without directions, with more columns that a record has one value of; `main` and `default` don't count."""
     key = F.lower(F.trim("component"))
     rows = rows.withColumn("key", key).filter(~F.col("key").isin("main", "default"))
-    have = rows.filter("section = 'ingredients'").groupBy("file", "rec", "key").agg(F.min("component").alias("component"))
-    return have.join(rows.filter("section = 'directions'"), ["file", "rec", "key"], "left_anti").select("file", "rec", "component")
+    have = rows.filter("section = 'ingredients'").groupBy("file", "rec", *more, "key").agg(F.min("component").alias("component"))
+    return have.join(rows.filter("section = 'directions'").select("file", "rec", "key").hint("merge"), ["file", "rec", "key"], "left_anti").select("file", "rec", *more, "component")
 
 
-def missing_sections(rows: DataFrame) -> DataFrame:
-    """routed lines -> file, rec, code of records without headings or sections."""
+def missing_sections(rows: DataFrame, *more: str) -> DataFrame:
+    """routed lines -> file, rec, more columns that a record has one value of, code of records without headings or sections."""
     two = (F.col("kind") == "heading") & (F.col("level") == 2)
-    by = rows.groupBy("file", "rec").agg(F.bool_or(two).alias("two"), F.bool_or(two & (F.col("section") == "ingredients")).alias("ingredients"), F.bool_or(two & (F.col("section") == "directions")).alias("directions"), F.bool_or(F.col("kind") == "item").alias("list"), F.bool_or(F.col("kind").isin("item", "text")).alias("content"))
+    by = rows.groupBy("file", "rec", *more).agg(F.bool_or(two).alias("two"), F.bool_or(two & (F.col("section") == "ingredients")).alias("ingredients"), F.bool_or(two & (F.col("section") == "directions")).alias("directions"), F.bool_or(F.col("kind") == "item").alias("list"), F.bool_or(F.col("kind").isin("item", "text")).alias("content"))
     codes = F.array_compact(F.array(F.when(~F.col("two") & F.col("content"), "no-section-headings"), F.when(F.col("two") & F.col("list") & ~F.col("ingredients"), "missing-ingredients-section"), F.when(F.col("two") & F.col("list") & ~F.col("directions"), "missing-directions-section")))
-    return by.select("file", "rec", F.explode(codes).alias("code"))
+    return by.select("file", "rec", *more, F.explode(codes).alias("code"))
 
 
 def deduplicated(findings: DataFrame) -> DataFrame:

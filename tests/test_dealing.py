@@ -4,7 +4,9 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from tamis.operators import documents, search
 from tamis.plans.queries import QUERIES
+from tamis.sources.stages import kept
 
 DATA = os.environ.get("TAMIS_TEST_DATA", "/root/testdata/sf0.001")
 
@@ -30,3 +32,37 @@ def test_roundtrip_reads_what_it_made(spark, capsys):
     QUERIES["markdown_roundtrip"](spark, DATA).explain()
     out = capsys.readouterr().out
     assert "roundtrip-lines" in out and "MapInArrow" not in out.split("roundtrip-lines")[0]
+
+
+PAGES = [(f"f{i}", "# T\n\n## Ingredients for Glaze\n\n- 2 g salt ☃\n- 3 eggs\n- 7/x\n- 1 lb stone (3 kg)\n\n## Notes\n\nGives about 12 cookies\n\n```\nsecret lost words here\n```\n") for i in range(7)] + [("g", "# A\n\nx y\n\n---\n\n# B\n\n- 9-inch pans of tin\n")]
+
+
+def test_findings_broadcast_nothing_of_the_files(spark, capsys):
+    """Files are packed many times smaller than their rows, so their size tells Spark to broadcast what no driver holds."""
+    docs = spark.createDataFrame(PAGES, "file string, text string")
+    rows = kept(documents.structure(docs), "test-lines")
+    for found in (documents.dropped(docs, rows), documents.inferred_yields(rows), documents.components(rows), *documents.sections(rows)):
+        found.explain()
+        assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_probes_beyond_a_bound_are_not_broadcast(spark, capsys, monkeypatch):
+    lines = spark.createDataFrame([("f", i, f"a w{i % 3} common word {i % 5} z") for i in range(40)] + [(None, 1, "a")], "file string, ln int, line string")
+    probes = spark.createDataFrame([("f", 1, "w1 common"), ("f", 2, "a w2 common word 4 z"), ("f", 3, "none such here"), ("f", 4, None), ("g", 5, "z")], "file string, id int, probe string")
+    few = sorted(search.first_lines(lines, probes).collect())
+    monkeypatch.setattr(search, "FEW", 0)
+    monkeypatch.setattr(search, "LINES", 8)
+    many = search.first_lines(lines, probes)
+    many.explain()
+    assert "Broadcast" not in capsys.readouterr().out and sorted(many.collect()) == few == [("f", 1, 1), ("f", 2, 14), ("f", 3, None), ("f", 4, None), ("g", 5, None)]
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_findings_are_the_same_however_dealt(spark, monkeypatch, few):
+    docs = spark.createDataFrame(PAGES, "file string, text string")
+    key = lambda r: (r.file, r.code, r.title or "", r.message, r.context or "", r.line or 0, r.rec or 0)
+    one = sorted(documents.all_findings(docs).collect(), key=key)
+    assert {r.code for r in one} >= {"non-ascii-character", "yield-inferred", "source-content-dropped", "component-without-directions", "conversion-discrepancy", "quantity-unparsed"}
+    monkeypatch.setattr(documents, "parts", lambda _: 3)
+    monkeypatch.setattr(documents, "FEW", few)
+    assert sorted(documents.all_findings(docs).collect(), key=key) == one
