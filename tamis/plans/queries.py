@@ -19,6 +19,8 @@ from tamis.operators import blocks, catalog, cleanups, documents, findings, gram
 from tamis.sources import files
 from tamis.sources.stages import kept, parts, spread
 
+#: Rows that a task gathers into texts.
+GATHERED = 65_536
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -278,7 +280,8 @@ def section_routing(spark, d):
     k = F.col("o_orderkey") % 4
     part = one_of(("## Ingredients\n", "## Ingredients for Glaze:\n", "## Method\n", "## Tips\n"), k)
     rows = table(spark, d, "orders").select(txt("c", F.col("o_custkey")).alias("file"), "o_orderkey", F.concat(part, F.lit("```\n# no heading\n```\n- item "), F.col("o_orderkey").cast("string"), F.lit("\n")).alias("p"))
-    docs = rows.groupBy("file").agg(F.concat(F.lit("# Title\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "p"))), lambda x: x["p"]), "\n")).alias("text"))
+    # orders are packed far smaller than their texts, so their number tells how many tasks gather them
+    docs = spread(rows, parts(rows, GATHERED), "file").groupBy("file").agg(F.concat(F.lit("# Title\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "p"))), lambda x: x["p"]), "\n")).alias("text"))
     own = blocks.items(blocks.routed(blocks.classified(docs)))
     return own.groupBy("file").agg(*(F.count_if(F.col("section") == s).alias(s) for s in ("ingredients", "directions", "notes")))
 

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 from tamis.operators import documents, search
+from tamis.plans import queries
 from tamis.plans.queries import QUERIES
 from tamis.sources.stages import kept
 
@@ -66,3 +67,12 @@ def test_findings_are_the_same_however_dealt(spark, monkeypatch, few):
     monkeypatch.setattr(documents, "parts", lambda _: 3)
     monkeypatch.setattr(documents, "FEW", few)
     assert sorted(documents.all_findings(docs).collect(), key=key) == one
+
+
+def test_texts_are_gathered_in_dealt_tasks(spark, many, capsys, monkeypatch):
+    """Tasks that gather orders into texts grow in number, not in rows."""
+    monkeypatch.setattr(queries, "GATHERED", 4096)
+    QUERIES["section_routing"](spark, many).explain()
+    plan = capsys.readouterr().out
+    gather = plan[plan.rindex("collect_list") :]
+    assert "hashpartitioning(file" in gather and "5), REPARTITION_BY_NUM" in gather and "ENSURE_REQUIREMENTS" not in gather
